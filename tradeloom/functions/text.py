@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from tradeloom.fixed import STOPWORDS
 from tradeloom.functions import keep, matches, q, replace, some, strings
@@ -39,7 +39,7 @@ def has_items(e: str) -> str:
     return f"coalesce(size({e}) > 0, false)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkd_ascii(texts: pd.Series) -> pd.Series:
     return texts.map(
         lambda t: None
