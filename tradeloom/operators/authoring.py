@@ -45,13 +45,12 @@ def input_type(term: str = "property_id", ranges: str = "range", override: str =
 
 
 def metadata_index(properties: DataFrame, fields: DataFrame) -> DataFrame:
-    """Vocabulary properties overlaid by manifest fields, which win."""
+    """Vocabulary properties overlaid by manifest fields; the last field wins."""
     vocabulary = properties.select(F.col("term_id").alias("property_id"), "range")
     manifest = fields.groupBy("property_id").agg(
         F.max_by(
             F.struct("input_type_override", "supported", "object_type", "object_fields"),
-            F.monotonically_increasing_id() if "field_pos" not in fields.columns
-            else F.col("field_pos"),
+            "field_pos",
         ).alias("m")
     )
     return vocabulary.join(manifest, "property_id", "full_outer").selectExpr(

@@ -257,6 +257,11 @@ def variant_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return pairs.filter("spelling = get(array_intersect(va, vb), 0)").select(left_id, right_id)
 
 
+def every_child(children: DataFrame, parent: str, test: str) -> DataFrame:
+    """Per parent whether all of its children pass a test (relational division)."""
+    return children.groupBy(parent).agg(F.every(F.expr(test)).alias("all_match"))
+
+
 def reconcile(records: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
     """Compare profile records with catalog rows.
 
@@ -298,12 +303,13 @@ def reconcile(records: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
         .withColumn("catalog_matches", F.coalesce("catalog_matches", F.lit(0)))
         .withColumn("any_aligned", F.coalesce("any_aligned", F.lit(False)))
     )
-    stem = F.substring_index("canonical_field", "[]", 1)
-    children = (
-        coverage.filter("kind = 'object_field'")
-        .groupBy(F.concat(stem, F.lit("[]")).alias("parent"))
-        .agg(F.every(F.col("catalog_matches") > 0).alias("children_matched"))
-    )
+    children = every_child(
+        coverage.filter("kind = 'object_field'").withColumn(
+            "parent", F.expr("concat(substring_index(canonical_field, '[]', 1), '[]')")
+        ),
+        "parent",
+        "catalog_matches > 0",
+    ).withColumnRenamed("all_match", "children_matched")
     coverage = (
         coverage.join(
             children, (F.col("kind") == "object") & (F.col("canonical_field") == F.col("parent")),

@@ -125,7 +125,7 @@ def builder_tables(spark: SparkSession, data: object) -> tuple[DataFrame, DataFr
                 (
                     group.get("key"), f.get("property_id"), i, f.get("requirement", "optional"),
                     f.get("input_type_override"), f.get("supported_in_v0_10", True),
-                    f.get("object_type"), nested or None,
+                    f.get("object_type"), nested or None, len(field_rows),
                 )
             )
     return (
@@ -136,7 +136,7 @@ def builder_tables(spark: SparkSession, data: object) -> tuple[DataFrame, DataFr
             field_rows,
             "group string, property_id string, pos int, requirement string, "
             "input_type_override string, supported boolean, object_type string, "
-            "object_fields array<struct<property_id:string,input_type:string>>",
+            "object_fields array<struct<property_id:string,input_type:string>>, field_pos int",
         ),
     )
 
