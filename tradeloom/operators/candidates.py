@@ -28,7 +28,7 @@ from tradeloom.functions.text import (
     ascii_fold, candidate_key, has_value, name_tokens, strip, word_tokens, words_only,
     xpath_terminal,
 )
-from tradeloom.operators.extract import NO_TEXTS, with_columns
+from tradeloom.operators.extract import NO_TEXTS, SEAL, with_columns
 from tradeloom.operators.ranking import best_row, top_k
 from tradeloom.sources.profile import Profile
 
@@ -340,7 +340,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
     scored = with_columns(
         flags,
-        {"score": f"greatest(0.0D, least(1.0D, {raw}))", "reasons": fired(tests),
+        {"score": f"IF({SEAL}, greatest(0.0D, least(1.0D, {raw})), NULL)", "reasons": fired(tests),
          "warnings": fired(warnings)},
     )
     return scored.filter("score > 0 OR size(reasons) > 0").drop(

@@ -32,6 +32,12 @@ NO_TEXTS = "CAST(array() AS array<string>)"
 NO_IDS = "CAST(array() AS array<int>)"
 
 
+# Always true, but not constant to the optimizer. A filter on a computed column is
+# otherwise pushed below every projection it depends on, with all their expressions
+# written out again, and the document would be evaluated twice.
+SEAL = "monotonically_increasing_id() >= 0"
+
+
 def with_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add columns given as SQL expression text."""
     return df.withColumns({name: F.expr(text) for name, text in columns.items()})

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tradeloom.operators.extract import (
-    canonical_product, mapping_report, select_elements, summarise_values,
+    SEAL, canonical_product, mapping_report, select_elements, summarise_values,
     transform_values, with_columns,
 )
 from tradeloom.operators.jsonld import product_jsonld
@@ -39,7 +39,7 @@ def convert(
     keys = [c for c in docs.columns if c != "content"]
 
     def if_parsed(expr: str) -> str:
-        return f"CASE WHEN parse_error IS NULL THEN {expr} END"
+        return f"CASE WHEN parse_error IS NULL AND {SEAL} THEN {expr} END"
 
     rows = with_columns(
         extract(docs, profile),

@@ -232,7 +232,8 @@ def xml_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_TOTALS = f"""SELECT CAST(count(*) AS BIGINT) AS xml_files_found,
     CAST(count(*) FILTER (p_partkey % 50 <> 3) AS BIGINT) AS successful_conversions,
     CAST(count(*) FILTER (p_partkey % 50 = 3) AS BIGINT) AS failed_conversions,
-    CAST(0 AS BIGINT) AS total_unmapped_fields,
+    CAST(count(*) FILTER (p_partkey % 50 <> 3 AND (p_size % 4 = 0 OR p_size % 6 = 1)) AS BIGINT)
+      AS total_unmapped_fields,
     CAST(sum(CASE WHEN p_partkey % 50 <> 3 THEN
       CAST(NOT (p_partkey % 11 <> 0 AND p_partkey % 7 <> 0) AS INT) + CAST(p_size % 5 = 0 AS INT)
       ELSE 0 END) AS BIGINT) AS validation_error_count,
@@ -782,10 +783,10 @@ def part_candidates(spark: SparkSession, sf_dir: str, limit: int = 5) -> DataFra
 
 _SQL_CANDIDATES = """WITH p AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS pt,
       CASE length(p_name) % 3 WHEN 0 THEN 'dec' WHEN 1 THEN 'qty' ELSE 'bool' END AS r FROM part),
-    a AS (SELECT p_partkey, list_distinct(string_split(p_name || ' ' || lower(p_type), ' ')) AS at,
+    a AS (SELECT p_partkey, list_distinct(string_split(p_name || ' ' || lower(p_type), ' ')) AS words,
       p_size % 3 AS dt, p_size % 2 = 0 AS uom, p_size % 10 = 0 AS del FROM part),
-    o AS (SELECT p_name, p_partkey, del, r, dt, uom, len(list_intersect(pt, at)) AS n,
-      CAST(len(list_intersect(pt, at)) AS DOUBLE) / greatest(len(pt), len(at)) AS f FROM p, a),
+    o AS (SELECT p_name, p_partkey, del, r, dt, uom, len(list_intersect(pt, words)) AS n,
+      CAST(len(list_intersect(pt, words)) AS DOUBLE) / greatest(len(pt), len(words)) AS f FROM p, a),
     s AS (SELECT *, (r IN ('dec', 'qty') AND dt = 0) OR (r = 'bool' AND dt = 1) AS fits,
       r = 'bool' AND dt = 0 AS clash, r = 'qty' AND uom AS q FROM o),
     w AS (SELECT *, greatest(0::DOUBLE, least(1::DOUBLE, 0::DOUBLE
