@@ -8,6 +8,7 @@ per column instead of one call per operator, and Catalyst sees the same tree.
 
 from __future__ import annotations
 
+import re
 from itertools import count
 
 _counter = count()
@@ -49,7 +50,9 @@ def some(array: str, test) -> str:
 
 
 def let(expr: str, fn) -> str:
-    """Evaluate ``expr`` once and use it several times."""
+    """Evaluate ``expr`` once and use it several times; plain names stay as they are."""
+    if re.fullmatch(r"[\w.]+", expr):
+        return fn(expr)
     x = fresh("v")
     return f"get(transform(array({expr}), {x} -> {fn(x)}), 0)"
 

@@ -13,9 +13,13 @@ def to_decimal(e: str) -> str:
 
 
 def number_text(decimal: str) -> str:
-    """Integral values without a fraction, all others in shortest float form."""
+    """Integral values without a fraction, all others in shortest float form.
 
-    def spell(d: str) -> str:
+    Up to 15 digits the decimal's own digits are that form; only longer or very
+    small numbers take the detour through double.
+    """
+
+    def long_form(d: str) -> str:
         whole = f"CAST({d} AS decimal(38,0))"
         plain = replace(f"CAST(CAST(CAST({d} AS double) AS {DECIMAL}) AS string)", r"\.?0+\z")
         exponent = f"CAST(CAST({d} AS double) AS string)"
@@ -25,4 +29,12 @@ def number_text(decimal: str) -> str:
             f"WHEN abs({d}) < 0.0001 THEN {tiny} ELSE {plain} END"
         )
 
+    def spell(d: str) -> str:
+        digits = f"rtrim('.', rtrim('0', CAST({d} AS string)))"
+        return let(
+            digits,
+            lambda t: f"CASE WHEN length({t}) <= 16 AND NOT startswith({t}, '0.0000') "
+            f"AND NOT startswith({t}, '-0.0000') THEN {t} ELSE {long_form(d)} END",
+        )
+
     return let(decimal, spell)

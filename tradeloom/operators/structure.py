@@ -15,7 +15,7 @@ from tradeloom.fixed import (
 )
 from tradeloom.functions import all_of, any_of, in_list, keep, matches, q, strings, transform
 from tradeloom.functions.linked import member
-from tradeloom.operators.extract import NO_TEXTS, with_columns
+from tradeloom.operators.extract import NO_TEXTS, SEAL, with_columns
 
 
 @dataclass(frozen=True)
@@ -141,8 +141,8 @@ def check(docs: DataFrame, rules: tuple[CheckRule, ...] = PASSPORT_RULES) -> Dat
     return with_columns(
         docs,
         {
-            "errors": f"IF(doc IS NULL, array('Instance is not valid JSON'), "
-            f"{violations('doc', rules)})",
+            "errors": f"CASE WHEN doc IS NULL AND {SEAL} THEN array('Instance is not valid JSON') "
+            f"ELSE {violations('doc', rules)} END",
         },
     ).withColumns(
         {

@@ -5,9 +5,20 @@ Spark derives one XML message per row, so conversion work grows with the table.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from tradeloom.functions import q
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Give every core a share of narrow rows before work that is heavy per row.
+
+    Big inputs already have at least as many splits as cores and stay untouched.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def escape(e: str) -> str:
     """Text content with XML markup characters escaped."""
     return f"replace(replace(replace({e}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"

@@ -27,7 +27,7 @@ from tradeloom.operators import inventory as inv, passport, profiles, ranking, s
 from tradeloom.operators import structure
 from tradeloom.operators.leftovers import leftover_profile
 from tradeloom.plans.convert import convert
-from tradeloom.plans.messages import element, escape, gtin14, join, message
+from tradeloom.plans.messages import element, escape, gtin14, join, message, spread
 from tradeloom.sources import documents as docs_in, tabular, vocabulary
 from tradeloom.sources.profile import Profile, built_in_profile
 from tradeloom.sources.xmlnodes import explode_nodes, shred
@@ -62,7 +62,7 @@ _SQL_GTIN = """lpad(CAST(p_partkey AS VARCHAR), 13, '0') || CAST((10 - list_sum(
 
 def part_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full message per part."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     trade_item = message(
         element("gtin", gtin14("p_partkey")),
         element("brandNameInformation", element("brandName", f"concat(' ', {escape('p_brand')})")),
@@ -147,7 +147,7 @@ def xml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS BIGINT) AS chars FROM documents""")
 def xml_document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole document texts through a message and back, normalised."""
-    texts = table(spark, sf_dir, "documents")
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     item = message(element("tradeItemDescription", escape("text"), languageCode="lang"))
     sent = texts.selectExpr("doc_id", f"{item} AS content")
     name = "product.product_name[0]"
@@ -159,7 +159,7 @@ def xml_document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def faulty_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part messages with missing, wrong and half-filled fields, and broken ones."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     wrong = f"IF(p_partkey % 7 = 0, concat('9', {gtin14('p_partkey')}), {gtin14('p_partkey')})"
     item = message(
         f"IF(p_partkey % 11 = 0, '', {element('gtin', wrong)})",
@@ -300,7 +300,7 @@ def xml_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
             element("preparationStateCode", "'prepared'"),
             nutrient("fat", "p_size", "grm"), nutrient("ENER-", "concat(p_size, '.50')", "kjo"))),
     )
-    sent = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{item} AS content")
+    sent = spread(table(spark, sf_dir, "part")).selectExpr("p_partkey", f"{item} AS content")
     products = convert(sent, leftovers=False).select(
         "p_partkey", "product.allergens", F.posexplode("product.nutrients").alias("pos", "n")
     )
@@ -340,7 +340,7 @@ def xml_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
         element("referencedFileInformation", join(
             element("fileName", "p_brand"), element("referencedFileTypeCode", "'SHEET'"))),
     )
-    sent = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{item} AS content")
+    sent = spread(table(spark, sf_dir, "part")).selectExpr("p_partkey", f"{item} AS content")
     profile = leftover_profile(convert(sent))
     return profile.selectExpr(
         "element", "parent", "path",
@@ -407,8 +407,8 @@ def date_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
         ELSE CAST(l_extendedprice AS VARCHAR) END AS t FROM lineitem) GROUP BY l_returnflag""")
 def number_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").selectExpr(
-        "l_returnflag", f"{number_text('CAST(l_extendedprice AS decimal(38,18))')} AS t"
-    )
+        "l_returnflag", "CAST(l_extendedprice AS decimal(38,18)) AS price"
+    ).selectExpr("l_returnflag", f"{number_text('price')} AS t")
     return lines.groupBy("l_returnflag").agg(
         F.count_distinct("t").alias("spellings"), F.min("t").alias("first"),
         F.max("t").alias("last"), F.sum(F.length("t")).alias("chars"),
@@ -665,7 +665,9 @@ _SQL_TOPIC = "CASE " + " ".join(
     FROM (SELECT t, {_SQL_TOPIC} AS topic FROM (SELECT lower(text) AS t FROM documents)) GROUP BY topic""")
 def keyword_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic of whole document texts."""
-    texts = table(spark, sf_dir, "documents").select(F.lower("text").alias("t"))
+    texts = spread(table(spark, sf_dir, "documents").select("text")).select(
+        F.lower("text").alias("t")
+    )
     topics = texts.select("t", F.expr(explorer.topic_of("t")).alias("topic"))
     return topics.groupBy("topic").agg(
         F.count("*").alias("documents"), F.sum(F.length("t")).alias("chars")
@@ -763,7 +765,7 @@ def part_candidates(spark: SparkSession, sf_dir: str, limit: int = 5) -> DataFra
         "CASE length(p_name) % 3 WHEN 0 THEN 'xsd:decimal' WHEN 1 THEN 'gs1:QuantitativeValue' "
         "ELSE 'xsd:boolean' END AS range",
     )
-    attributes = part.selectExpr(
+    attributes = spread(part).selectExpr(
         "p_partkey AS row_pos", "CAST(p_partkey AS string) AS bms_id",
         "concat(p_name, ' ', lower(p_type)) AS attribute_name", "'' AS xpath", "'' AS definition",
         "CASE p_size % 3 WHEN 0 THEN 'Measurement' WHEN 1 THEN 'Boolean' ELSE 'Other' END AS data_type",
@@ -850,7 +852,7 @@ def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("rdfs:subPropertyOf", "IF(p_size % 7 = 0, '{\"@id\":\"gs1:linkType\"}', NULL)"),
         ("sw:term_status", "'\"stable\"'"),
     ])
-    return table(spark, sf_dir, "part").selectExpr(
+    return spread(table(spark, sf_dir, "part")).selectExpr(
         "'' AS path", f"concat('{{\"@graph\":[', {item}, ',5,{{\"@id\":\"gs1:\"}}]}}') AS text"
     )
 
@@ -1045,7 +1047,7 @@ def part_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("brand", f"IF(p_size % 5 = 0, {brand}, {json_string('p_brand')})"),
         ("gs1:brand", "IF(p_size % 4 = 0, '7', NULL)"),
     ])
-    texts = table(spark, sf_dir, "part").selectExpr(
+    texts = spread(table(spark, sf_dir, "part")).selectExpr(
         "p_partkey", f"IF(p_partkey % 100 = 1, 'no json', {doc}) AS text"
     )
     return docs_in.json_objects(texts)
