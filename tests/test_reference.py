@@ -111,7 +111,9 @@ def test_explorer(spark, items, tmp_path):
     found = {r.term_id: r for r in built.collect()}
     assert found["gs1:gtin"].coverage_status == "high_confidence"
     assert [g.sdr_id for g in found["gs1:gtin"].governance] == ["S1", "S2"]
-    assert [e.canonical_field for e in found["gs1:gtin"].evidence] == ["gtin", "gtin2"]
+    assert (found["gs1:gtin"].evidence_count, found["gs1:dpp"].evidence_count) == (2, 1)
+    evidence = explorer.evidence_by_term(rows)
+    assert sorted(r.evidence.canonical_field for r in evidence.collect()) == ["doc", "doc", "gtin", "gtin2"]
     assert found["gs1:dpp"].coverage_status == "schema_org_fallback"
     assert found["gs1:dpp"].group == "Documents and DPP"
     assert found["gs1:link"].coverage_status == "unmapped"
@@ -127,12 +129,12 @@ def test_explorer(spark, items, tmp_path):
     assert shown["gs1:gtin"]["SDR indicator"] == "S1, S2"
 
     def kept(**options):
-        return {r.term_id for r in explorer.filter_properties(built, **options).collect()}
+        return {r.term_id for r in explorer.filter_properties(built, evidence, **options).collect()}
 
     assert kept() == set(found) and kept(only_mapped=True) == {"gs1:gtin"}
     assert kept(search=" GTIN2 ") == {"gs1:gtin"} and kept(only_standards_review=True) == {"gs1:gtin"}
     assert kept(group="Documents and DPP", coverage_status="unmapped") == set()
-    writers.write_explorer(built, str(tmp_path / "explorer"))
+    writers.write_explorer(built, evidence, str(tmp_path / "explorer"))
     assert inv.backlog_summary(decisions).first().open_warnings == 2
     assert docs_in.backlog_from_file(spark, "/nowhere.json").count() == 0
 
@@ -202,6 +204,12 @@ def test_numbering_spans_chunks(spark):
         assert got[(k, pos)] == seen[k]
 
 
+def test_lines_are_numbered_across_partitions(spark):
+    rows = spark.range(100, numPartitions=7).filter("id % 3 <> 1")
+    got = [(r.id, r.n) for r in ranking.number_lines(rows, "n", first=2).orderBy("n").collect()]
+    assert got == [(i, n) for n, i in enumerate((i for i in range(100) if i % 3 != 1), start=2)]
+
+
 def test_duplicates_ignore_blanks(spark):
     rows = spark.createDataFrame([(v,) for v in ["a", "a ", "b", "", " ", "c", "c", "c"]], "v string")
     assert [tuple(r) for r in ranking.duplicate_values(rows, "v").collect()] == [("c", 3), ("a", 2)]

@@ -29,7 +29,7 @@ from tradeloom.functions.text import (
     xpath_terminal,
 )
 from tradeloom.operators.extract import NO_TEXTS, SEAL, with_columns
-from tradeloom.operators.ranking import best_row, top_k
+from tradeloom.operators.ranking import best_row, number_lines, top_k
 from tradeloom.sources.profile import Profile
 
 # Above this many properties the property side is no longer broadcast.
@@ -189,7 +189,7 @@ def attribute_side(attributes: DataFrame) -> DataFrame:
     ``row_pos`` (input order) is the last tie breaker; one is made up if absent.
     """
     if "row_pos" not in attributes.columns:
-        attributes = attributes.withColumn("row_pos", F.monotonically_increasing_id())
+        attributes = number_lines(attributes, "row_pos")
     rows = attributes.selectExpr(
         "row_pos", "coalesce(try_cast(trim(bms_id) AS bigint), 0L) AS bms_sort",
         *[f"{_clean(c)} AS {c}" for c in _ATTRIBUTE_TEXTS],

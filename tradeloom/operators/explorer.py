@@ -62,15 +62,27 @@ def strongest_coverage(status: str):
     return F.max_by(status, F.expr(coverage_rank(status)))
 
 
-def topic_of(text: str, is_link_type: str = "false") -> str:
-    """Topic by the first keyword group found in lower-case text."""
+def topic_rank(text: str, is_link_type: str = "false") -> str:
+    """Position of the first keyword group found in lower-case text.
+
+    Positions can be compared, so several texts combine by taking the minimum.
+    """
     cases = []
-    for topic, words in TOPIC_GROUPS:
+    for rank, (topic, words) in enumerate(TOPIC_GROUPS):
         tests = [f"contains({text}, {q(w)})" for w in words]
         if topic == LINK_TOPIC:
             tests.insert(0, is_link_type)
-        cases.append((any_of(tests), q(topic)))
-    return first_match(cases, q(OTHER_TOPIC))
+        cases.append((any_of(tests), str(rank)))
+    return first_match(cases, str(len(TOPIC_GROUPS)))
+
+
+def topic_name(rank: str) -> str:
+    return f"get({strings([*(t for t, _ in TOPIC_GROUPS), OTHER_TOPIC])}, {rank})"
+
+
+def topic_of(text: str, is_link_type: str = "false") -> str:
+    """Topic by the first keyword group found in lower-case text."""
+    return topic_name(topic_rank(text, is_link_type))
 
 
 def evidence_by_term(rows: DataFrame) -> DataFrame:
@@ -121,32 +133,47 @@ def governance_by_term(evidence: DataFrame, backlog: DataFrame) -> DataFrame:
     ).selectExpr("term_id", "transform(g, x -> x.reference) AS governance")
 
 
-def explore(
-    properties: DataFrame, rows: DataFrame, backlog: DataFrame
-) -> DataFrame:
-    """Attach evidence, governance, coverage and topic to vocabulary properties."""
+def explore(properties: DataFrame, rows: DataFrame, backlog: DataFrame) -> DataFrame:
+    """Attach coverage, topic, evidence counts and governance to properties.
+
+    Evidence itself stays in long form (``evidence_by_term``): here it is only
+    aggregated, so a property named by very many catalog rows costs no more than
+    any other. Governance lists are distinct decisions, bounded by the backlog.
+    """
     evidence = evidence_by_term(rows)
-    per_term = evidence.groupBy("term_id").agg(
-        F.expr("transform(array_sort(collect_list(struct(row_number, evidence))), x -> x.evidence)")
-        .alias("evidence"),
-        strongest_coverage("coverage").alias("coverage_status"),
+    said = (
+        "lower(concat_ws(' ', evidence.canonical_field, evidence.scope_group, "
+        "evidence.source_attribute_name, evidence.jsonld_property))"
     )
-    joined = (
-        properties.join(per_term, "term_id", "left")
-        .join(governance_by_term(evidence, backlog), "term_id", "left")
-        .withColumn("coverage_status", F.coalesce("coverage_status", F.lit("unmapped")))
+    per_term = (
+        with_columns(evidence, {"_said": said})
+        .groupBy("term_id")
+        .agg(
+            F.count("*").alias("evidence_count"),
+            F.expr("bool_or(evidence.bms_id <> '' OR evidence.gdsn_xpath <> '')")
+            .alias("has_source_evidence"),
+            strongest_coverage("coverage").alias("coverage_status"),
+            F.min(F.expr(topic_rank("_said"))).alias("_said_rank"),
+        )
     )
-    said = (
-        "concat_ws(' ', transform(evidence, e -> concat_ws(' ', e.canonical_field, "
-        "e.scope_group, e.source_attribute_name, e.jsonld_property)))"
+    joined = properties.join(per_term, "term_id", "left").join(
+        governance_by_term(evidence, backlog), "term_id", "left"
     )
-    words = (
+    own = (
         "lower(concat_ws(' ', term_id, label, comment, concat_ws(' ', domain), "
-        f"concat_ws(' ', range), concat_ws(' ', sub_property_of), {said}))"
+        "concat_ws(' ', range), concat_ws(' ', sub_property_of)))"
     )
-    return with_columns(joined, {"_words": words}).withColumn(
-        "group", F.expr(topic_of("_words", "is_link_type"))
-    ).drop("_words")
+    worded = with_columns(
+        joined,
+        {
+            "coverage_status": "coalesce(coverage_status, 'unmapped')",
+            "evidence_count": "coalesce(evidence_count, 0L)",
+            "has_source_evidence": "coalesce(has_source_evidence, false)",
+            "_words": own,
+        },
+    )
+    rank = f"least({topic_rank('_words', 'is_link_type')}, _said_rank)"
+    return worded.withColumn("group", F.expr(topic_name(rank))).drop("_words", "_said_rank")
 
 
 def explorer_counts(properties: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,20 +210,23 @@ def display_rows(properties: DataFrame) -> DataFrame:
         "group AS `Group`", "term_id AS `Property`", "label AS `Label`",
         "array_join(domain, '; ') AS `Domain`", "array_join(range, '; ') AS `Range`",
         "coverage_status AS `Coverage`",
-        "IF(coalesce(exists(evidence, e -> e.bms_id <> '' OR e.gdsn_xpath <> ''), false), "
-        "'yes', 'no') AS `BMS/XPath evidence`",
+        "IF(has_source_evidence, 'yes', 'no') AS `BMS/XPath evidence`",
         "coalesce(array_join(transform(governance, g -> g.sdr_id), ', '), '') AS `SDR indicator`",
-        "coalesce(size(evidence), 0) AS `Evidence count`", "full_iri AS `Full IRI`",
+        "evidence_count AS `Evidence count`", "full_iri AS `Full IRI`",
         "comment AS `Comment`", "array_join(sub_property_of, '; ') AS `SubPropertyOf`",
         "array_join(type, '; ') AS `Type`", "is_link_type AS `Link type`",
     )
 
 
 def filter_properties(
-    properties: DataFrame, *, group: str = "", coverage_status: str = "", search: str = "",
-    only_mapped: bool = False, only_standards_review: bool = False,
+    properties: DataFrame, evidence: DataFrame, *, group: str = "", coverage_status: str = "",
+    search: str = "", only_mapped: bool = False, only_standards_review: bool = False,
 ) -> DataFrame:
-    """Explorer filter; empty options do not restrict."""
+    """Explorer filter; empty options do not restrict.
+
+    The search text may occur in the property or in any of its evidence rows,
+    which are met by a semi-join.
+    """
     tests = []
     if group not in ("", "All groups"):
         tests.append(f"group = {q(group)}")
@@ -207,13 +237,19 @@ def filter_properties(
     if only_standards_review:
         tests.append("(coverage_status = 'standards_review_required' "
                      "OR coalesce(size(governance), 0) > 0)")
-    if search.strip():
-        cells = [
-            f"concat_ws(' ', transform(evidence, e -> e.{name}))"
-            for name in ("canonical_field", "bms_id", "gdsn_xpath", "source_attribute_name",
-                         "jsonld_property")
-        ]
-        text = ("lower(concat_ws(' ', term_id, label, comment, concat_ws(' ', domain), "
-                f"concat_ws(' ', range), {', '.join(cells)}))")
-        tests.append(f"contains({text}, {q(search.strip().lower())})")
-    return properties.filter(" AND ".join(tests)) if tests else properties
+    kept = properties.filter(" AND ".join(tests)) if tests else properties
+    wanted = search.strip().lower()
+    if not wanted:
+        return kept
+    text = ("lower(concat_ws(' ', term_id, label, comment, concat_ws(' ', domain), "
+            "concat_ws(' ', range)))")
+    cells = ", ".join(
+        f"evidence.{name}" for name in ("canonical_field", "bms_id", "gdsn_xpath",
+                                        "source_attribute_name", "jsonld_property")
+    )
+    in_evidence = evidence.filter(f"contains(lower(concat_ws(' ', {cells})), {q(wanted)})")
+    own = F.expr(f"contains({text}, {q(wanted)})")
+    return kept.filter(own).unionByName(
+        kept.filter(~own).join(in_evidence.select("term_id"), "term_id", "left_semi")
+        .select(*kept.columns)
+    )

@@ -101,8 +101,11 @@ def write_candidates(rows: DataFrame, path: str) -> dict[str, str]:
     }
 
 
-def write_explorer(properties: DataFrame, path: str) -> dict[str, str]:
+def write_explorer(
+    properties: DataFrame, evidence: DataFrame, path: str
+) -> dict[str, str]:
     return {
+        "evidence_json": write_json(evidence, f"{path}/evidence_json"),
         "properties_json": write_json(properties, f"{path}/properties_json"),
         "properties_csv": write_csv(display_rows(properties), f"{path}/properties_csv"),
         "summary": write_json(explorer_summary(properties), f"{path}/summary"),

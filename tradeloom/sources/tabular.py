@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tradeloom.fixed import ATTRIBUTE_HEADERS, ATTRIBUTE_LINEAGE, DELETED_SHEET
 from tradeloom.functions import replace
 from tradeloom.functions.text import strip
+from tradeloom.operators.ranking import number_lines
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -27,19 +28,16 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Mapping catalog: cells trimmed, missing cells empty, rows numbered.
 
-    ``row_number`` is the line a reader of the file would count (header = 1). A
-    catalog is one governed file of a few hundred rows, read by one task.
+    ``row_number`` is the line a reader of the file would count (header = 1).
     """
-    return catalog_rows(read_csv(spark, path).coalesce(1))
+    return catalog_rows(read_csv(spark, path))
 
 
 def catalog_rows(raw: DataFrame) -> DataFrame:
     cells = [
         f"coalesce({strip(f'`{c}`')}, '') AS `{c}`" for c in raw.columns
     ]
-    return raw.selectExpr(*cells).withColumn(
-        "row_number", F.monotonically_increasing_id() + 2
-    )
+    return number_lines(raw.selectExpr(*cells), "row_number", first=2)
 
 
 # --- Source-attribute sheets ------------------------------------------------------

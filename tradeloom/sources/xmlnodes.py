@@ -25,6 +25,7 @@ NODE_TYPE = (
     "text:string,t0:int,t1:int,filled:boolean,anc:array<int>>"
 )
 _FLUSH_NODES = 200_000
+_FLUSH_CHARS = 32_000_000
 
 
 class _Batch:
@@ -47,6 +48,7 @@ class _Batch:
         self.doc_offsets: list[int] = [0]
         self.bodies: list[str | None] = []
         self.errors: list[str | None] = []
+        self.chars = 0
 
     def cut(self, mark: tuple[int, int, int]) -> None:
         """Drop a half-read document."""
@@ -155,6 +157,7 @@ def _read_document(content: bytes, out: _Batch) -> None:
         out.errors.append(f"Invalid XML: {exc}")
     else:
         out.bodies.append("".join(pieces))
+        out.chars += position
         out.errors.append(None)
     out.doc_offsets.append(len(out.ids))
 
@@ -167,7 +170,8 @@ def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for row in range(batch.num_rows):
             value = contents[row].as_py()
             _read_document(b"" if value is None else value, buffers)
-            if len(buffers.ids) >= _FLUSH_NODES or row == batch.num_rows - 1:
+            full = len(buffers.ids) >= _FLUSH_NODES or buffers.chars >= _FLUSH_CHARS
+            if full or row == batch.num_rows - 1:
                 part = batch.slice(begin, row + 1 - begin)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(name) for name in kept] + buffers.arrays(),
