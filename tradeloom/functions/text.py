@@ -11,9 +11,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from tradeloom import ship_with_tasks
 from tradeloom.fixed import STOPWORDS
 from tradeloom.functions import keep, matches, q, replace, some, strings
 
+ship_with_tasks(__name__)
+
 # White space as the source system's string trimming understands it: the Unicode
 # White_Space property plus the four ASCII separators.
 _WS = r"[\s\x1c-\x1f]"

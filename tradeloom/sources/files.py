@@ -10,10 +10,13 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tradeloom import ship_with_tasks
 from tradeloom.fixed import MAX_FILE_BYTES, MAX_FILES, MAX_TOTAL_BYTES
 from tradeloom.functions.text import safe_archive_path
 from tradeloom.operators.extract import with_columns
 
+ship_with_tasks(__name__)
+
 
 def xml_directory(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id`` (file path), ``file_name`` and ``content`` of every ``*.xml``."""

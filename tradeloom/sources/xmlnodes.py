@@ -18,8 +18,11 @@ from xml.parsers import expat
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tradeloom import ship_with_tasks
 from tradeloom.functions import transform
 
+ship_with_tasks(__name__)
+
 NODE_TYPE = (
     "struct<id:int,parent:int,last:int,name:string,attrs:map<string,string>,"
     "text:string,t0:int,t1:int,filled:boolean,anc:array<int>>"
