@@ -50,27 +50,26 @@ def output_names(results: DataFrame, limits: ArchiveLimits | None = None) -> Dat
 
     A suffixed name may itself be another file's base name, so the choice is
     sequential. An archive holds at most ``max_files`` entries (checked when it
-    was read), so its names are folded as one short array.
+    was read), so its summary rows are folded as one short array, in one pass.
     """
     limits = limits or ArchiveLimits()
+    columns = [c for c in results.columns if c not in ("archive", "entry_no")]
     tries = f"sequence(1, {limits.max_files} + 1)"
     candidate = "IF(n = 1, x.base_name, concat(x.base_name, '_', n))"
     free = f"get(filter(transform({tries}, n -> {candidate}), c -> NOT array_contains(used, c)), 0)"
-    names = (
-        results.filter("status = 'success'")
-        .groupBy("archive")
-        .agg(F.array_sort(F.collect_list(F.struct("entry_no", "base_name"))).alias("files"))
-        .selectExpr(
-            "archive",
-            "files",
-            f"aggregate(files, CAST(array() AS array<string>), "
-            f"(used, x) -> array_append(used, {free})) AS names",
-        )
-        .selectExpr("archive", "posexplode(names) AS (i, output_name)", "files")
-        .selectExpr("archive", "get(files, i).entry_no AS entry_no", "output_name")
+    grouped = results.groupBy("archive").agg(
+        F.array_sort(F.collect_list(F.struct("entry_no", *columns))).alias("files")
     )
-    joined = results.join(names, ["archive", "entry_no"], "left")
-    return joined.withColumn("output_name", F.coalesce("output_name", F.lit("")))
+    named = with_columns(
+        grouped,
+        {
+            "names": "aggregate(files, CAST(array() AS array<string>), (used, x) -> "
+            f"array_append(used, IF(x.status = 'success', {free}, '')))"
+        },
+    )
+    return named.selectExpr("archive", "names", "posexplode(files) AS (i, f)").selectExpr(
+        "archive", "f.*", "get(names, i) AS output_name"
+    ).select(*results.columns, "output_name")
 
 
 def convert_archives(

@@ -58,8 +58,12 @@ def coverage_rank(status: str) -> str:
 
 
 def strongest_coverage(status: str):
-    """Aggregate: the status with the highest priority."""
-    return F.max_by(status, F.expr(coverage_rank(status)))
+    """Aggregate: the status with the highest priority.
+
+    The maximum of the numeric rank hashes; a maximum over text would sort.
+    """
+    strongest = f"CAST(max({coverage_rank(status)}) AS int) - 1"
+    return F.expr(f"get({strings(COVERAGE_PRIORITY)}, {strongest})")
 
 
 def topic_rank(text: str, is_link_type: str = "false") -> str:

@@ -191,15 +191,18 @@ _SQL_FAULTS = """SELECT *, p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AS has_gti
       {{'id': 'net_content_value', 'status': CASE WHEN has_value THEN 'mapped' ELSE 'transform_error' END}},
       {{'id': 'net_content_unit', 'status': CASE WHEN has_unit THEN 'mapped' ELSE 'missing_optional' END}},
       {{'id': 'product_page_url', 'status': CASE WHEN has_page THEN 'mapped' ELSE 'validation_error' END}},
-      {{'id': 'allergens', 'status': 'missing_optional'}}
+      {{'id': 'allergens', 'status': 'missing_optional'}},
+      {{'id': 'product_description', 'status': 'missing_optional'}},
+      {{'id': 'gpc_category_code', 'status': 'missing_optional'}},
+      {{'id': 'product_image_url', 'status': 'missing_optional'}},
+      {{'id': 'ingredient_statement', 'status': 'missing_optional'}},
+      {{'id': 'nutrients', 'status': 'missing_optional'}},
+      {{'id': 'certifications', 'status': 'missing_optional'}},
+      {{'id': 'referenced_documents', 'status': 'missing_optional'}}
     ], recursive := true) FROM ({_SQL_FAULTS})) GROUP BY ALL""")
 def xml_mapping_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = batch.report_rows(convert(faulty_messages(spark, sf_dir), leftovers=False), ["p_partkey"])
-    shown = ("gtin", "product_name", "brand_name", "net_content_value", "net_content_unit",
-             "product_page_url", "allergens")
-    return rows.filter(F.col("id").isin(*shown)).groupBy("id", "status").agg(
-        F.count("*").alias("documents")
-    )
+    return rows.groupBy("id", "status").agg(F.count("*").alias("documents"))
 
 
 @workload(f"""SELECT p_partkey, has_gtin AND has_name AS valid,
@@ -1159,3 +1162,204 @@ def input_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.expr(authoring.input_type()).alias("kind")).agg(
         F.count("*").alias("parts")
     )
+
+
+# --- Explorer, governance, further reports ---------------------------------------
+
+
+def nation_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One decision per nation about a property, every second one about a field too."""
+    decision = json_object([
+        ("id", json_string("concat('S', n_nationkey)")), ("title", json_string("n_name")),
+        ("status", "IF(n_nationkey % 4 = 0, '\"done\"', '\"open\"')"),
+        ("category", json_string("concat('cat', n_regionkey)")), ("warning_count", "n_nationkey"),
+        ("affected_properties", "concat('[', " + json_string("concat('gs1:prop', n_nationkey)") + ", ']')"),
+        ("affected_fields", "IF(n_nationkey % 2 = 0, concat('[', "
+         + json_string("concat('field_', (n_nationkey + 1) % 25)") + ", ']'), '[]')"),
+        ("decision_file", "'\"f.md\"'"),
+    ])
+    nation = table(spark, sf_dir, "nation").selectExpr(
+        "'' AS path", f"concat('[', {decision}, ']') AS text", "n_nationkey"
+    )
+    # Every row is its own one-entry list, so positions come from the table.
+    return docs_in.backlog(nation.select("path", "text")).withColumn(
+        "pos", F.regexp_extract("id", "[0-9]+", 0).cast("int")
+    )
+
+
+@workload("""SELECT CAST(count(*) FILTER (n_nationkey % 4 <> 0) AS BIGINT) AS open_topics,
+    CAST(sum(CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey ELSE 0 END) AS BIGINT) AS open_warnings
+    FROM nation""")
+def backlog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inv.backlog_summary(nation_backlog(spark, sf_dir))
+
+
+_SQL_GOVERNED = f"""SELECT DISTINCT 'gs1:prop' || n_nationkey AS term_id, n_nationkey AS d FROM nation
+    UNION SELECT 'gs1:prop' || c_nationkey, n_nationkey FROM nation JOIN customer
+      ON c_nationkey = (n_nationkey + 1) % 25 WHERE n_nationkey % 2 = 0 AND c_custkey % 3 <> 0
+        AND c_custkey % 8 <> 0
+    UNION SELECT 'schema:name' || c_nationkey, n_nationkey FROM nation JOIN customer
+      ON c_nationkey = (n_nationkey + 1) % 25 WHERE n_nationkey % 2 = 0 AND c_custkey % 3 <> 0
+        AND c_custkey % 9 = 0
+    UNION SELECT 'gs1:x', n_nationkey FROM nation JOIN customer
+      ON c_nationkey = (n_nationkey + 1) % 25 WHERE n_nationkey % 2 = 0 AND c_custkey % 3 <> 0
+        AND c_custkey % 10 = 0"""
+
+
+@workload(f"""SELECT term_id, string_agg('S' || d, ',' ORDER BY 'S' || d) AS decisions
+    FROM ({_SQL_GOVERNED}) GROUP BY term_id""")
+def governance_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence = explorer.evidence_by_term(customer_catalog(spark, sf_dir))
+    linked = explorer.governance_by_term(evidence, nation_backlog(spark, sf_dir))
+    return linked.selectExpr(
+        "term_id", "array_join(array_sort(transform(governance, g -> g.sdr_id)), ',') AS decisions"
+    )
+
+
+def nation_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").selectExpr(
+        "concat('gs1:prop', n_nationkey) AS term_id", "concat('prop', n_nationkey) AS compact_name",
+        "n_name AS label", "CASE n_nationkey % 4 WHEN 0 THEN 'Energy per serving' WHEN 1 THEN "
+        "'Price of an offer' ELSE '' END AS comment", "array('gs1:Product') AS type",
+        "'stable' AS term_status", "CAST(array() AS array<string>) AS domain",
+        "array('xsd:string') AS range", "CAST(array() AS array<string>) AS sub_property_of",
+        "'' AS full_iri", "n_nationkey % 7 = 0 AS is_link_type",
+    )
+
+
+_SQL_EXPLORED = f"""WITH e AS (SELECT 'gs1:prop' || c_nationkey AS term_id, count(*) AS n,
+      arg_max(coverage, list_position(['unmapped', 'unknown', 'mapped', 'high_confidence', 'candidate',
+        'experimental', 'schema_org_fallback', 'standards_review_required'], coverage)) AS coverage
+      FROM ({_SQL_COVERAGE}) WHERE c_custkey % 8 <> 0 GROUP BY 1),
+    g AS (SELECT term_id, count(*) AS decisions FROM ({_SQL_GOVERNED}) GROUP BY 1)
+    SELECT 'gs1:prop' || n_nationkey AS term_id, coalesce(coverage, 'unmapped') AS coverage_status,
+      CASE WHEN n_nationkey % 4 = 0 THEN 'Nutritional Information'
+        WHEN n_nationkey % 4 = 1 THEN 'Offer and Sales Information'
+        WHEN n_nationkey % 7 = 0 THEN 'Digital Links & Services'
+        ELSE 'Core Product Information' END AS topic,
+      CAST(coalesce(n, 0) AS BIGINT) AS evidence_count, CAST(coalesce(decisions, 0) AS BIGINT) AS decisions
+    FROM nation LEFT JOIN e ON e.term_id = 'gs1:prop' || n_nationkey
+      LEFT JOIN g ON g.term_id = 'gs1:prop' || n_nationkey"""
+
+
+@workload(_SQL_EXPLORED)
+def explorer_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = explorer.explore(
+        nation_properties(spark, sf_dir),
+        customer_catalog(spark, sf_dir).withColumn("scope_group", F.lit("brand")),
+        nation_backlog(spark, sf_dir),
+    )
+    return built.selectExpr(
+        "term_id", "coverage_status", "group AS topic", "evidence_count",
+        "CAST(coalesce(size(governance), 0) AS bigint) AS decisions",
+    )
+
+
+@workload("""SELECT 'gs1:prop' || n_nationkey AS term_id FROM nation WHERE n_nationkey % 4 = 1
+    OR n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 8 <> 0
+      AND (c_nationkey IN (1, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19))
+      AND c_custkey % 3 = 0)""")
+def explorer_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches united: one hits property text, the other evidence."""
+    rows = customer_catalog(spark, sf_dir)
+    evidence = explorer.evidence_by_term(rows)
+    built = explorer.explore(nation_properties(spark, sf_dir), rows, nation_backlog(spark, sf_dir))
+    hits = [
+        explorer.filter_properties(built, evidence, search=text).select("term_id")
+        for text in (" AN OFFER ", "field_1_image", *[f"field_{i}_image" for i in range(10, 20)])
+    ]
+    found = hits[0]
+    for more in hits[1:]:
+        found = found.unionByName(more)
+    return found.distinct()
+
+
+@workload("""SELECT change, CAST(count(*) AS BIGINT) AS terms FROM (
+    SELECT CASE WHEN p_size % 5 = 0 THEN 'removed' WHEN p_size % 3 = 0 THEN 'changed' END AS change FROM part
+    UNION ALL SELECT 'new' FROM part WHERE p_size % 11 = 0) WHERE change IS NOT NULL GROUP BY change""")
+def vocabulary_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms compared as canonical JSON: key order and repeats do not count."""
+    part = table(spark, sf_dir, "part")
+
+    def graph(*items: str) -> DataFrame:
+        return part.selectExpr(
+            "'' AS path", f"concat('{{\"@graph\":[', concat_ws(',', {', '.join(items)}), ']}}') AS text"
+        )
+
+    term = json_string("concat('gs1:t', p_partkey)")
+    name, brand = json_string("p_name"), json_string("p_brand")
+    old = json_object([("@id", term), ("a", name), ("b", brand)])
+    stale = json_object([("@id", term), ("a", "1")])
+    edited = json_object([("b", f"IF(p_size % 3 = 0, '\"x\"', {brand})"), ("a", name), ("@id", term)])
+    added = json_object([("@id", json_string("concat('gs1:n', p_partkey)"))])
+    local = vocabulary.own_terms(vocabulary.graph_items(graph(stale, old)))
+    remote = vocabulary.own_terms(vocabulary.graph_items(
+        graph(f"IF(p_size % 5 = 0, NULL, {edited})", f"IF(p_size % 11 = 0, {added}, NULL)")))
+    changes = snapshots.diff_terms(local, remote)
+    return changes.groupBy("change").agg(F.count("*").alias("terms"))
+
+
+@workload("""SELECT CAST(doc_id AS VARCHAR) AS source, sha256(text) AS local_hash,
+    CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN sha256(text || ' ') ELSE sha256(text) END
+      AS remote_hash, doc_id % 6 <> 0 AND doc_id % 4 = 0 AS changed FROM documents""")
+def source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents")
+    local = texts.selectExpr("CAST(doc_id AS string) AS source", "CAST(text AS binary) AS content")
+    remote = texts.filter("doc_id % 6 <> 0").selectExpr(
+        "CAST(doc_id AS string) AS source",
+        "CAST(IF(doc_id % 4 = 0, concat(text, ' '), text) AS binary) AS content",
+    )
+    return snapshots.source_changes(local, remote)
+
+
+@workload(f"""SELECT status, gtin_or_output_name, CAST(mapped AS BIGINT) AS mapped_count, error_summary FROM (
+    SELECT CASE WHEN b THEN 'error' ELSE 'success' END AS status,
+      CASE WHEN b THEN '' WHEN p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 THEN g
+        ELSE 'part_' || p_partkey END AS gtin_or_output_name,
+      CASE WHEN b THEN 0 ELSE CAST(p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AS INT)
+        + CAST(p_size % 5 <> 0 AS INT) + CAST(p_size % 3 <> 0 AS INT) + CAST(p_size % 4 <> 0 AS INT)
+        + CAST(p_size % 6 <> 1 AS INT) + CAST(p_size % 2 = 0 AS INT) END AS mapped,
+      CASE WHEN b THEN 'XMLParseError' ELSE '' END AS error_summary
+    FROM (SELECT *, p_partkey % 50 = 3 AS b, {_SQL_GTIN} AS g FROM part))""")
+def batch_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of ten entries; preview rows after unique naming."""
+    sent = faulty_messages(spark, sf_dir).selectExpr(
+        "CAST(p_partkey div 10 AS string) AS archive", "CAST(p_partkey % 10 AS int) AS entry_no",
+        "concat('in/part ', p_partkey, '.xml') AS entry", "content",
+    )
+    named = batch.output_names(batch.file_results(convert(sent), "entry"))
+    return batch.preview_rows(named).selectExpr(
+        "status", "gtin_or_output_name", "CAST(mapped_count AS bigint) AS mapped_count",
+        "split_part(error_summary, ':', 1) AS error_summary",
+    )
+
+
+@workload("""SELECT property_id, override, supported, CAST(n AS BIGINT) AS nested FROM (
+    SELECT 'gs1:' || p_partkey AS property_id,
+      CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_size % 3 = 0 THEN 'object' ELSE 'text' END END AS override,
+      NOT (p_partkey % 2 = 0 AND p_size % 4 = 0) AS supported,
+      CASE WHEN p_partkey % 2 = 0 AND p_size % 3 = 0 THEN 1 ELSE 0 END AS n FROM part WHERE p_partkey % 3 <> 1
+    UNION ALL SELECT 'gs1:' || p_partkey, CASE WHEN p_size % 3 = 0 THEN 'object' ELSE 'text' END,
+      p_size % 4 <> 0, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END
+      FROM part WHERE p_partkey % 3 = 1 AND p_partkey % 2 = 0)""")
+def authoring_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    properties = part.filter("p_partkey % 3 <> 1").selectExpr(
+        "concat('gs1:', p_partkey) AS term_id", "array('xsd:string') AS range"
+    )
+    stated = part.filter("p_partkey % 2 = 0")
+    fields = stated.selectExpr(
+        "concat('gs1:', p_partkey) AS property_id", "1 AS field_pos",
+        "IF(p_size % 3 = 0, 'object', 'text') AS input_type_override",
+        "IF(p_size % 4 = 0, false, NULL) AS supported", "'gs1:T' AS object_type",
+        "IF(p_size % 3 = 0, array(named_struct('property_id', 'gs1:c', 'input_type', 'text')), NULL) "
+        "AS object_fields",
+    )
+    first_version = fields.withColumns(
+        {"field_pos": F.lit(0), "input_type_override": F.lit("url"), "supported": F.lit(True)}
+    )
+    index = authoring.metadata_index(properties, fields.unionByName(first_version))
+    return index.selectExpr(
+        "property_id", "override", "supported",
+        "CAST(coalesce(size(object_fields), 0) AS bigint) AS nested",
+    )
