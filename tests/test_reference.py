@@ -8,6 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tradeloom.plans.reference import Snapshot, check_updates, import_reference_data
 from tradeloom.operators import explorer, inventory as inv, profiles, ranking, snapshots
 from tradeloom.sinks import writers
 from tradeloom.sources import documents as docs_in, tabular, vocabulary
@@ -194,6 +195,52 @@ def test_manifests_and_checksums(spark):
     assert profiles.find_source(sources, "zz", "voc").first().source_id == "voc"
 
 
+def test_reference_import(spark, items, tmp_path):
+    sources = spark.createDataFrame(
+        [("a", "w", hashlib.sha256(b"1").hexdigest()), ("b", "v", "00")],
+        "source_id string, local_path string, sha256 string")
+    files = spark.createDataFrame([("w", bytearray(b"1"))], "local_path string, content binary")
+    sheet = spark.createDataFrame(
+        [("1", "/p", "n", "Attribute"), ("1", "/p", "m", "Attribute")],
+        "`BMS-ID` string, xpath string, name string, type string")
+    done = import_reference_data(
+        sources, files, {"3.1": sheet}, items, attribute_version="3.1",
+        vocabulary_version="9.1", last_modified="2026-01-01")
+    assert {r.source_id: r.matches for r in done.checks.collect()} == {"a": True, "b": False}
+    assert done.properties.columns[-2:] == ["version", "last_modified"]
+    assert {r.version for r in done.classes.collect()} == {"9.1"}
+    assert done.attribute_summary().first().candidate_source_rows == 2
+    summary = done.vocabulary_summary().first()
+    assert (summary.property_count, summary.class_count) == (3, 1)
+    assert sorted(tuple(r) for r in done.duplicates().collect()) == [
+        ("/p", 2, "xpath"), ("1", 2, "bms_id")]
+    writers.write_reference(done.datasets(), str(tmp_path / "out"))
+
+
+def test_update_check(spark, items, tmp_path):
+    def side(ttl, link, graph):
+        files = spark.createDataFrame(
+            [("ttl", bytearray(ttl)), ("linktypes", bytearray(link.encode()))],
+            "source string, content binary")
+        return Snapshot(files, graph, vocabulary.linktypes_from_text(texts(spark, link)))
+
+    old = side(b"1", '{"a": {"title": "x", "status": "s"}, "b": {}}', items)
+    new = side(b"2", '{"a": {"status": "s", "title": "x"}, "c": {}}',
+               items.filter("term_id <> 'gs1:dpp'"))
+    report = check_updates(old, new)
+    assert {r.term_id: r.change for r in report["terms"].collect()} == {"gs1:dpp": "removed"}
+    assert {r.name: r.change for r in report["linktypes"].collect()} == {"b": "removed", "c": "new"}
+    rows = {r.source: r for r in report["sources"].collect()}
+    assert rows["ttl"].changed and rows["linktypes"].term_count_local == 2
+    assert report["actions"].count() == 2
+    writers.write_update_report(report, str(tmp_path / "update"))
+    metadata = vocabulary.snapshot_metadata(items)
+    writers.write_snapshot(
+        {"ttl": spark.createDataFrame([("gs1:a a b .",)], "value string")}, metadata,
+        str(tmp_path / "v2"))
+    assert vocabulary.turtle_terms(spark, str(tmp_path / "v2" / "ttl")).count() == 1
+
+
 def test_numbering_spans_chunks(spark):
     rows = spark.range(1000).selectExpr("id AS pos", "IF(id % 3 = 0, 'hot', concat('c', id % 5)) AS k")
     got = {(r.k, r.pos): r.number for r in ranking.number_rows(rows, ["k"], "pos", chunk_rows=64).collect()}

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradeloom.fixed import SCHEMA_CONTEXT_JSON, TOPIC_GROUPS, VOCABULARY_CONTEXT
-from tradeloom.functions import q, strings
+from tradeloom.functions import q
 from tradeloom.functions.checks import is_gtin, is_http_url
 from tradeloom.functions.dates import iso_date
 from tradeloom.functions.jsontext import json_object, json_string
@@ -19,9 +19,9 @@ from tradeloom.functions.linked import language_entries, member
 from tradeloom.functions.numbers import number_text
 from tradeloom.functions.text import (
     ascii_fold, formula_safe, has_value, name_tokens, safe_archive_path, safe_filename,
-    safe_stem, squeeze, strip, word_tokens, xpath_terminal,
+    squeeze, strip, word_tokens, xpath_terminal,
 )
-from tradeloom.functions.transforms import TRANSFORMS, apply_transform
+from tradeloom.functions.transforms import apply_transform
 from tradeloom.operators import authoring, batch, candidates as cand, catalog, explorer
 from tradeloom.operators import inventory as inv, passport, profiles, ranking, snapshots
 from tradeloom.operators import structure
@@ -29,7 +29,7 @@ from tradeloom.operators.leftovers import leftover_profile
 from tradeloom.plans.convert import convert
 from tradeloom.plans.messages import element, escape, gtin14, join, message, spread
 from tradeloom.sources import documents as docs_in, tabular, vocabulary
-from tradeloom.sources.profile import Profile, built_in_profile
+from tradeloom.sources.profile import Profile
 from tradeloom.sources.xmlnodes import explode_nodes, shred
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -412,9 +412,11 @@ def number_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").selectExpr(
         "l_returnflag", "CAST(l_extendedprice AS decimal(38,18)) AS price"
     ).selectExpr("l_returnflag", f"{number_text('price')} AS t")
-    return lines.groupBy("l_returnflag").agg(
-        F.count_distinct("t").alias("spellings"), F.min("t").alias("first"),
-        F.max("t").alias("last"), F.sum(F.length("t")).alias("chars"),
+    # Repeats collapse by hash first; extremes of text would sort every row.
+    spelled = lines.groupBy("l_returnflag", "t").agg(F.count("*").alias("n"))
+    return spelled.groupBy("l_returnflag").agg(
+        F.count("*").alias("spellings"), F.min("t").alias("first"), F.max("t").alias("last"),
+        F.sum(F.col("n") * F.length("t")).alias("chars"),
     )
 
 
@@ -422,7 +424,7 @@ def number_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(sum(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS BIGINT) AS stripped,
     CAST(count(*) FILTER (regexp_matches(text, '\\S')) AS BIGINT) AS filled FROM documents GROUP BY lang""")
 def ws_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").selectExpr(
+    texts = spread(table(spark, sf_dir, "documents").select("lang", "text")).selectExpr(
         "lang", f"length({squeeze('text')}) AS a", f"length({strip('text')}) AS b",
         f"{has_value('text')} AS filled",
     )

@@ -114,14 +114,19 @@ def write_explorer(
 
 def write_snapshot(sources: dict[str, DataFrame], metadata: DataFrame, path: str) -> dict[str, str]:
     """A new snapshot version in its own directory; readers switch by path."""
-    written = {
-        name: df.write.mode("errorifexists").text(f"{path}/{name}") or f"{path}/{name}"
-        for name, df in sources.items()
-    }
+    written = {}
+    for name, df in sources.items():
+        df.write.mode("errorifexists").text(f"{path}/{name}")
+        written[name] = f"{path}/{name}"
     written["metadata"] = write_json(metadata, f"{path}/metadata")
     return written
 
 
+def write_update_report(report: dict[str, DataFrame], path: str) -> dict[str, str]:
+    """Sections of a vocabulary update check."""
+    return {name: write_json(df, f"{path}/{name}") for name, df in report.items()}
+
+
 def write_inventory(rows: DataFrame, path: str) -> dict[str, str]:
     return {
         "json": write_json(rows, f"{path}/inventory_json"),
