@@ -52,6 +52,8 @@ def inputs(seed: int, n_properties: int, n_attributes: int):
             "row_type": rng.choice(["Attribute", "Class", "", "attribute"]),
             "is_candidate_source": "true",
         })
+        if i and rng.random() < .4:
+            attributes[-1] = attributes[-2] | {"row_pos": i, "bms_id": attributes[-1]["bms_id"]}
     statuses = ["mapped", "candidate", "needs_bms_review", "mapped_official_bms_xpath", "Mapped"]
     catalog = [
         (f"gs1:p{rng.randrange(n_properties)}", rng.choice([str(rng.randrange(40)), ""]),

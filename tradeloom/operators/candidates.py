@@ -11,6 +11,7 @@ without losing a single result:
   common key the class alone fixes the score, and a common key can only raise it.
   Within one attribute class the first ``k`` attributes in tie order therefore
   dominate all later ones, so at most ``k`` per class have to be looked at.
+* Copies of an attribute score alike, so only the first ``k`` of them are paired.
 """
 
 from __future__ import annotations
@@ -351,6 +352,25 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 # --- Pair generation -------------------------------------------------------------
 
 
+def leading_copies(attributes: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
+    """Of attributes no property can tell apart, the first ``k`` in tie order.
+
+    Copies score alike everywhere, so later ones cannot enter a top ``k``. The id
+    sets an attribute apart only if the catalog names it. The limit works before
+    the shuffle, so a source repeated many times never travels as a whole.
+    """
+    named = catalog.selectExpr(f"{_clean('gdsn_bms_id')} AS bms_id").distinct()
+    rows = attributes.join(named.withColumn("_named", F.lit(True)), "bms_id", "left")
+    features = (
+        "a_name_tokens", "a_terminal_tokens", "a_definition_tokens", "name_l", "urn_l", "a_class",
+    )
+    known = "IF(_named, bms_id, CAST(NULL AS string)) AS known_id"
+    signature = f"sha2(to_json(struct({', '.join(features)}, {known})), 256)"
+    order = [F.col("bms_sort"), F.col("row_pos")]
+    marked = rows.withColumn("_signature", F.expr(signature))
+    return top_k(marked, ["_signature"], order, k).select(*attributes.columns)
+
+
 def keyed_pairs(properties: DataFrame, attributes: DataFrame, *, small: bool) -> DataFrame:
     """All pairs with a common signal key, each once."""
     p_keys = properties.selectExpr("p_id", "explode(p_keys) AS key")
@@ -425,7 +445,7 @@ def candidates(
     if property_id is not None:
         properties = properties.filter(F.col("term_id") == property_id)
     p = property_side(properties, catalog, profile, backlog)
-    a = attribute_side(attributes)
+    a = leading_copies(attribute_side(attributes), catalog, limit)
     small = properties.limit(BROADCAST_PROPERTIES + 1).count() <= BROADCAST_PROPERTIES
     specific = keyed_pairs(p, a, small=small)
     generic = class_pairs(p, a, limit).select(*specific.columns)
