@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import packing, token_counts as counts
+from tradeloom.llm import packing, quality_boost as boost, quality_rules as rules, token_counts as counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +19,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boost.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op8_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_token_counts, op2_quality_rules, op5_quality_classifier, op8_packing,
+)}
 ORACLES: dict[str, str] = {}

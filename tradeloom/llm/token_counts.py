@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from tradeloom.llm.common import batch_of, chunks
 
 #: Fixed-point unit of log probabilities: sums are exact, so ties are real ties.
-UNIT = 1_000_000
+UNIT = 100_000
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -50,42 +50,44 @@ def pattern(text: str | None):
 class CountTrie(dict):
     """Maps a pre-token to its number of pieces; a missing one is inserted into the trie.
 
-    Nodes are numbers; ``child[node * 256 + byte]`` is the next node. Equal scores are
+    Nodes are numbers; ``child[node * 256 + byte]`` is the next node. ``forward`` holds
+    the best score times 2**32 less the number of its pieces, so that equal scores are
     settled by fewer pieces. All single bytes are pieces, so every node has a score.
     """
 
     def __init__(self, pieces: dict[bytes, int], max_nodes: int) -> None:
         super().__init__()
-        self.pieces, self.max_nodes = pieces, max_nodes
-        self.longest = max(map(len, pieces))
+        self.max_nodes = max_nodes
+        # Also holds, as 0, what is only an end of pieces: looking back stops elsewhere.
+        self.ends = {piece[k:]: 0 for piece in pieces for k in range(len(piece))}
+        self.ends.update((piece, (score << 32) - 1) for piece, score in pieces.items())
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.child: dict[int, int] = {}
-        self.forward = [(0, 0)]
+        self.forward = [0]
 
     def __missing__(self, pretoken: str) -> int:
         if len(self.forward) >= self.max_nodes:
             self.reset()
-        data, node, path = pretoken.encode("utf-8", "surrogatepass"), 0, [(0, 0)]
-        child, forward, pieces, longest = self.child, self.forward, self.pieces, self.longest
+        data, node, path = pretoken.encode("utf-8", "surrogatepass"), 0, [0]
+        child, forward, ends = self.child, self.forward, self.ends.get
         for end, byte in enumerate(data, 1):
             key = node << 8 | byte
             node = child.get(key, 0)
-            if not node:
-                best = None
-                for begin in range(max(0, end - longest), end):
-                    score = pieces.get(data[begin:end])
-                    if score is not None:
-                        before, count = path[begin]
-                        found = (before + score, count - 1)
-                        if best is None or found > best:
-                            best = found
-                node = child[key] = len(forward)
-                forward.append(best)
-            path.append(forward[node])
-        count = self[pretoken] = -path[-1][1]
+            if node:
+                path.append(forward[node])
+                continue
+            best, begin = path[-1] + ends(data[end - 1 : end]), end - 2
+            while begin >= 0 and (score := ends(data[begin:end])) is not None:
+                if score and path[begin] + score > best:
+                    best = path[begin] + score
+                begin -= 1
+            node = child[key] = len(forward)
+            forward.append(best)
+            path.append(best)
+        count = self[pretoken] = -path[-1] & 0xFFFFFFFF
         return count
 
 
@@ -105,7 +107,7 @@ def count_batches(ranks_path: str | None, split: str | None, max_nodes: int):
 
 
 def token_counts(
-    docs: DataFrame, ranks_path: str | None = None, split: str | None = None, max_nodes: int = 400_000
+    docs: DataFrame, ranks_path: str | None = None, split: str | None = None, max_nodes: int = 1_000_000
 ) -> DataFrame:
     """One row per document: ``doc_id, n_chars, n_pretokens, n_tokens``.
 
