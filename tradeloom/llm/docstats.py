@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tradeloom.llm.common import batch_of, chunks
+from tradeloom.llm.common import batch_of, chunks, in_tasks
 
 #: Fixed values of the base rules: white space that ends a word, and symbols.
 SPACE = " \t\n\v\f\r"
@@ -84,4 +84,4 @@ def document_counts(docs: DataFrame, *carried: str) -> DataFrame:
     source = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(c).cast("string") for c in carried)
     )
-    return source.mapInArrow(count, DDL + "".join(f", {name} string" for name in carried))
+    return in_tasks(source, count, DDL + "".join(f", {name} string" for name in carried))

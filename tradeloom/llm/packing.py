@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tradeloom.llm.common import batch_of, chunks
+from tradeloom.llm.common import batch_of, chunks, in_tasks
 
 SCHEMA = pa.schema(
     [(name, pa.int64()) for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
@@ -219,7 +219,8 @@ def pack(
     """
     loss = F.col(loss_tokens).cast("long") if loss_tokens else F.lit(None).cast("long")
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), loss.alias("loss"))
-    return source.mapInArrow(
+    return in_tasks(
+        source,
         pack_batches(limits, ranks_path),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tradeloom.llm.common import batch_of, chunks, fold, stored
+from tradeloom.llm.common import batch_of, chunks, fold, in_tasks, stored
 from tradeloom.llm.docstats import COUNTS, document_counts, text_counts
 
 FEATURES = (
@@ -145,7 +145,7 @@ def score_counts(counts: DataFrame, model: Model) -> DataFrame:
             raw = np.column_stack([batch.column(name).to_numpy() for name in COUNTS])
             yield batch_of(schema, [batch.column("doc_id"), model.score(features(raw))])
 
-    return counts.select("doc_id", *COUNTS).mapInArrow(run, "doc_id long, score double")
+    return in_tasks(counts.select("doc_id", *COUNTS), run, "doc_id long, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, how: Growth = Growth()) -> DataFrame:
@@ -173,4 +173,4 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             raw = np.array([text_counts(text) for text in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(model.score(features(raw)) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_tasks(docs, run, docs.schema)

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tradeloom.llm.common import stored
+from tradeloom.llm.common import ship_package, stored
 from tradeloom.llm.docstats import document_counts
 
 #: Rule -> (part, whole): rejects when 100 * part > cutoff * whole.
@@ -92,6 +92,8 @@ def calibrate(counts: DataFrame, labels: DataFrame, limit: float, error: float,
     )
     tests = max(1, histogram.select("stratum").distinct().count()) * len(RULES)
 
+    ship_package(counts.sparkSession)
+
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         cutoff = choose_cutoff(
             rows["level"].to_numpy(), rows["good"].to_numpy(), rows["bad"].to_numpy(),

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import packing, quality_boost as boost, quality_rules as rules, token_counts as counts
+from tradeloom.llm import html_regions, language_id, packing, pii
+from tradeloom.llm import quality_boost as boost, quality_rules as rules, token_counts as counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,15 +24,27 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_ids(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boost.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_regions.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_counts, op2_quality_rules, op5_quality_classifier, op8_packing,
+    op1_token_counts, op2_quality_rules, op3_language_id, op5_quality_classifier, op7_html_text, op8_packing, op10_pii,
 )}
 ORACLES: dict[str, str] = {}

@@ -20,7 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tradeloom.llm.common import batch_of, chunks
+from tradeloom.llm.common import batch_of, chunks, in_tasks
 
 #: Fixed-point unit of log probabilities: sums are exact, so ties are real ties.
 UNIT = 100_000
@@ -116,7 +116,8 @@ def token_counts(
     repeated rows and null ids are counted row by row; other columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(
+    return in_tasks(
+        source,
         count_batches(ranks_path, split, max_nodes),
         "doc_id long, n_chars long, n_pretokens long, n_tokens long",
     )
