@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import html_regions, language_id, packing, pii
+from tradeloom.llm import html_regions, kneser_ney, language_id, packing, pii, tiling
 from tradeloom.llm import quality_boost as boost, quality_rules as rules, token_counts as counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,10 +28,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_ids(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.perplexities(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boost.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_regions.extract(table(spark, sf_dir, "pages"))
 
@@ -45,6 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_counts, op2_quality_rules, op3_language_id, op5_quality_classifier, op7_html_text, op8_packing, op10_pii,
+    op1_token_counts, op2_quality_rules, op3_language_id, op4_lm_scoring, op5_quality_classifier,
+    op6_decontamination, op7_html_text, op8_packing, op10_pii,
 )}
 ORACLES: dict[str, str] = {}
