@@ -3,7 +3,8 @@
 N-grams are 64-bit hashes. Spark counts those of the highest order, then for each lower
 order how many different words precede an n-gram; every level also yields, per context,
 the total and how many n-grams have count 1, 2, 3 and more. Each level is stored in
-shards as sorted hash arrays with their counts, in the folder that all executors share,
+shards as sorted hash arrays with their counts (of the higher levels' hashes, only the
+bits that tell them apart), in the folder that all executors share,
 and workers memory-map the shards to score texts: the model is on disk once, and memory
 holds only the pages in use.
 
@@ -93,11 +94,12 @@ def count_tokens(order: int, shards: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for batch in chunks(batches, 50_000, 12_000_000, "text"):
+        for batch in chunks(batches, 50_000, 24_000_000, "text"):
             contexts, word, _ = token_arrays(batch.column("text").to_pylist(), order, known)
             _, at, n = np.unique(mix(contexts[-1], word), return_index=True, return_counts=True)
-            contexts, word = [c[at] for c in contexts], word[at]
-            yield batch_of(schema, [shard_of(contexts[-1], contexts[0], word, hot, shards), *contexts, word, n])
+            shard = shard_of(contexts[-1][at], contexts[0][at], word[at], hot, shards)
+            by = np.lexsort((word[at], contexts[-1][at], shard))  # equal contexts in a row shuffle in fewer bytes
+            yield batch_of(schema, [shard[by], *(c[at][by] for c in contexts), word[at][by], n[by]])
 
     return run, schema
 
@@ -110,23 +112,27 @@ def is_local(uri: str) -> bool:
 
 
 def put(uri: str, arrays: list[np.ndarray]) -> None:
-    """Write equally long arrays one after the other, counts in 32 bits if they fit; the last writer wins."""
-    widths = [8, *(4 if not len(a) or a.max() < 1 << 32 else 8 for a in arrays[1:])]
-    data = np.array([len(arrays), len(arrays[0]), *widths], np.int64).tobytes()
-    data += b"".join(a.astype(f"<u{width}").tobytes() for a, width in zip(arrays, widths, strict=True))
+    """Write arrays one after the other, each in the narrowest unsigned type; the last writer wins."""
+    data, head = [], [len(arrays)]
+    for array in arrays:
+        top = int(array.max()) if len(array) else 0
+        width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+        head += [len(array), width]
+        data.append(array.astype(f"<u{width}").tobytes() + bytes(-len(array) * width % 8))
+    whole = np.array(head, np.int64).tobytes() + b"".join(data)
     if is_local(uri):
         path = urlparse(uri).path
         os.makedirs(os.path.dirname(path), exist_ok=True)
         part = tempfile.NamedTemporaryFile(dir=os.path.dirname(path), delete=False)
         with part:
-            part.write(data)
+            part.write(whole)
         os.replace(part.name, path)
         return
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
     with store.open_output_stream(path) as out:
-        out.write(data)
+        out.write(whole)
 
 
 @lru_cache(maxsize=None)
@@ -144,15 +150,44 @@ def mapped(uri: str) -> tuple[np.ndarray, ...]:
     if not os.path.exists(path):
         return ()
     data = np.memmap(path, np.uint8, "r")
-    count, size = (int(x) for x in data[:16].view(np.int64))
-    arrays, at = [], 8 * (count + 2)
-    for width in data[16:at].view(np.int64):
-        end = at + size * int(width)
-        arrays.append(data[at:end].view(np.int64 if not arrays else f"<u{width}"))
-        at = end
+    head = data[8 : 8 + 16 * int(data[:8].view(np.int64)[0])].view(np.int64).reshape(-1, 2)
+    arrays, at = [], 8 + head.nbytes
+    for size, width in head.tolist():
+        arrays.append(data[at : at + size * width].view(f"<u{width}"))
+        at += size * width + -size * width % 8
     return tuple(arrays)
 
 
+def short_keys(keys: np.ndarray) -> list[np.ndarray]:
+    """Sorted 63-bit keys as starts by their first bits and the 32 bits after those.
+
+    About four keys share a start; with the shard more than 50 bits of a key count.
+    """
+    bits = max(0, len(keys).bit_length() - 3)
+    return [np.searchsorted(keys >> (63 - bits), np.arange((1 << bits) + 1)), keys >> (31 - bits) & 0xFFFFFFFF]
+
+
+def find(arrays: tuple[np.ndarray, ...], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which sorted ``keys`` are among whole sorted keys, and where."""
+    known = arrays[0]
+    at = np.searchsorted(known, keys.astype(known.dtype))
+    at[at == len(known)] = 0
+    return known[at] == keys, at
+
+
+def find_short(arrays: tuple[np.ndarray, ...], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same among ``short_keys``."""
+    starts, low = arrays[:2]
+    bits = (len(starts) - 1).bit_length() - 1
+    first = keys >> (63 - bits)
+    at, end = starts[first].astype(np.int64), starts[first + 1].astype(np.int64)
+    want, hit = keys >> (31 - bits) & 0xFFFFFFFF, np.zeros(len(keys), bool)
+    while (open_ := ~hit & (at < end)).any():
+        hit[open_] = low[at[open_]] == want[open_]
+        at[open_ & ~hit] += 1
+    return hit, np.where(hit, at, 0)
+
+
 def look_up(folder: str, kind: str, keys: np.ndarray, shard: np.ndarray, shards: int, width: int) -> np.ndarray:
     """Values of ``keys``, one row of ``width`` each; zeros where a key is unknown."""
     out = np.zeros((len(keys), width), np.int64)
@@ -160,16 +195,11 @@ def look_up(folder: str, kind: str, keys: np.ndarray, shard: np.ndarray, shards:
     bounds = np.searchsorted(shard[order], np.arange(shards + 1))
     for number in range(shards):
         rows = order[bounds[number] : bounds[number + 1]]
-        if not len(rows):
-            continue
-        arrays = mapped(f"{folder}/{kind}-{number:06d}")
-        if not arrays or not len(arrays[0]):
-            continue
-        at = np.searchsorted(arrays[0], keys[rows])
-        at[at == len(arrays[0])] = 0
-        hit = arrays[0][at] == keys[rows]
-        for k in range(width):
-            out[rows[hit], k] = arrays[k + 1][at[hit]]
+        arrays = mapped(f"{folder}/{kind}-{number:06d}") if len(rows) else ()
+        if arrays and len(arrays[-1]):
+            hit, at = (find_short if len(arrays) == width + 2 else find)(arrays, keys[rows])
+            for k in range(width):
+                out[rows[hit], k] = arrays[k - width][at[hit]]
     return out
 
 
@@ -207,7 +237,8 @@ def write_level(order: int, level: int, shards: int, hot: np.ndarray, folder: st
         for number in np.unique(of["shard"]):
             here = of["shard"] == number
             by = np.argsort(key[here])
-            put(f"{folder}/gram{level}-{number:06d}", [value[here][by] for value in (key, a, of["raw"])[: 3 if level == 1 else 2]])
+            keys = [key[here][by]] if level == 1 else short_keys(key[here][by])
+            put(f"{folder}/gram{level}-{number:06d}", [*keys, a[here][by], *([of["raw"][here][by]] if level == 1 else [])])
         times = [(a == k).sum() for k in (1, 2, 3, 4)]
         summary = dict(kind=SUMMARY, w=level, a=a.sum(), raw=of["raw"].sum(), types=len(word),
                        **{f"n{k + 1}": n for k, n in enumerate(times)})
