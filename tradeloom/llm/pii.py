@@ -3,8 +3,8 @@
 A regular expression proposes spans of each kind, a validator confirms them (Luhn for
 cards, mod-97 for account numbers, ranges and digit counts), and words nearby raise the
 score. Positions come from the gaps between matches: a split at the same expression. The
-expressions are possessive and start only where a run starts, so a text is read in time
-linear in its length; a text is searched for a kind only if it holds what every match
+base expressions are possessive and start only where a run starts, so a text is read in
+time linear in its length; a text is searched for a kind only if it holds what every match
 must hold.
 """
 
@@ -20,7 +20,9 @@ SCORED = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 
 @dataclass(frozen=True)
 class Kind:
-    """``needs``: expression that any text with a match satisfies. ``base``: reported at any score."""
+    """``needs``: expression that any text with a match satisfies. ``alone``: what must not
+    stand before or after. ``base``: reported at any score.
+    """
 
     name: str
     pattern: str
@@ -28,6 +30,7 @@ class Kind:
     score: float
     checked: float = 0.0
     context: str = ""
+    alone: str = ""
     base: bool = False
 
 
@@ -42,12 +45,12 @@ KINDS = (
          context="card|visa|credit|debit|payment", base=True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.5, 0.2,
          context="phone|tel|call|mobile|fax", base=True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.2, 0.5,
-         context="iban|account|bank|konto|compte|cuenta"),
-    Kind("local_phone", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])", r"[0-9]{3}[.-][0-9]{4}", 0.4,
-         context="phone|tel|call|mobile|fax|telefon|telefono|téléphone"),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.4,
-         context="ssn|social security"),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", r"[A-Z]{2}[0-9]{2}", 0.2, 0.5,
+         context="iban|account|bank|konto|compte|cuenta", alone="[A-Za-z0-9]"),
+    Kind("local_phone", r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}", r"[0-9]{3}[.-][0-9]{4}", 0.4,
+         context="phone|tel|call|mobile|fax|telefon|telefono|téléphone", alone="[0-9+.-]"),
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.4,
+         context="ssn|social security", alone="[0-9-]"),
 )
 
 
@@ -113,9 +116,16 @@ def scored(text: Column, rank: int, kind: Kind, spans: Column, reach: int) -> Co
             return value
         begin = F.greatest(x["start"] - reach, F.lit(0))
         near = F.lower(F.concat_ws("\n", F.substr(text, begin + 1, x["start"] - begin), F.substr(text, x["end"] + 1, F.lit(reach))))
-        return value + F.when(F.rlike(near, F.lit(rf"(?<![\p{{L}}])(?:{kind.context})(?![\p{{L}}])")), 0.3).otherwise(0.0)
+        return value + F.when(F.rlike(near, F.lit(rf"(^|[^\p{{L}}])({kind.context})([^\p{{L}}]|$)")), 0.3).otherwise(0.0)
+
+    def fits(x: Column) -> Column:
+        if not kind.alone:
+            return confirmed(kind, x["found"])
+        before = F.when(x["start"] > 0, F.substr(text, x["start"], F.lit(1))).otherwise("")
+        around = F.concat(before, F.lit("\n"), F.substr(text, x["end"] + 1, F.lit(1)))
+        return confirmed(kind, x["found"]) & ~F.rlike(around, F.lit(kind.alone))
 
-    return F.transform(F.filter(spans, lambda x: confirmed(kind, x["found"])), lambda x: F.struct(
+    return F.transform(F.filter(spans, fits), lambda x: F.struct(
         x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"),
         F.lit(kind.name).alias("kind"), score(x).alias("score"),
     ))

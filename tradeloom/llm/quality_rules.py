@@ -116,7 +116,7 @@ def quality_rules(
     effect: float = 0.98,
     small: int = 10_000,
 ) -> DataFrame:
-    """One row per document: counts, ``base_failed``, ``kept`` and the rules that reject it.
+    """One row per document: counts, ``base_failed``, ``kept``, and the rules that reject it.
 
     Words are runs of other than space and \\x09-\\x0D. ``base_failed``: fewer than 50
     words, or more than half of the words in repeated three-word windows. ``kept``:
@@ -139,12 +139,12 @@ def quality_rules(
     if own.limit(small + 1).count() <= small:
         own = F.broadcast(own)
     cutoff = {rule: F.coalesce(rule, F.lit(shared[rule] if shared else None).cast("int")) for rule in RULES}
-    hits = F.array_compact(F.array(*(
+    hits = F.array_join(F.array(*(
         F.when((F.col(whole) > 0) & (100 * F.col(part) > cutoff[rule] * F.col(whole)), F.lit(rule))
         for rule, (part, whole) in RULES.items()
-    )))
+    )), ",")
     return (
         counts.join(own, "stratum", "left").withColumn("rejected_by", hits)
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")
+                (~F.col("base_failed") & (F.col("rejected_by") == "")).alias("kept"), "rejected_by")
     )

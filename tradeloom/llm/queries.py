@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tradeloom.llm import html_regions, kneser_ney, language_id, lsh_forest, packing, pii, tiling
+from tradeloom.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
 from tradeloom.llm import quality_boost as boost, quality_rules as rules, token_counts as counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,4 +61,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_token_counts, op2_quality_rules, op3_language_id, op4_lm_scoring, op5_quality_classifier,
     op6_decontamination, op7_html_text, op8_packing, op9_jaccard_join, op10_pii,
 )}
-ORACLES: dict[str, str] = {}
+
