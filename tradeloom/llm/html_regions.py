@@ -3,7 +3,7 @@
 A page is streamed through the standard library's parser. Its events make lines: one per
 block of text, with the tags met since the line before. Elements that are never article
 text (navigation, forms, scripts, adverts, comments ...) yield no line. The ratio of text
-to tags per line is smoothed by a Gaussian and split at the threshold that separates two
+to tags per line is smoothed by a Gaussian, within a region, and split at the threshold that separates two
 clusters best. A region, the lines of one sectioning element, is content when most of its
 text lies above the threshold; if the page marks an article or main part, only regions
 inside it are candidates. All lines of a content region are kept, short ones too.
@@ -44,6 +44,8 @@ MARKS = frozenset(
 )
 _SPACES = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
+#: A tag that the end of the page cuts off.
+_CUT_OFF = re.compile(r"<[A-Za-z/!][^<>]*\Z")
 
 
 def marks(tag: str, attrs: list) -> bool:
@@ -141,7 +143,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if not html:
         return ""
     parser = Lines()
-    parser.feed(html)
+    parser.feed(_CUT_OFF.sub("", html))
     parser.close()
     parser.end_line()
     lines = parser.lines
@@ -150,9 +152,10 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     regions = {region for _, _, region, _ in lines}
     if len(regions) > 1 and not any(article for *_, article in lines):
         length = np.array([len(text) for text, *_ in lines], float)
-        ratio = smooth(length / np.maximum(1, [tags for _, tags, *_ in lines]), sigma)
-        dense = ratio >= split_point(ratio)
         of = np.array([region for _, _, region, _ in lines])
+        raw = np.split(length / np.maximum(1, [tags for _, tags, *_ in lines]), np.flatnonzero(np.diff(of)) + 1)
+        ratio = np.concatenate([smooth(run, sigma) for run in raw])
+        dense = ratio >= split_point(ratio)
         kept = {r for r in regions if 2 * length[(of == r) & dense].sum() > length[of == r].sum()}
         lines = [line for line in lines if line[2] in kept]
     return "\n".join(text for text, *_ in lines)
