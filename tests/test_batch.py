@@ -38,7 +38,7 @@ def test_archive_with_every_kind_of_entry(spark, folder):
     ])
     limits = ArchiveLimits(max_file_bytes=8000)
     results, converted, refused = batch.convert_archives(
-        zip_entries(spark, str(folder), limits), limits=limits)
+        zip_entries(spark, str(folder), limits))
     rows = results.orderBy("batch_order").collect()
     shown = [(r.filename, r.status, r.output_name, r.error_type) for r in rows]
     assert shown == [
@@ -67,7 +67,7 @@ def test_refused_archives(spark, folder):
     (folder / "torn.zip").write_bytes(b"not a zip")
     limits = ArchiveLimits(max_files=3, max_total_bytes=400)
     _, converted, refused = batch.convert_archives(
-        zip_entries(spark, str(folder), limits), limits=limits)
+        zip_entries(spark, str(folder), limits))
     found = {r.archive.rsplit("/", 1)[-1]: r.error_message for r in refused.collect()}
     assert found["many.zip"] == "ZIP contains 4 XML files; max_files is 3."
     assert found["none.zip"] == "No XML files found in ZIP."
@@ -87,6 +87,21 @@ def test_greedy_names_skip_taken_ones(spark):
     assert [r.output_name for r in named] == ["x", "x_2", "x_3", "x_4", "x_2_2", "y", ""]
 
 
+def test_any_number_of_equal_names(spark):
+    rows = spark.createDataFrame(
+        [(a, i, "x" if i % 2 else f"x_{i}", "success") for a in "ab" for i in range(700)],
+        "archive string, entry_no int, base_name string, status string")
+    for archive in "ab":
+        used = set()
+        named = batch.output_names(rows).filter(f"archive = '{archive}'").orderBy("entry_no")
+        for r in named.collect():
+            name, n = r.base_name, 2
+            while name in used:
+                name, n = f"{r.base_name}_{n}", n + 1
+            used.add(name)
+            assert r.output_name == name
+
+
 def test_corpus_run_and_sinks(spark, folder, tmp_path):
     for name, content in (("full", FULL), ("faulty", FAULTY), ("torn", b"<a")):
         (folder / f"{name}.xml").write_bytes(content)

@@ -43,7 +43,7 @@ def test_reports_of_a_good_document(results):
     assert len(report) == 14 and all(r.found for r in report.values())
     assert report["nutrients"].message == "Mapped 2 object(s)."
     assert json.loads(report["product_name"].value)[0] == {"value": "Hafer Riegel", "language": "de"}
-    assert str(row.product.net_content_value.normalize()) == "40.5"
+    assert row.product.net_content_value == "40.50"
     assert leftovers(row) == [
         ("entityIdentification", "transactionIdentification", 1, {}),
         ("fileName", "referencedFileInformation", 1,
@@ -182,3 +182,19 @@ def test_profiles_are_read_and_checked(tmp_path):
     for bad in (".//*[position()=1]", ".//x", ".//*[local-name()='a'][last()]"):
         with pytest.raises(ProfileError):
             read_path(bad)
+
+
+def test_large_document_as_nodes(spark):
+    inner = b"".join(b"<n k='%d'>t%d</n>" % (i, i) for i in range(50_000))
+    docs = spark.createDataFrame([("big", b"<r>" + inner + b"</r>")], "doc_id string, content binary")
+    nodes = explode_nodes(shred(docs))
+    row = nodes.selectExpr("count(*) AS n", "sum(length(text_first)) AS chars", "count_if(path = '/r/n') AS paths").first()
+    assert (row.n, row.paths) == (50_001, 50_000)
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    [generate] = [line for line in plan.splitlines() if "Generate" in line]
+    assert "body" not in generate.split("]")[-2] and "[doc_id" in generate
+
+
+def test_reports_carry_the_profile_descriptions(results):
+    report = {r.id: r.description for r in results["full"].mapping_report}
+    assert report["gtin"] == "Global Trade Item Number" and report["nutrients"] == "Basic nutrient details"

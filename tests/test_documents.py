@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
 from tradeloom.operators import authoring, inventory as inv, passport, structure
 from tradeloom.sinks import writers
 from tradeloom.sources import documents as docs_in
@@ -153,6 +155,32 @@ def test_authoring_documents(spark):
     assert list(docs["q"]) == ["@context", "@type", "@id", "gtin"]
 
 
+def test_every_product_has_a_document(spark):
+    _, _, _, metadata = authored(spark)
+    rows = [("a", "gs1:old", "x", 1), ("b", "gs1:brand#gs1:unknown", "x", 1), ("c", "gs1:name", " ", 1),
+            ("d", "gs1:count", "12345678901234567890123456789012345678901234567890", 1)]
+    values = spark.createDataFrame(
+        [(p, k, v, None, None, n) for p, k, v, n in rows],
+        "product_id string, property_id string, value string, language string, unit_code string, seq int")
+    docs = {r.product_id: r.jsonld for r in authoring.author_jsonld(values, metadata).collect()}
+    assert all(list(json.loads(docs[p])) == ["@context", "@type"] for p in "abc")
+    assert json.loads(docs["d"])["count"] == int(rows[3][2])
+    hidden = metadata.withColumn("supported", F.lit(False))
+    gtin = values.limit(1).selectExpr("product_id", "'gs1:gtin' AS property_id", "'4006381333931' AS value", "language", "unit_code", "seq")
+    [doc] = [json.loads(r.jsonld) for r in authoring.author_jsonld(gtin, hidden).collect()]
+    assert doc["@id"].endswith("4006381333931")
+
+
+def test_warnings_are_ordered(spark):
+    _, _, values, metadata = authored(spark)
+    rows = authoring.authoring_warnings(values, metadata).orderBy("product_id", "position").collect()
+    q = [r.warning for r in rows if r.product_id == "q"]
+    assert q[0].startswith("Manual JSON-LD prototype") and q[1:] == [
+        "Invalid GTIN format or check digit.", "gs1:netWeight must be a valid number.",
+        "gs1:netWeight has a quantity value without unitCode.", "gs1:site is not a valid HTTP(S) URL.",
+        "gs1:name needs a language tag."]
+
+
 def test_authoring_warnings(spark):
     _, _, values, metadata = authored(spark)
     found: dict = {}

@@ -74,14 +74,19 @@ def test_dates_match_python(spark):
 
 def test_decimals_and_their_spelling(spark):
     values = ["500", "500.0", "1.20", "-0.5", "1e2", " 7 ", "1_000", "0.00001", "0", "-0.0",
-              "12345678.5", "0.1234567890123456", "100", "0.0001", "1234567890123456789"]
+              "12345678.5", "0.1234567890123456", "100", "0.0001", "1234567890123456789",
+              "123456789012345678901.5", "1e30", "-1.5E+30", "1e-7", "+5", ".5", "5.", "007", "-0",
+              "1234567890123456789012345678901234567890123", "0.00012345", "9007199254740993.5",
+              "1234567.25", "99999999.125", "12345678901234567.75", "1.10", "0.00009999", "1e16",
+              "1.5e15", "-123456.789e-12", "0.001", "0.0010", "10.000000000000000000000000000000001",
+              "1.7976931348623157e2", "123e-2", "100e-2", "\u20035\n"]
     got = evaluate(spark, values, number_text(to_decimal("v")))
     expected = []
     for v in values:
         d = Decimal(v.strip().replace("_", ""))
         expected.append(str(int(d)) if d == d.to_integral() else repr(float(d)))
     assert got == expected
-    bad = ["", "abc", "1,5", "NaN", "Infinity"]
+    bad = ["", "abc", "1,5", "NaN", "Infinity", "1e", ".", "+", "1e1234567", "1 2", "٣"]
     assert evaluate(spark, bad, to_decimal("v")) == [None] * len(bad)
 
 

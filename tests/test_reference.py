@@ -8,6 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tradeloom.functions import linked
 from tradeloom.plans.reference import Snapshot, check_updates, import_reference_data
 from tradeloom.operators import explorer, inventory as inv, profiles, ranking, snapshots
 from tradeloom.sinks import writers
@@ -263,3 +264,35 @@ def test_duplicates_ignore_blanks(spark):
     assert ranking.duplicate_values(rows, "v", limit=1).count() == 1
     best = ranking.best_row(rows.withColumn("n", F.length("v")), ["n"], [F.col("v")])
     assert {r.n: r.v for r in best.collect()} == {1: " ", 2: "a ", 0: ""}
+
+
+def test_linked_values_of_any_depth(spark):
+    def flat(v):
+        if isinstance(v, list):
+            return [x for e in v for x in flat(e)]
+        if isinstance(v, dict):
+            named = [v[k] for k in ("@id", "@value") if k in v]
+            return [str(named[0])] if named else flat(v.get("@list"))
+        return [] if v is None else [str(v)]
+
+    def spelled(v):
+        if isinstance(v, list):
+            return "; ".join(t for t in map(spelled, v) if t)
+        if isinstance(v, dict):
+            named = [v[k] for k in ("@value", "@id") if k in v]
+            return str(named[0]) if named else "; ".join(flat(v.get("@list")))
+        return "" if v is None else str(v)
+
+    cases = [None, "a", 5, [], {}, [[["a"]], ["b"], "c"], [[[[[["deep"], {"@list": [["x", {"@id": "y"}]]}]]]]],
+             {"@list": [{"@list": [["p"], "[q"]}]}, [{"@value": "v", "@id": "i"}, {"@list": ["a", "b"]}, {"other": 1}, None, [[]]],
+             {"@id": "i", "@list": ["z"]}, ["x", ["", "y"]]]
+    rows = spark.createDataFrame([(k, json.dumps(c)) for k, c in enumerate(cases)], "k int, j string")
+    got = rows.selectExpr("k", "parse_json(j) AS v").selectExpr(
+        "k", f"{linked.values('v')} AS found", f"{linked.text('v')} AS shown").orderBy("k").collect()
+    assert [(r.found, r.shown) for r in got] == [(flat(c), spelled(c)) for c in cases]
+
+
+def test_blank_language_entries_are_dropped(spark):
+    rows = spark.createDataFrame([('["\\n", {"@value": " ", "@language": "en"}, "name"]',)], "j string")
+    [r] = rows.selectExpr("parse_json(j) AS v").selectExpr(f"{linked.language_entries('v')} AS e").collect()
+    assert [(e.value, e.language) for e in r.e] == [("name", None)]

@@ -283,3 +283,21 @@ AUTHORING_NOTICE = (
     "mapping evidence. It is not an official GS1 validation result."
 )
 QUANTITY_WORDS = ("content", "weight", "height", "width", "depth", "dimension")
+
+# Descriptions in the mapping report, by field or object of the built-in profiles.
+DESCRIPTIONS = {
+    "gtin": "Global Trade Item Number",
+    "product_name": "Multilingual product name",
+    "product_description": "Multilingual short product description",
+    "brand_name": "Product brand name",
+    "gpc_category_code": "GS1 Global Product Classification category code",
+    "net_content_value": "Numeric net content value",
+    "net_content_unit": "Net content measurement unit code",
+    "product_image_url": "Product image URL",
+    "product_page_url": "Product marketing page URL",
+    "ingredient_statement": "Multilingual ingredient statement",
+    "allergens": "Allergen details",
+    "nutrients": "Basic nutrient details",
+    "certifications": "BMS-aligned certification details",
+    "referenced_documents": "DPP-like and certification document references",
+}

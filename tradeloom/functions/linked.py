@@ -1,12 +1,14 @@
 """Reading loosely typed JSON-LD values held as VARIANT (SQL expression text).
 
 A value may be a scalar, a list, ``{"@id"}``, ``{"@value"}`` or ``{"@list"}``.
-Lists are followed two levels deep, which covers vocabulary snapshots.
+Lists are followed as deep as they go: each pass opens one level, and there are as many
+passes as the value has opening brackets; passes that find no list only look.
 """
 
 from __future__ import annotations
 
-from tradeloom.functions import keep, let, q, transform
+from tradeloom.functions import fresh, keep, let, q, some, transform
+from tradeloom.functions.text import has_value
 
 _NO_TEXTS = "CAST(array() AS array<string>)"
 _NO_ITEMS = "CAST(array() AS array<variant>)"
@@ -53,26 +55,28 @@ def _leaf(v: str) -> str:
     )
 
 
-def _branch(v: str) -> str:
+def _listed(v: str) -> str:
+    """The inner list of a list or of an object that has nothing but ``@list``; else null."""
     listed = member(v, "@list")
     plain = f"{member(v, '@id')} IS NULL AND {member(v, '@value')} IS NULL"
-    inner = (
-        f"CASE WHEN {is_array(v)} THEN {v} "
-        f"WHEN {is_object(v)} AND {plain} AND {listed} IS NOT NULL THEN {listed} END"
-    )
-    return let(
-        inner,
-        lambda i: f"IF({i} IS NULL, {_leaf(v)}, flatten({transform(items(i), _leaf)}))",
-    )
+    return f"CASE WHEN {is_array(v)} THEN {v} WHEN {is_object(v)} AND {plain} THEN {listed} END"
 
 
 def values(v: str) -> str:
     """All identifiers and literals of a value, as an array of text."""
-    return f"flatten({transform(items(v), _branch)})"
+    brackets = f"regexp_count(to_json({v}), '\\\\[')"
+    found, step = fresh("found"), fresh("step")
+    opened = transform(found, lambda x: let(_listed(x), lambda i: f"IF({i} IS NULL, array({x}), {items(i)})"))
+    nested = some(found, lambda x: f"{_listed(x)} IS NOT NULL")
+    flat = (
+        f"aggregate(sequence(0, coalesce({brackets}, 0)), {items(v)}, "
+        f"({found}, {step}) -> IF({nested}, flatten({opened}), {found}))"
+    )
+    return f"flatten({transform(flat, _leaf)})"
 
 
 def text(v: str, list_separator: str = "; ") -> str:
-    """Readable text of a value; entries of a list join with ``'; '``."""
+    """Readable text of a value; entries of lists, inner ones too, join with ``'; '``."""
 
     def one(e: str) -> str:
         value, node_id, listed = member(e, "@value"), member(e, "@id"), member(e, "@list")
@@ -84,7 +88,14 @@ def text(v: str, list_separator: str = "; ") -> str:
             "ELSE '' END"
         )
 
-    parts = keep(transform(items(v), one), lambda t: f"{t} <> ''")
+    brackets = f"regexp_count(to_json({v}), '\\\\[')"
+    found, step = fresh("found"), fresh("step")
+    opened = transform(found, items)
+    flat = (
+        f"aggregate(sequence(0, coalesce({brackets}, 0)), {items(v)}, ({found}, {step}) -> "
+        f"IF({some(found, is_array)}, flatten({opened}), {found}))"
+    )
+    parts = keep(transform(flat, one), lambda t: f"{t} <> ''")
     return f"array_join({parts}, '; ')"
 
 
@@ -109,4 +120,4 @@ def language_entries(v: str) -> str:
             f"'value', CAST({e} AS string), 'language', CAST(NULL AS string)) END"
         )
 
-    return keep(transform(items(v), entry), lambda x: f"trim({x}.value) <> ''")
+    return keep(transform(items(v), entry), lambda x: has_value(f"{x}.value"))

@@ -69,17 +69,16 @@ def latest_values(eav: DataFrame) -> DataFrame:
     cells = F.struct("value", "language", "unit_code")
     return (
         eav.groupBy("product_id", "property_id")
-        .agg(F.max_by(cells, "seq").alias("c"))
-        .select("product_id", "property_id", "c.*")
+        .agg(F.max_by(cells, "seq").alias("c"), F.min("seq").alias("place"))
+        .select("product_id", "property_id", "c.*", "place")
     )
 
 
 
 def emitted(kind: str = "kind") -> str:
     """JSON fragment of one value by input type; null when it is left out."""
-    number = f"CASE WHEN {to_decimal(strip('value'))} IS NOT NULL THEN {number_text(to_decimal(strip('value')))} END"
-    whole = f"CAST(try_cast({strip('value')} AS decimal(38,0)) AS string)"
-    integral = f"CASE WHEN {strip('value')} RLIKE '^[+-]?[0-9]+$' THEN {whole} END"
+    number = number_text(to_decimal("value"))
+    integral = f"CASE WHEN {strip('value')} RLIKE '^[+-]?[0-9]+$' THEN {number} END"
     tagged = json_object([("@language", json_string("language")), ("@value", json_string("value"))])
     quantity = json_object([("value", number), ("unitCode", json_string("unit_code"))])
     node = json_object([("@id", json_string("value"))])
@@ -105,7 +104,8 @@ def author_jsonld(eav: DataFrame, metadata: DataFrame, root_class: str = "Produc
 
     ``eav``: product_id, property_id (``parent#child`` for nested values), value,
     language, unit_code, seq. Simple properties are sorted by id, nested objects
-    follow, sorted as well.
+    follow, sorted as well. A product none of whose values can be emitted has a
+    document with context and type; its identifier counts even if it is not emitted.
     """
     values = latest_values(eav).withColumns(
         {
@@ -121,9 +121,10 @@ def author_jsonld(eav: DataFrame, metadata: DataFrame, root_class: str = "Produc
         values.filter("parent IS NULL")
         .join(simple_meta, "property_id", "left")
         .withColumn("kind", F.expr(f"coalesce(kind, {input_type('property_id', 'NULL', 'NULL')})"))
-        .filter("coalesce(supported, true) AND kind NOT IN ('unsupported', 'object')")
         .selectExpr("product_id", "0 AS part", "property_id",
-                    f"{compact_name('property_id')} AS name", f"{emitted()} AS fragment",
+                    f"{compact_name('property_id')} AS name",
+                    "CASE WHEN coalesce(supported, true) AND kind NOT IN ('unsupported', 'object') "
+                    f"THEN {emitted()} END AS fragment",
                     "IF(property_id = 'gs1:gtin', value, NULL) AS gtin")
     )
     children = known.filter("override = 'object' AND supported").select(
@@ -133,20 +134,21 @@ def author_jsonld(eav: DataFrame, metadata: DataFrame, root_class: str = "Produc
                  "f.input_type AS kind")
     nested_values = (
         values.filter("parent IS NOT NULL")
-        .join(children, ["parent", "child"])
+        .join(children, ["parent", "child"], "left")
         .selectExpr("product_id", "parent", "object_type", "child_pos",
-                    f"{compact_name('child')} AS name", f"{emitted()} AS fragment")
-        .filter("fragment IS NOT NULL")
+                    f"{compact_name('child')} AS name",
+                    f"CASE WHEN child_pos IS NOT NULL THEN {emitted()} END AS fragment")
     )
     typed = f"CASE WHEN object_type <> '' THEN concat('\"@type\":', {json_string('object_type')}) END"
     nested = (
         nested_values.groupBy("product_id", "parent", "object_type")
-        .agg(F.array_sort(F.collect_list(F.struct("child_pos", "name", "fragment"))).alias("c"))
+        .agg(F.array_sort(F.collect_list(F.when(
+            F.col("fragment").isNotNull(), F.struct("child_pos", "name", "fragment")))).alias("c"))
         .selectExpr(
             "product_id", "1 AS part", "parent AS property_id",
             f"{compact_name('parent')} AS name",
-            f"concat('{{', concat_ws(',', {typed}, transform(c, x -> concat("
-            f"{json_string('x.name')}, ':', x.fragment))), '}}') AS fragment",
+            f"CASE WHEN size(c) > 0 THEN concat('{{', concat_ws(',', {typed}, transform(c, x -> concat("
+            f"{json_string('x.name')}, ':', x.fragment))), '}}') END AS fragment",
             "CAST(NULL AS string) AS gtin",
         )
     )
@@ -176,7 +178,11 @@ def author_jsonld(eav: DataFrame, metadata: DataFrame, root_class: str = "Produc
 
 
 def authoring_warnings(eav: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Distinct warnings per product (``product_id``, ``warning``), notice included."""
+    """Distinct warnings per product: ``product_id``, ``position``, ``warning``.
+
+    Positions order a product's warnings: the notice and the identifier, then simple
+    properties as first entered, then nested ones in the order of their object.
+    """
     values = latest_values(eav)
     known = metadata.withColumn("kind", F.expr(input_type()))
     simple = values.filter("NOT contains(property_id, '#')").join(
@@ -191,7 +197,7 @@ def authoring_warnings(eav: DataFrame, metadata: DataFrame) -> DataFrame:
     )
     kept = (f"{has_value('value')} OR kind = 'checkbox' "
             "OR (kind = 'quantity' AND coalesce(unit_code, '') <> '')")
-    number = f"{to_decimal(strip('value'))} IS NOT NULL"
+    number = f"{to_decimal('value')} IS NOT NULL"
     integral = f"{strip('value')} RLIKE '^[+-]?[0-9]+$'"
     some_value = "coalesce(value, '') <> ''"
     unit = "coalesce(unit_code, '') <> ''"
@@ -214,32 +220,38 @@ def authoring_warnings(eav: DataFrame, metadata: DataFrame) -> DataFrame:
         (f"kind = 'quantity' AND {unit} AND NOT {some_value}",
          "concat(property_id, ' has unitCode without a quantity value.')"),
     ]
-    cases = ", ".join(f"CASE WHEN {t} THEN {m} END" for t, m in rules)
-    per_value = simple.filter(kept).selectExpr(
-        "product_id", f"explode(array_compact(array({cases}))) AS warning"
-    )
+
+    def numbered(cases: list[str], section: str, place: str) -> str:
+        rows = ", ".join(
+            f"named_struct('position', named_struct('section', {section}, 'place', CAST({place} AS bigint), "
+            f"'rule', {k}), 'warning', {case})" for k, case in enumerate(cases)
+        )
+        return f"inline(filter(array({rows}), x -> x.warning IS NOT NULL))"
+
+    cases = [f"CASE WHEN {t} THEN {m} END" for t, m in rules]
+    per_value = simple.filter(kept).selectExpr("product_id", numbered(cases, "1", "place"))
     gtins = values.groupBy("product_id").agg(
         F.max(F.expr("IF(property_id = 'gs1:gtin', value, NULL)")).alias("gtin")
     )
     absent = ("Missing GTIN. The generated JSON-LD will not include a GS1 Digital "
               "Link-style @id.")
-    per_product = gtins.selectExpr(
-        "product_id",
-        f"explode(array_compact(array({q(AUTHORING_NOTICE)}, "
+    gtin_case = (
         f"CASE WHEN NOT {has_value('gtin')} THEN {q(absent)} "
-        f"WHEN NOT {is_gtin_lenient('gtin')} THEN 'Invalid GTIN format or check digit.' END))) "
-        "AS warning",
+        f"WHEN NOT {is_gtin_lenient('gtin')} THEN 'Invalid GTIN format or check digit.' END"
     )
+    per_product = gtins.selectExpr("product_id", numbered([q(AUTHORING_NOTICE), gtin_case], "0", "0"))
     children = known.filter("override = 'object'").select(
-        F.col("property_id").alias("parent"), F.explode("object_fields").alias("f")
-    ).selectExpr("concat(parent, '#', f.property_id) AS property_id",
+        F.col("property_id").alias("parent"), F.posexplode("object_fields").alias("child_pos", "f")
+    ).selectExpr("concat(parent, '#', f.property_id) AS property_id", "child_pos",
                  "concat(parent, ' / ', f.property_id) AS label", "f.input_type AS kind")
-    nested = values.join(children, "property_id").filter(has_value("value")).selectExpr(
-        "product_id",
-        f"explode(array_compact(array("
+    nested_cases = [
         f"CASE WHEN kind = 'url' AND NOT {is_http_url('value')} "
-        "THEN concat(label, ' is not a valid HTTP(S) URL.') END, "
+        "THEN concat(label, ' is not a valid HTTP(S) URL.') END",
         "CASE WHEN kind = 'language_text' AND coalesce(language, '') = '' "
-        "THEN concat(label, ' needs a language tag.') END))) AS warning",
+        "THEN concat(label, ' needs a language tag.') END",
+    ]
+    nested = values.join(children, "property_id").filter(has_value("value")).selectExpr(
+        "product_id", numbered(nested_cases, "2", "child_pos")
     )
-    return per_product.unionByName(per_value).unionByName(nested).distinct()
+    every = per_product.unionByName(per_value).unionByName(nested)
+    return every.groupBy("product_id", "warning").agg(F.min("position").alias("position"))

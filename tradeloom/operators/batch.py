@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tradeloom.functions import keep, q
 from tradeloom.functions.text import safe_filename, safe_stem
 from tradeloom.operators.extract import with_columns
 from tradeloom.operators.validate import validation_status
 from tradeloom.plans.convert import convert
-from tradeloom.sources.files import ArchiveLimits
 from tradeloom.sources.profile import Profile
 
 _FOUND = f"size({keep('mapping_report', lambda r: f'{r}.found')})"
@@ -45,35 +45,34 @@ def file_results(converted: DataFrame, name: str) -> DataFrame:
     )
 
 
-def output_names(results: DataFrame, limits: ArchiveLimits | None = None) -> DataFrame:
+def output_names(results: DataFrame) -> DataFrame:
     """Add ``output_name``: unique per archive, ``x``, ``x_2``… in entry order.
 
     A suffixed name may itself be another file's base name, so the choice is
-    sequential. An archive holds at most ``max_files`` entries (checked when it
-    was read), so its summary rows are folded as one short array, in one pass.
+    sequential. One task names the entries of one archive, whose directory one task
+    has read before; each base remembers its last suffix, so the pass is linear.
     """
-    limits = limits or ArchiveLimits()
-    columns = [c for c in results.columns if c not in ("archive", "entry_no")]
-    tries = f"sequence(1, {limits.max_files} + 1)"
-    candidate = "IF(n = 1, x.base_name, concat(x.base_name, '_', n))"
-    free = f"get(filter(transform({tries}, n -> {candidate}), c -> NOT array_contains(used, c)), 0)"
-    grouped = results.groupBy("archive").agg(
-        F.array_sort(F.collect_list(F.struct("entry_no", *columns))).alias("files")
-    )
-    named = with_columns(
-        grouped,
-        {
-            "names": "aggregate(files, CAST(array() AS array<string>), (used, x) -> "
-            f"array_append(used, IF(x.status = 'success', {free}, '')))"
-        },
-    )
-    return named.selectExpr("archive", "names", "posexplode(files) AS (i, f)").selectExpr(
-        "archive", "f.*", "get(names, i) AS output_name"
-    ).select(*results.columns, "output_name")
+    schema = T.StructType(results.schema.fields + [T.StructField("output_name", T.StringType())])
+
+    def name_entries(table: pa.Table) -> pa.Table:
+        table = table.sort_by("entry_no")
+        used, last, names = set(), {}, []
+        for base, status in zip(
+            table["base_name"].to_pylist(), table["status"].to_pylist(), strict=True
+        ):
+            name = "" if status != "success" else base
+            while name and name in used:
+                last[base] = last.get(base, 1) + 1
+                name = f"{base}_{last[base]}"
+            used.add(name)
+            names.append(name)
+        return table.append_column("output_name", pa.array(names, pa.string()))
+
+    return results.groupBy("archive").applyInArrow(name_entries, schema)
 
 
 def convert_archives(
-    entries: DataFrame, profile: Profile | None = None, limits: ArchiveLimits | None = None
+    entries: DataFrame, profile: Profile | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(results, converted, refused)`` for the rows of ``zip_entries``.
 
@@ -86,7 +85,7 @@ def convert_archives(
     usable = entries.filter("archive_error IS NULL")
     docs = usable.filter("error_type IS NULL").select("archive", "entry_no", "entry", "content")
     converted = convert(docs, profile)
-    names = output_names(file_results(converted, "entry"), limits)
+    names = output_names(file_results(converted, "entry"))
     unread = usable.filter("error_type IS NOT NULL").selectExpr(
         "archive", "entry_no", "entry AS filename", f"{safe_filename('entry')} AS safe_filename",
         "'error' AS status", "'' AS gtin", "'' AS base_name", "0 AS mapped_count",

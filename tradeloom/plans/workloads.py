@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeloom.fixed import SCHEMA_CONTEXT_JSON, TOPIC_GROUPS, VOCABULARY_CONTEXT
+from tradeloom.fixed import AUTHORING_NOTICE, SCHEMA_CONTEXT_JSON, TOPIC_GROUPS, VOCABULARY_CONTEXT
 from tradeloom.functions import q
 from tradeloom.functions.checks import is_gtin, is_http_url
 from tradeloom.functions.dates import iso_date
@@ -95,7 +95,7 @@ def xml_convert_core(spark: SparkSession, sf_dir: str) -> DataFrame:
         "product.product_name[1].value AS second_name", "product.brand_name AS brand",
         "product.product_description[0].value AS description",
         "product.net_content_unit AS unit",
-        "CAST(product.net_content_value * 100 AS bigint) AS cents",
+        "CAST(CAST(product.net_content_value AS decimal(38,18)) * 100 AS bigint) AS cents",
     )
 
 
@@ -114,29 +114,38 @@ def xml_jsonld_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert(part_messages(spark, sf_dir), leftovers=False).select("p_partkey", "jsonld")
 
 
-@workload("""SELECT local_name, depth, path, CAST(count(*) AS BIGINT) AS nodes,
-    CAST(sum(chars) AS BIGINT) AS chars FROM (
-      SELECT unnest([
-        {'local_name': 'gtin', 'depth': 4, 'path': t || '/gtin', 'chars': 14},
-        {'local_name': 'brandName', 'depth': 5, 'path': t || '/brandNameInformation/brandName',
-         'chars': 1 + length(p_brand)},
-        {'local_name': 'tradeItemDescription', 'depth': 5,
-         'path': t || '/tradeItemDescriptionInformation/tradeItemDescription',
-         'chars': 3 + length(p_name)},
-        {'local_name': 'tradeItemDescription', 'depth': 5,
-         'path': t || '/tradeItemDescriptionInformation/tradeItemDescription',
-         'chars': length(p_name)},
-        {'local_name': 'tradeItemDescriptionInformation', 'depth': 4,
-         'path': t || '/tradeItemDescriptionInformation',
-         'chars': 3 + 2 * length(p_name) + length(p_type)}], recursive := true)
-      FROM (SELECT *, '/catalogueItemNotificationMessage/transaction/catalogueItem/tradeItem' AS t
-            FROM part))
-    GROUP BY ALL""")
+_ROOT = "/catalogueItemNotificationMessage"
+_ITEM = f"{_ROOT}/transaction/catalogueItem/tradeItem"
+# Path, depth and characters of text of every element of a part's message.
+_SQL_PRICE_CHARS = "length(CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR))"
+_SQL_NAME_CHARS = "(3 + 2 * length(p_name) + length(p_type))"
+_SQL_ALL_CHARS = f"(14 + 1 + length(p_brand) + {_SQL_NAME_CHARS} + {_SQL_PRICE_CHARS} + 3)"
+_SQL_NODES = ", ".join(
+    f"{{'path': '{path}', 'chars': {chars}}}" for path, chars in [
+        (_ROOT, _SQL_ALL_CHARS), (f"{_ROOT}/transaction", _SQL_ALL_CHARS),
+        (f"{_ROOT}/transaction/catalogueItem", _SQL_ALL_CHARS), (_ITEM, _SQL_ALL_CHARS),
+        (f"{_ITEM}/gtin", "14"), (f"{_ITEM}/brandNameInformation", "1 + length(p_brand)"),
+        (f"{_ITEM}/brandNameInformation/brandName", "1 + length(p_brand)"),
+        (f"{_ITEM}/tradeItemDescriptionInformation", _SQL_NAME_CHARS),
+        (f"{_ITEM}/tradeItemDescriptionInformation/tradeItemDescription", "3 + length(p_name)"),
+        (f"{_ITEM}/tradeItemDescriptionInformation/tradeItemDescription", "length(p_name)"),
+        (f"{_ITEM}/tradeItemDescriptionInformation/descriptionShort", "length(p_type)"),
+        (f"{_ITEM}/tradeItemMeasurements", f"{_SQL_PRICE_CHARS} + 3"),
+        (f"{_ITEM}/tradeItemMeasurements/netContent", f"{_SQL_PRICE_CHARS} + 3"),
+        (f"{_ITEM}/tradeItemMeasurements/netContent/measurementValue", _SQL_PRICE_CHARS),
+        (f"{_ITEM}/tradeItemMeasurements/netContent/measurementUnitCode", "3"),
+    ]
+)
+
+
+@workload(f"""SELECT list_last(string_split(path, '/')) AS local_name,
+    CAST(len(string_split(path, '/')) - 2 AS INTEGER) AS depth, path,
+    CAST(count(*) AS BIGINT) AS nodes, CAST(sum(chars) AS BIGINT) AS chars
+    FROM (SELECT unnest([{_SQL_NODES}], recursive := true) FROM part) GROUP BY path""")
 def xml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = explode_nodes(shred(part_messages(spark, sf_dir)))
-    wanted = ("gtin", "brandName", "tradeItemDescription", "tradeItemDescriptionInformation")
+    """Every element of every message."""
     return (
-        nodes.filter(F.col("local_name").isin(*wanted))
+        explode_nodes(shred(part_messages(spark, sf_dir)))
         .groupBy("local_name", "depth", "path")
         .agg(F.count("*").alias("nodes"), F.sum(F.length("text_all").cast("long")).alias("chars"))
         .withColumn("depth", F.col("depth").cast("int"))
@@ -410,8 +419,8 @@ def date_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
         ELSE CAST(l_extendedprice AS VARCHAR) END AS t FROM lineitem) GROUP BY l_returnflag""")
 def number_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").selectExpr(
-        "l_returnflag", "CAST(l_extendedprice AS decimal(38,18)) AS price"
-    ).selectExpr("l_returnflag", f"{number_text('price')} AS t")
+        "l_returnflag", f"{number_text('CAST(l_extendedprice AS decimal(38,18))')} AS t"
+    )
     # Repeats collapse by hash first; extremes of text would sort every row.
     spelled = lines.groupBy("l_returnflag", "t").agg(F.count("*").alias("n"))
     return spelled.groupBy("l_returnflag").agg(
@@ -1131,6 +1140,7 @@ def eav_to_jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
 @workload(f"""SELECT warning, CAST(count(*) AS BIGINT) AS products FROM (
     SELECT DISTINCT user_id, 'Missing GTIN. The generated JSON-LD will not include a GS1 Digital Link-style @id.'
       AS warning FROM events
+    UNION ALL SELECT DISTINCT user_id, '{AUTHORING_NOTICE}' FROM events
     UNION ALL SELECT user_id, 'gs1:signup has unsupported nested or complex range (gs1:Other) and will not be emitted.'
       FROM ({_SQL_LAST}) WHERE event_type = 'signup'
     UNION ALL SELECT user_id, 'gs1:purchase has a quantity value without unitCode.' FROM ({_SQL_LAST})
@@ -1143,9 +1153,7 @@ def authoring_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
                            "WHEN 'gs1:error' THEN 'number' END")
     )
     found = authoring.authoring_warnings(event_values(spark, sf_dir), metadata)
-    return found.filter("NOT startswith(warning, 'Manual JSON-LD')").groupBy("warning").agg(
-        F.count("*").alias("products")
-    )
+    return found.groupBy("warning").agg(F.count("*").alias("products"))
 
 
 @workload("""SELECT kind, CAST(count(*) AS BIGINT) AS parts FROM (SELECT CASE

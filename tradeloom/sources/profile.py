@@ -15,7 +15,7 @@ from typing import Any
 
 import yaml
 
-from tradeloom.fixed import SCHEMA_CONTEXT_JSON, VOCABULARY_CONTEXT
+from tradeloom.fixed import DESCRIPTIONS, SCHEMA_CONTEXT_JSON, VOCABULARY_CONTEXT
 
 
 class ProfileError(ValueError):
@@ -271,7 +271,7 @@ def _el(*names: str) -> str:
 
 def _field(name: str, path: str, prop: str, *steps: str, **extra: Any) -> Rule:
     return Rule(
-        id=name, canonical_field=name, description=name.replace("_", " ").capitalize(),
+        id=name, canonical_field=name, description=DESCRIPTIONS[name],
         xpath=".//" + path, jsonld_property=prop, transform=("trim", *steps), **extra,
     )
 
@@ -330,7 +330,7 @@ def _food_objects() -> tuple[ObjectRule, ...]:
     up = "uppercase"
     return (
         ObjectRule(
-            "allergens", "Allergens", ".//" + _el("allergenRelatedInformation", "allergen"),
+            "allergens", DESCRIPTIONS["allergens"], ".//" + _el("allergenRelatedInformation", "allergen"),
             "allergens", "gs1:hasAllergen",
             (
                 _child("allergen_type", _el("allergenTypeCode"), "allergen_type",
@@ -341,7 +341,7 @@ def _food_objects() -> tuple[ObjectRule, ...]:
             object_type="gs1:AllergenDetails",
         ),
         ObjectRule(
-            "nutrients", "Nutrients", ".//" + _el("nutrientHeader", "nutrientDetail"),
+            "nutrients", DESCRIPTIONS["nutrients"], ".//" + _el("nutrientHeader", "nutrientDetail"),
             "nutrients", "gs1:nutrientDetail",
             (
                 _child("preparation_state_code",
@@ -364,7 +364,7 @@ def _certificate_objects() -> tuple[ObjectRule, ...]:
     ws, info = "normalize_whitespace", "certificationInformation"
     return (
         ObjectRule(
-            "certifications", "Certifications", ".//" + _el(info, "certification"),
+            "certifications", DESCRIPTIONS["certifications"], ".//" + _el(info, "certification"),
             "certifications", "gs1:certification",
             (
                 _child("certification_standard", _ancestor(info, "certificationStandard"),
@@ -391,7 +391,7 @@ def _certificate_objects() -> tuple[ObjectRule, ...]:
             object_type="gs1:CertificationDetails",
         ),
         ObjectRule(
-            "referenced_documents", "Referenced documents",
+            "referenced_documents", DESCRIPTIONS["referenced_documents"],
             ".//" + _el(_FILE) + _DOCUMENT_TEST,
             "referenced_documents", "gs1:referencedDocument",
             (

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tradeloom import ship_with_tasks
-from tradeloom.functions import transform
+from tradeloom.functions import record, transform
 
 ship_with_tasks(__name__)
 
@@ -210,16 +210,15 @@ def node_path(n: str) -> str:
 
 
 def explode_nodes(shredded: DataFrame) -> DataFrame:
-    """The node table in relational form: one row per element, with its path."""
+    """The node table in relational form: one row per element, with its path.
+
+    Rows are finished inside the array, so that only they and the keys are exploded;
+    the document's text and nodes are not copied to every row.
+    """
     keys = [c for c in shredded.columns if c not in ("body", "nodes", "parse_error")]
-    return shredded.select(*keys, "body", "nodes", F.explode("nodes").alias("n")).selectExpr(
-        *keys,
-        "n.id AS node_id",
-        "n.parent AS parent_id",
-        "size(n.anc) AS depth",
-        "n.name AS local_name",
-        f"{node_path('n')} AS path",
-        "n.text AS text_first",
-        f"{whole_text('n')} AS text_all",
-        "n.attrs AS attrs",
-    )
+    rows = transform("nodes", lambda n: record(
+        node_id=f"{n}.id", parent_id=f"{n}.parent", depth=f"size({n}.anc)",
+        local_name=f"{n}.name", path=node_path(n), text_first=f"{n}.text",
+        text_all=whole_text(n), attrs=f"{n}.attrs",
+    ))
+    return shredded.selectExpr(*keys, f"explode({rows}) AS n").select(*keys, "n.*")
