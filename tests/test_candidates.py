@@ -1,16 +1,14 @@
-"""Candidate generation against brute-force scoring of every pair in plain Python."""
+"""Candidates: hand-worked scores per signal, and pair generation against a full cross join."""
 
 from __future__ import annotations
 
+import json
 import random
-import re
-import unicodedata
 
 import pytest
+from pyspark.sql import DataFrame, functions as F
 
-from tradeloom.fixed import (
-    COMPATIBLE_TYPES, INCOMPATIBLE_TYPES, PENALTIES, QUANTITY_RANGES, SIGNALS, STOPWORDS,
-)
+from tradeloom.fixed import COMPATIBLE_TYPES
 from tradeloom.operators import candidates as cand
 from tradeloom.sources.documents import backlog
 from tradeloom.sources.profile import ObjectRule, Profile, Rule
@@ -67,133 +65,110 @@ def inputs(seed: int, n_properties: int, n_attributes: int):
     return properties, attributes, catalog, Profile(tuple(fields), (parent,)), decisions
 
 
-def fold(text):
-    plain = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
-    return re.sub("[^a-zA-Z0-9]+", " ", plain).lower().strip()
-
-
-def words(text):
-    return set(fold(text).split()) - set(STOPWORDS)
-
-
-def parts(name):
-    split = re.sub("([a-z])([A-Z])", r"\1 \2", name).split()
-    return {p.lower() for p in split} - set(STOPWORDS)
-
-
-def terminal(path):
-    last = path.rstrip("/").split("/")[-1]
-    return re.sub(r"\[.*?\]", "", last.split(":", 1)[-1].lstrip("@")).strip()
-
-
-def score(p, a, catalog, yaml_fields, linked):
-    """Reference scoring of one pair, straight from the signal definitions."""
-    term, compact, label, comment, _, range_ = p
-    reasons, warnings, total = [], [], 0.0
-    name, kind, rng = a["attribute_name"].strip(), a["data_type"].lower(), range_.lower()
-    low, compact_low = name.lower(), compact.lower()
-    if a["is_deleted"] == "true":
-        warnings.append("deleted_attribute_warning")
-        total += PENALTIES["deleted_attribute_warning"]
-    if a["row_type"].lower() not in ("attribute", ""):
-        warnings.append("class_row_not_attribute")
-        total += PENALTIES["class_row_not_attribute"]
-
-    def fire(signal, factor=1):
-        nonlocal total
-        reasons.append(signal)
-        total += SIGNALS[signal] if factor == 1 else SIGNALS[signal] * factor
-
-    good = {"mapped_official_bms_xpath", "candidate_official_bms_xpath", "candidate", "mapped"}
-    if any(c[0] == term and (c[1] == a["bms_id"] or c[2].strip().lower() == low)
-           and c[3].lower() in good for c in catalog):
-        fire("existing_mapping_catalog_match")
-    mine = [f.lower() for f in yaml_fields.get(term, [])]
-    if name and (low in mine or low.replace(" ", "_") in [f.replace(" ", "_") for f in mine]):
-        fire("mapping_yaml_canonical_field_match")
-    urn = a["semantic_resource_urn"].lower()
-    if urn and compact_low and (compact_low in urn or fold(compact_low) == fold(urn.split(".")[-1])):
-        fire("semantic_resource_urn_match")
-    if low and low in (compact_low, label.lower()):
-        fire("exact_property_name_match")
-    pt, at = words(label) | parts(compact), words(name)
-    if pt & at:
-        share = len(pt & at) / max(len(pt), len(at))
-        if share >= .3 or "exact_property_name_match" not in reasons:
-            reasons.append("label_attribute_token_overlap")
-            total += SIGNALS["label_attribute_token_overlap"] * share
-    if parts(terminal(a["xpath"])) & parts(compact):
-        fire("xpath_terminal_match")
-    dt, ct = words(a["definition"]), words(comment)
-    if len(dt & ct) >= 2:
-        reasons.append("definition_comment_overlap")
-        total += SIGNALS["definition_comment_overlap"] * (len(dt & ct) / max(len(dt), len(ct)))
-    if kind and kind in COMPATIBLE_TYPES.get(rng, ()):
-        fire("range_datatype_compatible")
-    elif kind and kind in INCOMPATIBLE_TYPES.get(rng, ()):
-        warnings.append("datatype_mismatch_warning")
-        total += PENALTIES["datatype_mismatch_warning"]
-    quantity = rng in QUANTITY_RANGES or any(
-        w in compact_low for w in ("quantity", "measurement", "content"))
-    if quantity and a["uom_enabled"] == "Yes":
-        fire("quantity_uom_compatible")
-    coded = any(w in rng for w in ("code", "enumeration", "type")) or any(
-        w in compact_low for w in ("code", "type", "status", "method"))
-    if coded and a["code_list_name"]:
-        fire("code_list_signal")
-    if linked.get(term):
-        fire("standards_review_linked")
-    return max(0.0, min(1.0, total)), reasons, warnings
-
-
-def expected(properties, attributes, catalog, profile, decisions, limit):
-    yaml_fields: dict = {}
-    for prop, f in cand.profile_fields(profile):
-        yaml_fields.setdefault(prop, []).append(f)
-    linked: dict = {}
-    for sdr, props in decisions:
-        for prop in props:
-            linked.setdefault(prop, []).append(sdr)
-    found = {}
-    for p in properties:
-        scored = []
-        for a in attributes:
-            s, reasons, warnings = score(p, a, catalog, yaml_fields, linked)
-            if s > 0 or reasons:
-                number = int(a["bms_id"]) if a["bms_id"].isdigit() else 0
-                scored.append((-s, number, a["row_pos"], a, reasons, warnings))
-        scored.sort(key=lambda x: x[:3])
-        found[p[0]] = [(a["bms_id"], a["attribute_name"], round(-s, 4), r, w)
-                       for s, _, _, a, r, w in scored[:limit]]
-    return found
-
-
-@pytest.mark.parametrize(("seed", "small"), [(1, True), (2, True), (3, False)])
-def test_equals_all_pairs_scoring(spark, monkeypatch, seed, small):
-    if not small:
-        monkeypatch.setattr(cand, "BROADCAST_PROPERTIES", 0)
-    properties, attributes, catalog, profile, decisions = inputs(seed, 25, 160)
-    names = list(attributes[0])
-    extra = [c for c in ("message", "module", "parent_class", "multiplicity", "bms_code_list_id")]
+ATTRIBUTE_NAMES = (
+    "row_pos", "bms_id", "attribute_name", "definition", "xpath", "data_type", "uom_enabled",
+    "semantic_resource_urn", "code_list_name", "is_deleted", "row_type", "is_candidate_source",
+    "module",
+)
+EXTRA = ("message", "parent_class", "multiplicity", "bms_code_list_id")
+
+
+def frames(spark, properties, attributes, catalog, decisions):
     attribute_rows = spark.createDataFrame(
-        [tuple(a[n] for n in names) + ("",) * len(extra) for a in attributes],
-        ", ".join(f"{n} {'bigint' if n == 'row_pos' else 'string'}" for n in [*names, *extra]),
+        [tuple(a.get(n, "") for n in ATTRIBUTE_NAMES) + ("",) * len(EXTRA) for a in attributes],
+        ", ".join(f"{n} {'bigint' if n == 'row_pos' else 'string'}" for n in [*ATTRIBUTE_NAMES, *EXTRA]),
     ).repartition(3)
     catalog_df = catalog_rows(
         spark.createDataFrame(catalog, ", ".join(f"{c} string" for c in CATALOG_COLUMNS)).coalesce(1))
-    import json
-
     text = json.dumps([{"id": i, "affected_properties": p} for i, p in decisions])
-    rows = cand.candidates(
+    return (
         spark.createDataFrame(properties, ", ".join(f"{c} string" for c in PROPERTY_COLUMNS)),
-        attribute_rows, catalog_df, profile,
-        backlog(spark.createDataFrame([("", text)], "path string, text string")), limit=6,
-    ).orderBy("webvoc_property_id", "rank").collect()
-    got: dict = {p[0]: [] for p in properties}
+        attribute_rows, catalog_df, backlog(spark.createDataFrame([("", text)], "path string, text string")),
+    )
+
+
+# One property and one attribute per row, what they score and why, worked out by hand from
+# the weights: (property fields, attribute fields, score, reasons, warnings).
+CASES = [
+    ({"label": "Shelf"}, {"attribute_name": "Door"}, None, [], []),
+    # The catalog row of property c1 proves id 77.
+    ({"term": "gs1:c1"}, {"bms_id": "77"}, 0.9, ["existing_mapping_catalog_match"], []),
+    ({"term": "gs1:c1"}, {"attribute_name": "Proved Name"}, 0.9, ["existing_mapping_catalog_match"], []),
+    ({"term": "gs1:c2"}, {"bms_id": "78"}, None, [], []),  # its catalog row proves nothing
+    ({"term": "gs1:y"}, {"attribute_name": "net content"}, 0.65, ["mapping_yaml_canonical_field_match"], []),
+    ({"name": "someThing"}, {"semantic_resource_urn": "urn:a.b.Some-Thing"}, None, [], []),
+    ({"name": "someThing"}, {"semantic_resource_urn": "urn:x.someThing2"}, 0.8, ["semantic_resource_urn_match"], []),
+    # Same name: 0.7, and both tokens of two shared, 0.35 more; the sum stops at one.
+    ({"label": "blue door"}, {"attribute_name": "Blue Door"}, 1.0,
+     ["exact_property_name_match", "label_attribute_token_overlap"], []),
+    # One of at most four words: 0.35 / 4.
+    ({"label": "blue door handle left"}, {"attribute_name": "door"}, 0.0875, ["label_attribute_token_overlap"], []),
+    ({"name": "doorHandle"}, {"xpath": "/a/b:handleSide[1]/"}, 0.25, ["xpath_terminal_match"], []),
+    # Two words of three and four: 0.2 * 2 / 4; a single shared word does not count.
+    ({"comment": "wood steel glass"}, {"definition": "steel wood paint oil"}, 0.1, ["definition_comment_overlap"], []),
+    ({"comment": "wood steel glass"}, {"definition": "steel paint"}, None, [], []),
+    ({"range": "xsd:boolean"}, {"data_type": "Boolean"}, 0.15, ["range_datatype_compatible"], []),
+    # A mismatch alone takes the score below zero, where it stops, and no reason keeps the pair.
+    ({"range": "xsd:boolean"}, {"data_type": "String"}, None, [], []),
+    ({"range": "xsd:boolean", "label": "door"}, {"data_type": "String", "attribute_name": "door"}, 0.9,
+     ["exact_property_name_match", "label_attribute_token_overlap"], ["datatype_mismatch_warning"]),
+    ({"range": "gs1:Measurement"}, {"uom_enabled": "Yes"}, 0.2, ["quantity_uom_compatible"], []),
+    ({"name": "netQuantity"}, {"uom_enabled": "No"}, None, [], []),
+    ({"range": "gs1:ColourCode"}, {"code_list_name": "Colours"}, 0.15, ["code_list_signal"], []),
+    ({"term": "gs1:s"}, {}, 0.1, ["standards_review_linked"], []),
+    # Linked (0.1), deleted (-0.3) and a class row (-0.2): nothing is left but the reason.
+    ({"term": "gs1:s"}, {"is_deleted": "true", "row_type": "Class"}, 0.0, ["standards_review_linked"],
+     ["deleted_attribute_warning", "class_row_not_attribute"]),
+    ({"label": "door"}, {"attribute_name": "door", "row_type": "Attribute", "is_deleted": "true"}, 0.75,
+     ["exact_property_name_match", "label_attribute_token_overlap"], ["deleted_attribute_warning"]),
+]
+
+
+def test_hand_worked_scores(spark):
+    """All cases in one run; of the pairs made, only a case's own property and attribute count."""
+    kinds = [p.get("term", "") for p, *_ in CASES]
+    catalog = [(f"gs1:t{k}", "77", "proved name", "mapped", "", "high") for k, t in enumerate(kinds) if t == "gs1:c1"]
+    catalog += [(f"gs1:t{k}", "78", "", "needs_bms_review", "", "") for k, t in enumerate(kinds) if t == "gs1:c2"]
+    fields = tuple(Rule(f"k{k}", "", f"gs1:t{k}", "net_content") for k, t in enumerate(kinds) if t == "gs1:y")
+    linked = [("SDR-1", [f"gs1:t{k}" for k, t in enumerate(kinds) if t == "gs1:s"])]
+    properties = [(f"gs1:t{k}", p.get("name", ""), p.get("label", ""), p.get("comment", ""), "", p.get("range", ""))
+                  for k, (p, *_) in enumerate(CASES)]
+    attributes = [{"bms_id": "5", "attribute_name": "zzz", "row_type": "", **a, "row_pos": k, "module": str(k)}
+                  for k, (_, a, *_) in enumerate(CASES)]
+    sides = frames(spark, properties, attributes, catalog, linked)
+    rows = cand.candidates(*sides[:2], sides[2], Profile(fields, ()), sides[3], limit=len(CASES)).collect()
+    own = {r.webvoc_property_id: (r.score, r.reasons, r.warnings) for r in rows
+           if r.webvoc_property_id == f"gs1:t{r.gdsn_module}"}
+    for k, (p, a, score, reasons, warnings) in enumerate(CASES):
+        want = None if score is None else (pytest.approx(score, abs=1e-4), reasons, warnings)
+        assert own.get(f"gs1:t{k}") == want, (p, a)
+
+
+def every_pair(properties: DataFrame, attributes: DataFrame, catalog: DataFrame, profile, decisions, limit: int):
+    """The best of all pairs, scored by the engine over a full cross join."""
+    p, a = cand.property_side(properties, catalog, profile, decisions), cand.attribute_side(attributes)
+    proofs = cand.proof_keys(catalog).groupBy("p_id").agg(F.collect_set("key").alias("proof"))
+    pairs = p.join(proofs, "p_id", "left").crossJoin(a).withColumn(
+        "proved", F.expr("coalesce(array_contains(proof, concat('c:', bms_id)) "
+                         "OR array_contains(proof, concat('m:', name_l)), false)"))
+    found: dict = {}
+    for r in cand.score_pairs(pairs).collect():
+        found.setdefault(r.p_id, []).append(
+            ((-r.score, r.bms_sort, r.row_pos), (r.bms_id, r.attribute_name, round(r.score, 4), r.reasons, r.warnings)))
+    return {k: [row for _, row in sorted(rows, key=lambda x: x[0])[:limit]] for k, rows in found.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_keyed_pairs_lose_nothing(spark, seed):
+    properties, attributes, catalog, profile, decisions = inputs(seed, 25, 160)
+    p, a, c, d = frames(spark, properties, attributes, catalog, decisions)
+    rows = cand.candidates(p, a, c, profile, d, limit=6).orderBy("webvoc_property_id", "rank").collect()
+    got: dict = {}
     for r in rows:
-        got[r.webvoc_property_id].append(
+        got.setdefault(r.webvoc_property_id, []).append(
             (r.gdsn_bms_id, r.gdsn_attribute_name, r.score, r.reasons, r.warnings))
-    assert got == expected(properties, attributes, catalog, profile, decisions, 6)
+    assert got == every_pair(p, a, c, profile, d, 6)
+    assert len({reason for r in rows for reason in r.reasons}) == 11
     linked = [r for r in rows if r.webvoc_property_id == "gs1:p3"]
     assert linked and all(r.linked_sdr_ids == ["SDR-1", "SDR-2"] for r in linked)
     assert all(r.standards_review_status == "open" for r in linked)

@@ -4,14 +4,15 @@ Scoring every (property, attribute) pair would be a cross join. It is avoided
 without losing a single result:
 
 * Pair-specific signals (shared tokens, equal names, catalog hits, resource names)
-  need a common key, so those pairs come from equi-joins on signal keys. A pair
-  with several common keys is kept at its first one only.
+  need a common key, so those pairs come from equi-joins on signal keys, of ids
+  only and spread over salts. A pair's common keys collapse to one row, which
+  remembers whether a catalog row proves the pair.
 * All other signals depend on a small *class* of the property and of the
   attribute (data type, unit, code list, deleted, row type). For a pair without a
   common key the class alone fixes the score, and a common key can only raise it.
   Within one attribute class the first ``k`` attributes in tie order therefore
   dominate all later ones, so at most ``k`` per class have to be looked at.
-* Copies of an attribute score alike, so only the first ``k`` of them are paired.
+* Scoring sees the columns that signals need; texts join the winners.
 """
 
 from __future__ import annotations
@@ -33,8 +34,6 @@ from tradeloom.operators.extract import NO_TEXTS, SEAL, with_columns
 from tradeloom.operators.ranking import best_row, number_lines, top_k
 from tradeloom.sources.profile import Profile
 
-# Above this many properties the property side is no longer broadcast.
-BROADCAST_PROPERTIES = 5_000
 _SALTS = 8
 
 
@@ -68,29 +67,31 @@ def profile_fields(profile: Profile) -> list[tuple[str, str]]:
     return pairs
 
 
-def _catalog_hits(catalog: DataFrame) -> DataFrame:
-    """Per property: ids and names that prove a mapping, and its best row."""
+def proof_keys(catalog: DataFrame) -> DataFrame:
+    """``p_id, key``: ids and names of attributes that a catalog row proves to be mapped."""
+    proving = catalog.filter(in_list("lower(mapping_status)", CATALOG_SIGNAL_STATUSES))
+    keys = (f"array(concat('c:', {_clean('gdsn_bms_id')}), "
+            f"concat('m:', lower({_clean('gdsn_attribute_name')})))")
+    rows = proving.selectExpr(f"{_clean('jsonld_property')} AS p_id", f"explode({keys}) AS key")
+    return rows.filter("p_id <> ''").distinct()
+
+
+def _best_rows(catalog: DataFrame) -> DataFrame:
+    """Per property its best catalog row."""
     rows = catalog.selectExpr(
-        f"{_clean('jsonld_property')} AS p_id", f"{_clean('gdsn_bms_id')} AS id",
-        f"lower({_clean('gdsn_attribute_name')}) AS name",
-        f"{in_list('lower(mapping_status)', CATALOG_SIGNAL_STATUSES)} AS proves",
+        f"{_clean('jsonld_property')} AS p_id",
         "coalesce(mapping_status, '') AS existing_mapping_status",
         "coalesce(canonical_field, '') AS existing_mapping_field",
         "coalesce(confidence, '') AS existing_mapping_confidence", "row_number",
     ).filter("p_id <> ''")
-    proofs = rows.groupBy("p_id").agg(
-        F.collect_set(F.expr("CASE WHEN proves THEN id END")).alias("cat_ids"),
-        F.collect_set(F.expr("CASE WHEN proves THEN name END")).alias("cat_names"),
-    )
     known = in_list("existing_mapping_status", BEST_ROW_STATUSES)
-    best = best_row(
+    return best_row(
         rows.select("p_id", "row_number", "existing_mapping_status", "existing_mapping_field",
                     "existing_mapping_confidence"),
         ["p_id"],
         [F.expr("existing_mapping_confidence <> 'high'"), F.expr(f"NOT {known}"),
          F.col("row_number")],
     ).drop("row_number")
-    return proofs.join(best, "p_id")
 
 
 def _decisions(backlog: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def property_side(
         f"{_clean('label')} AS label", f"{_clean('comment')} AS comment",
         f"{_clean('domain')} AS domain", f"{_clean('range')} AS range",
     ).filter("p_id <> ''")
-    for side in (_catalog_hits(catalog), fields, _decisions(backlog)):
+    for side in (_best_rows(catalog), fields, _decisions(backlog)):
         rows = rows.join(side, "p_id", "left")
     rows = rows.withColumns(
         {f"{c}_f": ascii_fold(F.col(c)) for c in ("compact", "label", "comment")}
@@ -132,7 +133,7 @@ def property_side(
             "p_compact_tokens": name_tokens("compact"),
             "p_comment_tokens": word_tokens("comment_f"),
             **{c: f"coalesce({c}, {NO_TEXTS})"
-               for c in ("cat_ids", "cat_names", "yaml_fields", "linked_sdr_ids")},
+               for c in ("yaml_fields", "linked_sdr_ids")},
             **{c: f"coalesce({c}, '')" for c in (
                 "existing_mapping_status", "existing_mapping_field",
                 "existing_mapping_confidence")},
@@ -156,7 +157,6 @@ def property_side(
     keys = [
         _prefixed("n", "p_name_tokens"), _prefixed("x", "p_compact_tokens"),
         _prefixed("d", "p_comment_tokens"), _prefixed("e", "array(compact_l, label_l)"),
-        _prefixed("c", "cat_ids"), _prefixed("m", "cat_names"),
         _prefixed("y", f"array_union(yaml_fields, {underscored})"),
         "IF(compact = '', " + NO_TEXTS + ", "
         + "array(concat('u:', left(compact_l, 3)), concat('v:', compact_norm)))",
@@ -251,7 +251,7 @@ def attribute_side(attributes: DataFrame) -> DataFrame:
 
 _SPECIFIC = {
     "existing_mapping_catalog_match":
-        "array_contains(cat_ids, bms_id) OR array_contains(cat_names, name_l)",
+        "proved",
     "mapping_yaml_canonical_field_match":
         "name_l <> '' AND (array_contains(yaml_fields, name_l) OR array_contains("
         + transform("yaml_fields", lambda f: f"replace({f}, ' ', '_')")
@@ -352,46 +352,33 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 # --- Pair generation -------------------------------------------------------------
 
 
-def leading_copies(attributes: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
-    """Of attributes no property can tell apart, the first ``k`` in tie order.
+# What scoring needs of either side.
+_P_SCORED = ("p_id", "compact_l", "label_l", "compact_norm", "range_l", "yaml_fields",
+             "p_name_tokens", "p_compact_tokens", "p_comment_tokens", "p_quantity", "p_coded",
+             "p_linked")
+_A_SCORED = ("row_pos", "bms_sort", "name_l", "urn_l", "urn_norm", "a_name_tokens",
+             "a_terminal_tokens", "a_definition_tokens", "a_type", "a_uom", "a_coded", "a_deleted",
+             "a_group")
 
-    Copies score alike everywhere, so later ones cannot enter a top ``k``. The id
-    sets an attribute apart only if the catalog names it. The limit works before
-    the shuffle, so a source repeated many times never travels as a whole.
-    """
-    named = catalog.selectExpr(f"{_clean('gdsn_bms_id')} AS bms_id").distinct()
-    rows = attributes.join(named.withColumn("_named", F.lit(True)), "bms_id", "left")
-    features = (
-        "a_name_tokens", "a_terminal_tokens", "a_definition_tokens", "name_l", "urn_l", "a_class",
+
+def keyed_ids(properties: DataFrame, attributes: DataFrame, proofs: DataFrame) -> DataFrame:
+    """``p_id, row_pos, proved`` of all pairs with a common signal key, each once."""
+    own = properties.selectExpr("p_id", "explode(p_keys) AS key", "false AS proves")
+    proving = proofs.join(properties.select("p_id"), "p_id").selectExpr("p_id", "key", "true AS proves")
+    p_keys = own.union(proving).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
     )
-    known = "IF(_named, bms_id, CAST(NULL AS string)) AS known_id"
-    signature = f"sha2(to_json(struct({', '.join(features)}, {known})), 256)"
-    order = [F.col("bms_sort"), F.col("row_pos")]
-    marked = rows.withColumn("_signature", F.expr(signature))
-    return top_k(marked, ["_signature"], order, k).select(*attributes.columns)
-
-
-def keyed_pairs(properties: DataFrame, attributes: DataFrame, *, small: bool) -> DataFrame:
-    """All pairs with a common signal key, each once."""
-    p_keys = properties.selectExpr("p_id", "explode(p_keys) AS key")
-    if small:
-        hits = attributes.withColumn("key", F.explode("a_keys")).join(
-            F.broadcast(p_keys), "key"
-        )
-        both = hits.join(F.broadcast(properties), "p_id")
-        return both.filter("key = get(array_intersect(p_keys, a_keys), 0)").drop("key")
-    # Large vocabularies: only ids travel, hot keys are spread over salts.
-    salted = p_keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     a_keys = attributes.selectExpr(
         "row_pos", f"CAST(pmod(xxhash64(row_pos), {_SALTS}) AS int) AS salt",
         "explode(a_keys) AS key",
     )
-    ids = a_keys.join(salted, ["key", "salt"]).select("p_id", "row_pos").distinct()
-    return ids.join(properties, "p_id").join(attributes, "row_pos")
+    return a_keys.join(p_keys, ["key", "salt"]).groupBy("p_id", "row_pos").agg(
+        F.max("proves").alias("proved")
+    )
 
 
-def class_pairs(properties: DataFrame, attributes: DataFrame, k: int) -> DataFrame:
-    """Pairs without a common key that may still reach the top ``k``."""
+def class_ids(properties: DataFrame, attributes: DataFrame, keyed: DataFrame, k: int) -> DataFrame:
+    """The pairs without a common key that may still reach the top ``k``."""
     order = [F.col("bms_sort"), F.col("row_pos")]
     heads = top_k(attributes, ["a_class"], order, k).drop("rank")
     # The classes are combinations of fixed tables and flags: at most a few hundred.
@@ -407,8 +394,9 @@ def class_pairs(properties: DataFrame, attributes: DataFrame, k: int) -> DataFra
     leaders = top_k(
         met.withColumn("class_score", F.expr(generic_score)), ["p_class"],
         [F.desc("class_score"), *order], k,
-    ).select("p_class", *attributes.columns)
-    return properties.join(leaders, "p_class").filter("NOT arrays_overlap(p_keys, a_keys)")
+    ).select("p_class", "row_pos")
+    pairs = properties.select("p_id", "p_class").join(leaders, "p_class").select("p_id", "row_pos")
+    return pairs.join(keyed, ["p_id", "row_pos"], "left_anti").selectExpr("*", "false AS proved")
 
 
 def confidence(score: str, reasons: str) -> str:
@@ -445,12 +433,17 @@ def candidates(
     if property_id is not None:
         properties = properties.filter(F.col("term_id") == property_id)
     p = property_side(properties, catalog, profile, backlog)
-    a = leading_copies(attribute_side(attributes), catalog, limit)
-    small = properties.limit(BROADCAST_PROPERTIES + 1).count() <= BROADCAST_PROPERTIES
-    specific = keyed_pairs(p, a, small=small)
-    generic = class_pairs(p, a, limit).select(*specific.columns)
-    scored = score_pairs(specific.unionByName(generic))
-    best = top_k(scored, ["p_id"], [F.desc("score"), F.col("bms_sort"), F.col("row_pos")], limit)
+    a = attribute_side(attributes)
+    keyed = keyed_ids(p, a, proof_keys(catalog))
+    ids = keyed.unionByName(class_ids(p, a, keyed, limit))
+    scored = score_pairs(ids.join(p.select(*_P_SCORED), "p_id").join(a.select(*_A_SCORED), "row_pos"))
+    order = [F.desc("score"), F.col("bms_sort"), F.col("row_pos")]
+    first = top_k(
+        scored.select("p_id", "row_pos", "bms_sort", "score", "reasons", "warnings"),
+        ["p_id"], order, limit,
+    )
+    texts = a.select("row_pos", "a_deleted", *_ATTRIBUTE_TEXTS)
+    best = first.join(p, "p_id").join(texts, "row_pos")
     leveled = with_columns(best, {"confidence_level": confidence("score", "reasons")})
     notes = ", ".join(
         f"CASE WHEN array_contains(warnings, {q(n)}) THEN {q(t)} END"
