@@ -40,6 +40,11 @@ def test_archive_with_every_kind_of_entry(spark, folder):
     results, converted, refused = batch.convert_archives(
         zip_entries(spark, str(folder), limits))
     rows = results.orderBy("batch_order").collect()
+    parts = writers.write_batch(results.drop("batch_order"), str(folder / "export"), converted)
+    assert {"products", "mapping_report", "validation_report", "unmapped_fields", "errors"} <= set(parts)
+    names = {r.output_name for r in spark.read.json(parts["products"]).collect()}
+    assert names == {r.output_name for r in rows if r.status == "success"}
+    assert spark.read.json(parts["errors"]).count() == sum(r.status == "error" for r in rows)
     shown = [(r.filename, r.status, r.output_name, r.error_type) for r in rows]
     assert shown == [
         ("../evil.xml", "error", "", "UnsafeZipPath"),
@@ -119,6 +124,12 @@ def test_corpus_run_and_sinks(spark, folder, tmp_path):
     failed = batch.unusable_profile_rows(docs, "file_name", "it's bad").collect()
     assert {(r.failure_stage, r.exception_message) for r in failed} == {("mapping", "it's bad")}
     paths = writers.write_conversion(converted, str(tmp_path / "out"), ["file_name"])
+    assert spark.read.parquet(str(tmp_path / "out" / "converted")).count() == 3
+    with pytest.raises(ValueError, match="No XML sample files found"):
+        (tmp_path / "none").mkdir()
+        xml_directory(spark, str(tmp_path / "none"))
+    some = convert(docs, where="file_name = 'full.xml'")
+    assert [r.file_name for r in some.select("file_name").collect()] == ["full.xml"]
     assert set(paths) == {"products", "validation", "unmapped", "mapping_report", "errors"}
     products = {r.file_name: r for r in spark.read.json(paths["products"]).collect()}
     assert json.loads(products["full.xml"].jsonld)["@type"] == "gs1:Product"

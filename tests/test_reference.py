@@ -238,8 +238,12 @@ def test_update_check(spark, items, tmp_path):
     metadata = vocabulary.snapshot_metadata(items)
     writers.write_snapshot(
         {"ttl": spark.createDataFrame([("gs1:a a b .",)], "value string")}, metadata,
-        str(tmp_path / "v2"))
-    assert vocabulary.turtle_terms(spark, str(tmp_path / "v2" / "ttl")).count() == 1
+        str(tmp_path / "snapshots"), "v2")
+    current = writers.current_snapshot(spark, str(tmp_path / "snapshots"))
+    assert current.endswith("/v2") and vocabulary.turtle_terms(spark, f"{current}/ttl").count() == 1
+    with pytest.raises(Exception):  # noqa: B017  a failing part leaves the last version in place
+        writers.write_snapshot({"ttl": spark.range(1)}, metadata, str(tmp_path / "snapshots"), "v3")
+    assert writers.current_snapshot(spark, str(tmp_path / "snapshots")) == current
 
 
 def test_numbering_spans_chunks(spark):
@@ -296,3 +300,21 @@ def test_blank_language_entries_are_dropped(spark):
     rows = spark.createDataFrame([('["\\n", {"@value": " ", "@language": "en"}, "name"]',)], "j string")
     [r] = rows.selectExpr("parse_json(j) AS v").selectExpr(f"{linked.language_entries('v')} AS e").collect()
     assert [(e.value, e.language) for e in r.e] == [("name", None)]
+
+
+def test_hot_keys_change_nothing(spark):
+    rows = spark.range(3000).selectExpr("id AS pos", "IF(id % 10 < 9, 'hot', concat('k', id % 7)) AS k")
+    seen: set = set()
+    got = {r.pos: r.is_repeat for r in ranking.first_occurrences(rows, "k", "pos").collect()}
+    for pos in range(3000):
+        k = "hot" if pos % 10 < 9 else f"k{pos % 7}"
+        assert got[pos] == (k in seen)
+        seen.add(k)
+
+
+def test_of_repeated_terms_the_last_file_counts(spark):
+    rows = spark.createDataFrame(
+        [(f"f{k}", json.dumps({"@graph": [{"@id": "gs1:a", "n": k}, {"@id": "gs1:a", "n": k + 10}][: 2 - k % 2]})) for k in (3, 1, 2)],
+        "path string, text string")
+    [term] = vocabulary.own_terms(vocabulary.graph_items(rows)).collect()
+    assert json.loads(term.body)["n"] == 3

@@ -418,6 +418,8 @@ def check_mapping(profile: Profile, rows: DataFrame) -> dict[str, DataFrame]:
 
 # --- Revalidation against a vocabulary snapshot -----------------------------------
 
+_SALTS = 16
+
 
 def revalidate(rows: DataFrame, terms: DataFrame, linktypes: DataFrame) -> DataFrame:
     """Look up every property token of every row in a vocabulary snapshot.
@@ -426,11 +428,18 @@ def revalidate(rows: DataFrame, terms: DataFrame, linktypes: DataFrame) -> DataF
     four validation columns and the finding (status, category, token lists).
     """
     tokens = term_tokens("concat_ws(' ', jsonld_property, recommended_jsonld_property)")
-    listed = rows.select("row_number", F.expr(f"explode(array_distinct({tokens}))").alias("token"))
+    listed = rows.select(
+        "row_number", F.expr(f"pmod(row_number, {_SALTS})").alias("salt"),
+        F.expr(f"explode(array_distinct({tokens}))").alias("token"),
+    )
     links = linktypes.selectExpr("concat('gs1:', name) AS token", "status AS link_status",
                                  "true AS is_link")
     known = terms.selectExpr("term_id AS token", "label", "range_text", "true AS is_term")
-    looked_up = listed.join(known, "token", "left").join(links, "token", "left").selectExpr(
+    # A token that most rows name is met in as many tasks as there are salts.
+    terms_and_links = known.join(links, "token", "full").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint")))
+    )
+    looked_up = listed.join(terms_and_links, ["token", "salt"], "left").selectExpr(
         "row_number", "token", "coalesce(is_term, false) AS found",
         "coalesce(is_link, false) AS link", "coalesce(link_status, '') AS link_status",
         "coalesce(label, '') AS label", "coalesce(range_text, '') AS range_text",

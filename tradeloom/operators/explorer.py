@@ -120,8 +120,10 @@ def governance_by_term(evidence: DataFrame, backlog: DataFrame) -> DataFrame:
         {"via": F.lit(0), "row_number": F.lit(0).cast("bigint")}
     )
     by_field = _governance(backlog, "affected_fields", "field")
+    # One row per term and field, however many catalog rows repeat the pair.
     through = (
-        evidence.selectExpr("term_id", "row_number", "evidence.canonical_field AS field")
+        evidence.groupBy("term_id", F.col("evidence.canonical_field").alias("field"))
+        .agg(F.min("row_number").alias("row_number"))
         .join(by_field, "field")
         .drop("field")
         .withColumn("via", F.lit(1))
@@ -228,8 +230,7 @@ def filter_properties(
 ) -> DataFrame:
     """Explorer filter; empty options do not restrict.
 
-    The search text may occur in the property or in any of its evidence rows,
-    which are met by a semi-join.
+    The search text may occur in the property or in any of its evidence rows.
     """
     tests = []
     if group not in ("", "All groups"):
@@ -242,18 +243,29 @@ def filter_properties(
         tests.append("(coverage_status = 'standards_review_required' "
                      "OR coalesce(size(governance), 0) > 0)")
     kept = properties.filter(" AND ".join(tests)) if tests else properties
-    wanted = search.strip().lower()
-    if not wanted:
-        return kept
-    text = ("lower(concat_ws(' ', term_id, label, comment, concat_ws(' ', domain), "
-            "concat_ws(' ', range)))")
+    return search_properties(kept, evidence, [search]).drop("search") if search.strip() else kept
+
+
+def search_properties(properties: DataFrame, evidence: DataFrame, searches: list[str]) -> DataFrame:
+    """``search`` and the properties it hits, for several search texts in one evaluation.
+
+    A text hits if it occurs in the property's own words or in one of its evidence
+    rows; it is not looked for across the seam of two rows. Evidence is reduced to the
+    texts it holds per term, so either side is read once.
+    """
+    texts = strings(t.strip().lower() for t in searches)
+
+    def held(words: str) -> str:
+        return f"filter({texts}, t -> contains(lower({words}), t))"
+
     cells = ", ".join(
         f"evidence.{name}" for name in ("canonical_field", "bms_id", "gdsn_xpath",
                                         "source_attribute_name", "jsonld_property")
     )
-    in_evidence = evidence.filter(f"contains(lower(concat_ws(' ', {cells})), {q(wanted)})")
-    own = F.expr(f"contains({text}, {q(wanted)})")
-    return kept.filter(own).unionByName(
-        kept.filter(~own).join(in_evidence.select("term_id"), "term_id", "left_semi")
-        .select(*kept.columns)
+    hits = evidence.selectExpr("term_id", f"explode({held(f'concat_ws(chr(32), {cells})')}) AS hit")
+    by_term = hits.groupBy("term_id").agg(F.collect_set("hit").alias("_in_evidence"))
+    own = held("concat_ws(' ', term_id, label, comment, concat_ws(' ', domain), concat_ws(' ', range))")
+    return properties.join(by_term, "term_id", "left").selectExpr(
+        f"explode(array_union({own}, coalesce(_in_evidence, array()))) AS search",
+        *properties.columns,
     )

@@ -82,13 +82,20 @@ def numbered_names(rows: DataFrame, base: str, position: str, **options: int) ->
     return numbered.withColumn("unique_name", F.concat(base, suffix)).drop("number")
 
 
-def first_occurrences(rows: DataFrame, key: str, position: str) -> DataFrame:
-    """Add ``is_repeat``: true on every occurrence of a key after its first."""
-    firsts = rows.groupBy(key).agg(F.min(position).alias("_first"))
+def first_occurrences(rows: DataFrame, key: str, position: str, *, salts: int = 16) -> DataFrame:
+    """Add ``is_repeat``: true on every occurrence of a key after its first.
+
+    The first positions combine before the shuffle; a key's rows meet theirs in as
+    many tasks as there are salts.
+    """
+    firsts = rows.groupBy(key).agg(F.min(position).alias("_first")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    )
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(position), F.lit(salts)).cast("int"))
     return (
-        rows.join(firsts, key)
+        salted.join(firsts, [key, "_salt"])
         .withColumn("is_repeat", F.col(position) > F.col("_first"))
-        .drop("_first")
+        .drop("_first", "_salt")
     )
 
 

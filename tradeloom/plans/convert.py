@@ -27,14 +27,18 @@ def extract(docs: DataFrame, profile: Profile) -> DataFrame:
 
 
 def convert(
-    docs: DataFrame, profile: Profile | None = None, *, leftovers: bool = True
+    docs: DataFrame, profile: Profile | None = None, *, leftovers: bool = True,
+    where: str | None = None,
 ) -> DataFrame:
     """Convert documents (``content`` plus any key columns).
 
     Adds ``product``, ``jsonld``, ``mapping_report``, ``validation``, ``unmapped``,
     ``error_type`` and ``error_message``. A malformed document keeps its row with
     the error filled in. ``leftovers=False`` skips the unread-element report.
+    ``where`` is a predicate on the key columns: it holds before any document is
+    parsed and reaches the scan, which a filter on the result would not.
     """
+    docs = docs.filter(where) if where else docs
     profile = profile or built_in_profile()
     keys = [c for c in docs.columns if c != "content"]
 

@@ -1270,18 +1270,12 @@ def explorer_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
       AND (c_nationkey IN (1, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19))
       AND c_custkey % 3 = 0)""")
 def explorer_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two searches united: one hits property text, the other evidence."""
+    """Twelve searches at once: one hits property text, the others evidence."""
     rows = customer_catalog(spark, sf_dir)
     evidence = explorer.evidence_by_term(rows)
     built = explorer.explore(nation_properties(spark, sf_dir), rows, nation_backlog(spark, sf_dir))
-    hits = [
-        explorer.filter_properties(built, evidence, search=text).select("term_id")
-        for text in (" AN OFFER ", "field_1_image", *[f"field_{i}_image" for i in range(10, 20)])
-    ]
-    found = hits[0]
-    for more in hits[1:]:
-        found = found.unionByName(more)
-    return found.distinct()
+    texts = [" AN OFFER ", "field_1_image", *[f"field_{i}_image" for i in range(10, 20)]]
+    return explorer.search_properties(built, evidence, texts).select("term_id").distinct()
 
 
 @workload("""SELECT change, CAST(count(*) AS BIGINT) AS terms FROM (

@@ -1,20 +1,26 @@
 """Partitioned outputs. Files are written by the tasks; nothing passes the driver.
 
-Sorting happens here and nowhere else, and only for reports a person reads.
+A result with several parts is computed once: its rows are written first, and the parts
+are read from there. Only reports a person reads are sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tradeloom.fixed import BACKLOG_CSV_COLUMNS
-from tradeloom.operators.batch import batch_totals, corpus_totals, report_rows
+from tradeloom.functions.text import safe_filename, safe_stem
+from tradeloom.operators.batch import batch_totals, corpus_totals, output_names, report_rows
 from tradeloom.operators.candidates import candidate_summary, flat_candidates
 from tradeloom.operators.explorer import display_rows, explorer_summary
 from tradeloom.operators.inventory import inventory_csv, inventory_summary
 from tradeloom.operators.profiles import csv_cells
 
 
+def safe_names(name: str) -> Column:
+    return F.expr(safe_stem(safe_filename(name)))
+
+
 def write_json(df: DataFrame, path: str, *partitions: str) -> str:
     writer = df.write.mode("overwrite")
     if partitions:
@@ -34,12 +40,19 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+def written_once(df: DataFrame, path: str) -> DataFrame:
+    """Rows of ``df`` read back from ``path``, where they are written first."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_conversion(converted: DataFrame, path: str, keys: list[str]) -> dict[str, str]:
     """Products, mapping report, validation, leftovers and errors of a conversion.
 
     Rows are keyed by document, so two documents with one GTIN do not overwrite
-    each other. Cache ``converted`` first: each output reads it.
+    each other. Every document is parsed once: all parts are read from ``converted``.
     """
+    converted = written_once(converted, f"{path}/converted")
     good = converted.filter("error_type IS NULL")
     gtin = F.coalesce("product.gtin", F.lit("unknown")).alias("gtin")
     outputs = {
@@ -56,12 +69,41 @@ def write_conversion(converted: DataFrame, path: str, keys: list[str]) -> dict[s
     return {name: write_json(df, f"{path}/{name}") for name, df in outputs.items()}
 
 
-def write_batch(results: DataFrame, path: str) -> dict[str, str]:
-    """Per-file results partitioned by outcome, and the totals."""
-    return {
+def write_batch(
+    results: DataFrame, path: str, converted: DataFrame | None = None
+) -> dict[str, str]:
+    """Per-file results partitioned by outcome, the totals, and the parts of the export.
+
+    With ``converted`` (keys ``archive``, ``entry_no``): products, three reports and
+    errors, each row under its archive and unique output name.
+    """
+    results = written_once(results, f"{path}/results")
+    written = {
         "files": write_json(results, f"{path}/files", "status"),
         "summary": write_json(batch_totals(results), f"{path}/summary"),
     }
+    if converted is None:
+        return written
+    keys = ["archive", "entry_no"]
+    failed = results.filter("status = 'error'").select(
+        *keys, "filename", safe_names("filename").alias("base_name"), F.lit("success").alias("status"),
+        "error_type", "error_message",
+    )
+    errors = output_names(failed).select(
+        "archive", F.concat("output_name", F.lit("_error")).alias("output_name"),
+        "filename", "error_type", "error_message",
+    )
+    named = results.filter("status = 'success'").select(*keys, "output_name").join(converted, keys)
+    named = written_once(named, f"{path}/converted")
+    who = ["archive", "output_name"]
+    parts = {
+        "products": named.select(*who, "jsonld"),
+        "mapping_report": report_rows(named, who),
+        "validation_report": named.select(*who, "validation.*"),
+        "unmapped_fields": named.select(*who, F.explode("unmapped").alias("u")).select(*who, "u.*"),
+        "errors": errors,
+    }
+    return written | {name: write_json(df, f"{path}/{name}") for name, df in parts.items()}
 
 
 def write_corpus(rows: DataFrame, path: str) -> dict[str, str]:
@@ -87,12 +129,14 @@ def write_reference(datasets: dict[str, DataFrame], path: str) -> dict[str, str]
     """Normalised reference datasets as JSON and as CSV cells."""
     written = {}
     for name, df in datasets.items():
+        df = written_once(df, f"{path}/{name}_rows")
         written[f"{name}_json"] = write_json(df, f"{path}/{name}_json")
         written[f"{name}_csv"] = write_csv(csv_cells(df), f"{path}/{name}_csv")
     return written
 
 
 def write_candidates(rows: DataFrame, path: str) -> dict[str, str]:
+    rows = written_once(rows, f"{path}/candidates")
     ordered = rows.orderBy("webvoc_property_id", "rank")
     return {
         "json": write_json(ordered.drop("rank"), f"{path}/candidates_json"),
@@ -104,6 +148,7 @@ def write_candidates(rows: DataFrame, path: str) -> dict[str, str]:
 def write_explorer(
     properties: DataFrame, evidence: DataFrame, path: str
 ) -> dict[str, str]:
+    properties = written_once(properties, f"{path}/properties")
     return {
         "evidence_json": write_json(evidence, f"{path}/evidence_json"),
         "properties_json": write_json(properties, f"{path}/properties_json"),
@@ -112,16 +157,32 @@ def write_explorer(
     }
 
 
-def write_snapshot(sources: dict[str, DataFrame], metadata: DataFrame, path: str) -> dict[str, str]:
-    """A new snapshot version in its own directory; readers switch by path."""
+def write_snapshot(
+    sources: dict[str, DataFrame], metadata: DataFrame, path: str, version: str
+) -> dict[str, str]:
+    """A new snapshot version in its own folder, complete or not visible.
+
+    Readers go by the versions listed in ``path/versions``; the new one is added when
+    all its files are there, in one commit.
+    """
     written = {}
     for name, df in sources.items():
-        df.write.mode("errorifexists").text(f"{path}/{name}")
-        written[name] = f"{path}/{name}"
-    written["metadata"] = write_json(metadata, f"{path}/metadata")
+        written[name] = f"{path}/{version}/{name}"
+        df.write.mode("errorifexists").text(written[name])
+    written["metadata"] = write_json(metadata, f"{path}/{version}/metadata")
+    added = metadata.sparkSession.range(1).select(
+        F.lit(version).alias("version"), F.current_timestamp().alias("written_at")
+    )
+    added.coalesce(1).write.mode("append").parquet(f"{path}/versions")
     return written
 
 
+def current_snapshot(spark: SparkSession, path: str) -> str:
+    """Folder of the last complete version."""
+    last = spark.read.parquet(f"{path}/versions").orderBy(F.desc("written_at")).first()
+    return f"{path}/{last.version}"
+
+
 def write_update_report(report: dict[str, DataFrame], path: str) -> dict[str, str]:
     """Sections of a vocabulary update check."""
     return {name: write_json(df, f"{path}/{name}") for name, df in report.items()}

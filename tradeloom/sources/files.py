@@ -19,13 +19,14 @@ ship_with_tasks(__name__)
 
 
 def xml_directory(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id`` (file path), ``file_name`` and ``content`` of every ``*.xml``."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.xml")
-        .load(path)
-        .select(F.col("path").alias("doc_id"), "content")
-    )
+    """``doc_id`` (file path), ``file_name`` and ``content`` of every ``*.xml``.
+
+    A directory without any is an error.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
+    if not found.inputFiles():
+        raise ValueError(f"No XML sample files found in: {path}")
+    files = found.select(F.col("path").alias("doc_id"), "content")
     return files.withColumn("file_name", F.element_at(F.split("doc_id", "/"), -1))
 
 

@@ -19,15 +19,16 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def graph_items(texts: DataFrame) -> DataFrame:
-    """One row per object of the ``@graph`` list: ``pos``, ``item``, ``term_id``.
+    """One row per object of the ``@graph`` list: ``path``, ``pos``, ``item``, ``term_id``.
 
     Text that is not JSON, or has no list there, yields no rows.
     """
     graphs = texts.select(
+        "path",
         F.expr("""try_variant_get(try_parse_json(text), '$["@graph"]', 'array<variant>')""")
         .alias("graph")
     )
-    items = graphs.select(F.posexplode("graph").alias("pos", "item"))
+    items = graphs.select("path", F.posexplode("graph").alias("pos", "item"))
     term = "try_variant_get(item, '$[\"@id\"]', 'variant')"
     return items.filter("startswith(schema_of_variant(item), 'OBJECT')").withColumn(
         "term_id",
@@ -42,11 +43,12 @@ def graph_from_file(spark: SparkSession, path: str) -> DataFrame:
 def own_terms(items: DataFrame) -> DataFrame:
     """Terms of the vocabulary itself as ``term_id`` and JSON ``body``.
 
-    Of duplicates the last one stays; the maximum combines before the shuffle.
+    Of duplicates the last one stays, files in order of path; the maximum combines
+    before the shuffle.
     """
     terms = items.filter("startswith(term_id, 'gs1:') AND term_id <> 'gs1:'")
-    bodies = terms.select("term_id", "pos", F.to_json("item").alias("body"))
-    return bodies.groupBy("term_id").agg(F.max_by("body", "pos").alias("body"))
+    bodies = terms.select("term_id", F.struct("path", "pos").alias("at"), F.to_json("item").alias("body"))
+    return bodies.groupBy("term_id").agg(F.max_by("body", "at").alias("body"))
 
 
 def snapshot_metadata(items: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def snapshot_metadata(items: DataFrame) -> DataFrame:
     inner = member(modified, "@value")
     return (
         items.filter("term_id = 'gs1:'")
-        .orderBy("pos")
+        .orderBy("path", "pos")
         .limit(1)
         .selectExpr(
             f"{member('item', 'owl:versionInfo', 'string')} AS version",
