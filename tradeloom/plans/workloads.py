@@ -14,7 +14,7 @@ from tradeloom.fixed import AUTHORING_NOTICE, SCHEMA_CONTEXT_JSON, TOPIC_GROUPS,
 from tradeloom.functions import q
 from tradeloom.functions.checks import is_gtin, is_http_url
 from tradeloom.functions.dates import iso_date
-from tradeloom.functions.jsontext import json_object, json_string
+from tradeloom.functions.jsontext import json_array, json_object, json_string
 from tradeloom.functions.linked import language_entries, member
 from tradeloom.functions.numbers import number_text
 from tradeloom.functions.text import (
@@ -29,7 +29,7 @@ from tradeloom.operators.leftovers import leftover_profile
 from tradeloom.plans.convert import convert
 from tradeloom.plans.messages import element, escape, gtin14, join, message, spread
 from tradeloom.sources import documents as docs_in, tabular, vocabulary
-from tradeloom.sources.profile import Profile
+from tradeloom.sources.profile import Profile, Rule
 from tradeloom.sources.xmlnodes import explode_nodes, shred
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -846,6 +846,132 @@ def candidate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def evidenced_candidates(spark: SparkSession, sf_dir: str, limit: int = 5) -> DataFrame:
+    """Part names as properties, parts as attributes, with every kind of evidence.
+
+    Catalog rows and decisions come from parts as well; the profile names two properties.
+    """
+    part = table(spark, sf_dir, "part").withColumns({
+        "w1": F.split("p_name", " ")[0], "w2": F.split("p_name", " ")[1],
+    }).withColumn("compact", F.expr("concat(w1, initcap(w2))"))
+    names = part.select("p_name", "w1", "w2", "compact").distinct()
+    properties = names.selectExpr(
+        "concat('gs1:', compact) AS term_id", "compact AS compact_name", "p_name AS label",
+        "concat(p_name, ' wood steel') AS comment", "'' AS domain",
+        "CASE length(p_name) % 4 WHEN 0 THEN 'xsd:decimal' WHEN 1 THEN 'gs1:QuantitativeValue' "
+        "WHEN 2 THEN 'xsd:boolean' ELSE 'gs1:ColourCode' END AS range",
+    )
+    attributes = part.selectExpr(
+        "p_partkey AS row_pos", "CAST(p_partkey AS string) AS bms_id",
+        "CASE p_size % 5 WHEN 0 THEN p_name WHEN 1 THEN concat(w1, '_', w2) "
+        "ELSE concat(p_name, ' ', lower(p_type)) END AS attribute_name",
+        "IF(p_size % 3 = 0, concat('/a/b:', w2, 'Side[1]'), '') AS xpath",
+        "concat(IF(p_size % 2 = 0, 'steel wood ', ''), lower(p_type)) AS definition",
+        "CASE p_size % 4 WHEN 0 THEN 'Measurement' WHEN 1 THEN 'Boolean' WHEN 2 THEN 'String' "
+        "ELSE 'Other' END AS data_type",
+        "IF(p_size % 2 = 0, 'Yes', 'No') AS uom_enabled",
+        "IF(p_size % 9 = 0, 'Class', 'Attribute') AS row_type",
+        "IF(p_size % 10 = 0, 'true', 'false') AS is_deleted", "'true' AS is_candidate_source",
+        "IF(p_size % 6 = 0, 'list', '') AS code_list_name",
+        "IF(p_size % 7 = 0, concat('urn:x.', w1, w2), '') AS semantic_resource_urn",
+        *[f"'' AS {c}" for c in ("message", "module", "parent_class", "multiplicity", "bms_code_list_id")],
+    )
+    rows = part.filter("p_partkey % 40 = 0").selectExpr(
+        "p_partkey AS row_number", "concat('gs1:', compact) AS jsonld_property",
+        "CAST(p_partkey AS string) AS gdsn_bms_id", "'-' AS gdsn_attribute_name",
+        "CASE WHEN p_partkey % 120 = 0 THEN 'needs_bms_review' WHEN p_partkey % 80 = 0 THEN 'mapped' "
+        "ELSE 'candidate' END AS mapping_status", "'' AS canonical_field", "'high' AS confidence",
+    )
+    profile = Profile(fields=(
+        Rule("a", "", "gs1:blueAnvil", "blue_anvil"), Rule("b", "", "gs1:redRod", "red_rod"),
+    ))
+    decision = json_object([
+        ("id", json_string("concat('SDR-', w1)")), ("affected_properties", json_array(
+            "array(" + json_string("concat('gs1:', compact)") + ")")),
+    ])
+    backlog = docs_in.backlog(names.filter("length(p_name) % 4 = 0").selectExpr(
+        "compact AS path", f"concat('[', {decision}, ']') AS text"
+    ))
+    return cand.candidates(properties, attributes, rows, profile, backlog, limit=limit)
+
+
+_SQL_EVIDENCED = """WITH parts AS (SELECT *, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2,
+      split_part(p_name, ' ', 1) || split_part(p_name, ' ', 2) AS joined FROM part),
+    p AS (SELECT DISTINCT p_name, w1, w2, joined, 'gs1:' || w1 || upper(w2[1]) || w2[2:] AS term,
+      length(p_name) % 4 AS r FROM parts),
+    m AS (SELECT joined, arg_min(CASE WHEN p_partkey % 120 = 0 THEN 'needs_bms_review' WHEN p_partkey % 80 = 0
+        THEN 'mapped' ELSE 'candidate' END,
+        p_partkey + CASE WHEN p_partkey % 120 <> 0 AND p_partkey % 80 = 0 THEN 0 ELSE 1e12 END) AS status
+      FROM parts WHERE p_partkey % 40 = 0 GROUP BY joined),
+    a AS (SELECT p_partkey, joined AS a_joined, w2 AS side, p_size AS z, lower(p_type) AS kind,
+      CASE p_size % 5 WHEN 0 THEN p_name WHEN 1 THEN w1 || '_' || w2 ELSE p_name || ' ' || lower(p_type) END AS name,
+      list_distinct(CASE WHEN p_size % 5 < 2 THEN [w1, w2] ELSE [w1, w2, lower(p_type)] END) AS words,
+      CASE WHEN p_size % 2 = 0 THEN ['steel', 'wood', lower(p_type)] ELSE [lower(p_type)] END AS said FROM parts),
+    o AS (SELECT term, p_partkey, z, r, coalesce(m.status, '') AS status, z % 10 = 0 AS del, z % 9 = 0 AS cls,
+        p_partkey % 40 = 0 AND p_partkey % 120 <> 0 AND p.joined = a_joined AS cat,
+        term IN ('gs1:blueAnvil', 'gs1:redRod') AND replace(name, ' ', '_') = p.w1 || '_' || p.w2 AS yaml,
+        z % 7 = 0 AND contains('urn:x.' || a_joined, p.joined) AS urn, name = p_name AS exact,
+        len(list_intersect([p.w1, p.w2], words)) AS n,
+        CAST(len(list_intersect([p.w1, p.w2], words)) AS DOUBLE) / greatest(2, len(words)) AS f,
+        z % 3 = 0 AND side IN (p.w1, p.w2) AS xp, len(list_intersect([p.w1, p.w2, 'wood', 'steel'], said)) AS d,
+        CAST(len(list_intersect([p.w1, p.w2, 'wood', 'steel'], said)) AS DOUBLE) / 4 AS df,
+        (r IN (0, 1) AND z % 4 = 0) OR (r = 2 AND z % 4 = 1) AS fits, r = 2 AND z % 4 IN (0, 2) AS clash,
+        r = 1 AND z % 2 = 0 AS uom, r = 3 AND z % 6 = 0 AS code, r = 0 AS linked
+      FROM p CROSS JOIN a LEFT JOIN m ON m.joined = p.joined),
+    s AS (SELECT *, n >= 1 AND (f >= 0.3::DOUBLE OR NOT exact) AS lab, greatest(0::DOUBLE, least(1::DOUBLE, 0::DOUBLE
+        + CASE WHEN del THEN -0.3::DOUBLE ELSE 0 END + CASE WHEN cls THEN -0.2::DOUBLE ELSE 0 END
+        + CASE WHEN cat THEN 0.9::DOUBLE ELSE 0 END + CASE WHEN yaml THEN 0.65::DOUBLE ELSE 0 END
+        + CASE WHEN urn THEN 0.8::DOUBLE ELSE 0 END + CASE WHEN exact THEN 0.7::DOUBLE ELSE 0 END
+        + CASE WHEN n >= 1 AND (f >= 0.3::DOUBLE OR NOT exact) THEN 0.35::DOUBLE * f ELSE 0 END
+        + CASE WHEN xp THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN d >= 2 THEN 0.2::DOUBLE * df ELSE 0 END
+        + CASE WHEN fits THEN 0.15::DOUBLE WHEN clash THEN -0.15::DOUBLE ELSE 0 END
+        + CASE WHEN uom THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN code THEN 0.15::DOUBLE ELSE 0 END
+        + CASE WHEN linked THEN 0.1::DOUBLE ELSE 0 END)) AS score FROM o),
+    k AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, p_partkey) AS rank FROM s
+      WHERE score > 0 OR cat OR yaml OR urn OR exact OR lab OR xp OR d >= 2 OR fits OR uom OR code OR linked),
+    l AS (SELECT *, CASE WHEN linked AND score < 0.15 THEN 'review_required' WHEN score >= 0.7 THEN 'high'
+      WHEN score >= 0.4 THEN 'medium' WHEN score >= 0.15 THEN 'low' ELSE 'review_required' END AS level FROM k)
+    SELECT term AS property, p_partkey AS attribute, rank, round(score, 4) AS score, level,
+      CASE WHEN status = 'mapped' THEN 'already_mapped' WHEN del THEN 'not_recommended'
+        WHEN level = 'review_required' OR linked THEN 'review_required' ELSE 'proposed' END AS review,
+      CASE WHEN linked THEN 'SDR-' || split_part(lower(regexp_replace(substr(term, 5), '([A-Z])', ' \\1')), ' ', 1) ELSE '' END AS decisions,
+      concat_ws(';', CASE WHEN cat THEN 'existing_mapping_catalog_match' END,
+        CASE WHEN yaml THEN 'mapping_yaml_canonical_field_match' END, CASE WHEN urn THEN 'semantic_resource_urn_match' END,
+        CASE WHEN exact THEN 'exact_property_name_match' END, CASE WHEN lab THEN 'label_attribute_token_overlap' END,
+        CASE WHEN xp THEN 'xpath_terminal_match' END, CASE WHEN d >= 2 THEN 'definition_comment_overlap' END,
+        CASE WHEN fits THEN 'range_datatype_compatible' END, CASE WHEN uom THEN 'quantity_uom_compatible' END,
+        CASE WHEN code THEN 'code_list_signal' END, CASE WHEN linked THEN 'standards_review_linked' END) AS reasons,
+      concat_ws(';', CASE WHEN del THEN 'deleted_attribute_warning' END,
+        CASE WHEN cls THEN 'class_row_not_attribute' END,
+        CASE WHEN clash AND NOT fits THEN 'datatype_mismatch_warning' END) AS warnings
+    FROM l WHERE rank <= {limit}"""
+
+
+def _evidenced_rows(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(
+        "webvoc_property_id AS property", "CAST(gdsn_bms_id AS bigint) AS attribute",
+        "CAST(rank AS bigint) AS rank", "score", "confidence_level AS level", "review_status AS review",
+        "array_join(linked_sdr_ids, ';') AS decisions", "array_join(reasons, ';') AS reasons",
+        "array_join(warnings, ';') AS warnings",
+    )
+
+
+@workload(_SQL_EVIDENCED.replace("{limit}", "5"))
+def candidates_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All signals and penalties, from catalog, profile, decisions and attribute texts."""
+    return _evidenced_rows(evidenced_candidates(spark, sf_dir))
+
+
+@workload("SELECT * FROM (" + _SQL_EVIDENCED.replace("{limit}", "40")
+          + ") WHERE level IN ('high', 'medium') AND review IN ('proposed', 'review_required')")
+def candidates_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence and review-status filters over a longer list."""
+    rows = cand.filter_candidates(
+        evidenced_candidates(spark, sf_dir, 40), min_confidence="medium", include_review_required=False
+    )
+    return _evidenced_rows(cand.by_review_status(rows, ["proposed", "review_required"]))
+
+
 # --- Vocabulary and reference data -----------------------------------------------
 
 
