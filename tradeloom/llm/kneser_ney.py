@@ -61,7 +61,7 @@ class Words(dict):
 
 def token_arrays(texts: list[str | None], order: int, known: Words) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Context hashes by length (1 to ``order - 1``), token hashes, and tokens per text."""
-    if len(known) > 400_000:
+    if len(known) > 150_000:
         known.clear()
     start, parts, sizes = [START] * (order - 1), [], []
     for text in texts:
@@ -94,7 +94,7 @@ def count_tokens(order: int, shards: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for batch in chunks(batches, 50_000, 24_000_000, "text"):
+        for batch in chunks(batches, 50_000, 6_000_000, "text"):
             contexts, word, _ = token_arrays(batch.column("text").to_pylist(), order, known)
             _, at, n = np.unique(mix(contexts[-1], word), return_index=True, return_counts=True)
             shard = shard_of(contexts[-1][at], contexts[0][at], word[at], hot, shards)
@@ -219,6 +219,7 @@ def write_level(order: int, level: int, shards: int, hot: np.ndarray, folder: st
             return
         table = pa.Table.from_batches(held)
         of = {name: table.column(name).to_numpy() for name in names if name in table.column_names}
+        del held, table
         old = of["kind"] == SUMMARY
         if old.any():
             yield rows(int(old.sum()), **{name: value[old] for name, value in of.items()})
@@ -230,7 +231,8 @@ def write_level(order: int, level: int, shards: int, hot: np.ndarray, folder: st
         gram = of["kind"] == NGRAM
         if not gram.any():
             return
-        of = {name: value[gram] for name, value in of.items()}
+        if not gram.all():
+            of = {name: value[gram] for name, value in of.items()}
         word, a = of["w"], of["a"]
         context = of[f"h{level - 1}"] if level > 1 else None
         key = word if level == 1 else mix(context, word)
@@ -368,7 +370,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for batch in chunks(batches, 50_000, 8_000_000, "text"):
+        for batch in chunks(batches, 50_000, 4_000_000, "text"):
             yield batch_of(schema, [batch.column("doc_id"), *sent.value.score(batch.column("text").to_pylist(), known)])
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
