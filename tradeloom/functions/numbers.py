@@ -11,8 +11,8 @@ from tradeloom.functions.text import strip
 
 _DECIMAL = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?0*[0-9]{1,6})?\z"
 _INTEGER = r"\A(?:0|-?[1-9][0-9]*)\z"
-#: At most 15 significant digits and no small exponent: the digits are the float's own.
-_SHORT = r"\A-?(?:[1-9][0-9]*|0(?!\.0000))\.[0-9]*[1-9]\z"
+#: In at most 16 signs, and not small enough for an exponent: the digits are the float's own.
+_SHORT = r"\A(?:0|-?(?:[1-9][0-9]*(?:\.[0-9]*[1-9])?|0\.(?!0000)[0-9]*[1-9]))\z"
 
 
 def to_decimal(e: str) -> str:
@@ -71,8 +71,13 @@ def _long_form(t: str) -> str:
 
 def number_text(decimal: str) -> str:
     """Integral values as integers of any length, all others in shortest float form."""
-    return let(
+    bare = let(
         f"CAST({decimal} AS string)",
-        lambda t: f"CASE WHEN {matches(t, _INTEGER)} OR (length({t}) <= 16 AND {matches(t, _SHORT)}) THEN {t} "
-        f"WHEN {t} IS NOT NULL THEN {_long_form(t)} END",
+        # Closing zeros of a plain fraction, as fixed-point decimals have them.
+        lambda t: f"IF(contains({t}, '.') AND NOT contains(lower({t}), 'e'), rtrim('.', rtrim('0', {t})), {t})",
+    )
+    return let(
+        bare,
+        lambda t: f"CASE WHEN length({t}) <= 16 AND {matches(t, _SHORT)} THEN {t} "
+        f"WHEN {matches(t, _INTEGER)} THEN {t} WHEN {t} IS NOT NULL THEN {_long_form(t)} END",
     )

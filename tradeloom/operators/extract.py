@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tradeloom.functions import any_of, first_match, keep, q, record, some, transform
 from tradeloom.functions.jsontext import json_array, json_object, json_string
-from tradeloom.functions.numbers import number_text, to_decimal
-from tradeloom.functions.text import has_value
+from tradeloom.functions.numbers import number_text
+from tradeloom.functions.text import has_value, strip
 from tradeloom.functions.transforms import apply_chain
 from tradeloom.operators.nodesets import node, select_anywhere, select_from
 from tradeloom.sources.profile import ObjectRule, Profile, Rule, read_value_path
@@ -129,7 +129,7 @@ def _typed(h: str, rule: Rule) -> str:
     if rule.datatype == "language_string":
         return record(value=f"{h}.value", language=f"{h}.lang")
     if "to_decimal" in rule.transform:
-        return to_decimal(f"{h}.value")
+        return strip(f"replace({h}.value, '_', '')")  # the chain has checked it
     return f"{h}.value"
 
 
