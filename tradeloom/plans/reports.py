@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradeloom.fixed import (
-    CANDIDATE_VERSION, COVERAGE_STATUSES, DESCRIPTIONS, SCHEMA_CONTEXT_JSON, TOPIC_SUMMARY_ORDER,
+    CANDIDATE_VERSION, COVERAGE_STATUSES, DESCRIPTIONS, PASSPORT_ID_PREFIX, SCHEMA_CONTEXT_JSON, TOPIC_SUMMARY_ORDER,
     VOCABULARY_CONTEXT,
 )
 from tradeloom.functions import q
@@ -264,7 +264,7 @@ def _constant(built: dict[str, str]) -> str:
 _SQL_ENVELOPE = (
     "'{" + _constant({"@context": VOCABULARY_CONTEXT, "@type": "Product"}).replace("'", "''") + ",'"
     " || CASE WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN '\"@id\":\"https://id.gs1.org/01/' || g || '\",' ELSE '' END"
-    " || '\"productPassportId\":\"urn:gdsn-gs1-jsonld:product-passport:' ||"
+    f" || '\"productPassportId\":\"{PASSPORT_ID_PREFIX}' ||"
     " CASE WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN g ELSE 'unidentified' END || '\",' || '"
     + _constant({
         "passportType": _OPTIONS.passport_type, "passportVersion": _OPTIONS.passport_version, "status": _OPTIONS.status,

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradeloom.fixed import AUTHORING_NOTICE, SCHEMA_CONTEXT_JSON, TOPIC_GROUPS, VOCABULARY_CONTEXT
+from tradeloom.fixed import AUTHORING_NOTICE, PASSPORT_ID_PREFIX, SCHEMA_CONTEXT_JSON, TOPIC_GROUPS, VOCABULARY_CONTEXT
 from tradeloom.functions import q
 from tradeloom.functions.checks import is_gtin, is_http_url
 from tradeloom.functions.dates import iso_date
@@ -1195,7 +1195,7 @@ def part_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @workload(f"""SELECT p_partkey, CASE WHEN broken THEN NULL WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN g END AS gtin,
     CASE WHEN NOT broken THEN p_name END AS name, CASE WHEN NOT broken THEN p_brand END AS brand,
-    CASE WHEN NOT broken THEN 'urn:gdsn-gs1-jsonld:product-passport:' ||
+    CASE WHEN NOT broken THEN '{PASSPORT_ID_PREFIX}' ||
       CASE WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN g ELSE 'unidentified' END END AS passport_id,
     CASE WHEN broken THEN 'schema_error' ELSE 'valid' END AS validation_status,
     CASE WHEN broken THEN 'Input is not valid JSON' ELSE '' END AS error
