@@ -12,7 +12,7 @@ from tradeloom.fixed import (
     VOCABULARY_CONTEXT,
 )
 from tradeloom.functions import q
-from tradeloom.operators import batch, catalog, explorer, passport, snapshots
+from tradeloom.operators import authoring, batch, catalog, explorer, passport, snapshots
 from tradeloom.plans import workloads as base
 from tradeloom.plans.convert import convert
 from tradeloom.plans.messages import element, escape, gtin14, join, message, spread
@@ -295,3 +295,42 @@ def passport_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passport.passport_summary(checked).groupBy(
         "status", F.col("structuralValidationStatus").alias("verdict")
     ).agg(F.count("*").alias("documents"), F.count("sourceGtin").alias("with_gtin"))
+
+
+# --- Revalidation and nested authoring -------------------------------------------
+
+
+@workload("""SELECT CAST(count(*) AS BIGINT) AS catalog_rows,
+    CAST(count(*) FILTER (own AND c_nationkey >= 12 AND c_nationkey % 5 <> 0) AS BIGINT) AS rows_with_missing_terms,
+    CAST(count(*) FILTER (own AND c_nationkey % 5 = 0) AS BIGINT) AS rows_with_available_linktypes, true AS valid
+    FROM (SELECT *, c_custkey % 8 <> 0 AS own FROM customer)""")
+def revalidation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    terms = nation.filter("n_nationkey < 12").selectExpr(
+        "concat('gs1:prop', n_nationkey) AS term_id", "n_name AS label", "'' AS range_text"
+    )
+    links = nation.filter("n_nationkey % 5 = 0").selectExpr(
+        "concat('prop', n_nationkey) AS name", "'stable' AS status"
+    )
+    return catalog.revalidation_summary(catalog.revalidate(base.customer_catalog(spark, sf_dir), terms, links))
+
+
+@workload(f"""SELECT user_id AS product_id, '{{"@context":["{VOCABULARY_CONTEXT}",{SCHEMA_CONTEXT_JSON}],"@type":"Product"'
+    || CASE WHEN count(*) FILTER (event_type IN ('click', 'purchase', 'view')) > 0 THEN ',"act":{{"@type":"gs1:Act",'
+      || string_agg(CASE event_type WHEN 'view' THEN '"view":[{{"@language":"nl","@value":"' || v || '"}}]'
+        WHEN 'click' THEN '"click":"' || v || '"' WHEN 'purchase' THEN '"purchase":' || v END, ','
+        ORDER BY CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END)
+        FILTER (event_type IN ('click', 'purchase', 'view')) || '}}' ELSE '' END || '}}' AS jsonld
+    FROM ({base._SQL_LAST}) GROUP BY user_id""")
+def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as parts of one nested object; a product without a known part has no object."""
+    values = base.event_values(spark, sf_dir).withColumn(
+        "property_id", F.expr("concat('gs1:act#', property_id)")
+    ).withColumn("unit_code", F.lit(""))
+    parts = [("gs1:view", "language_text"), ("gs1:click", "text"), ("gs1:purchase", "number")]
+    metadata = spark.createDataFrame(
+        [("gs1:act", ["gs1:Act"], "object", True, "gs1:Act", parts)],
+        "property_id string, range array<string>, override string, supported boolean, "
+        "object_type string, object_fields array<struct<property_id:string,input_type:string>>",
+    )
+    return authoring.author_jsonld(values, metadata)
