@@ -376,7 +376,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for batch in chunks(batches, 50_000, 4_000_000, "text"):
+        for batch in chunks(batches, 50_000, 2_000_000, "text"):
             yield batch_of(schema, [batch.column("doc_id"), *sent.value.score(batch.column("text").to_pylist(), known)])
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
