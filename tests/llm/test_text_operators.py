@@ -105,6 +105,28 @@ def test_split_and_smoothing():
     assert peak.argmax() == 2 and peak[1] > peak[0] > 0
 
 
+PARAGRAPH = "A sentence of the text that has no mark-up in it. " * 6
+LINKS = "".join(f"<li><a href=/{k}>Topic {k}</a></li>" for k in range(9))
+CARDS = "".join(f"<article><h2><a href=/{k}>Story {k}</a></h2><p>In a few words</p><a href=/{k}>More</a></article>" for k in range(4))
+
+
+def test_clusters_decide_beside_and_inside_articles():
+    texts = "\n".join([PARAGRAPH.strip()] * 3)
+    paragraphs = f"<p>{PARAGRAPH}</p>" * 3
+    page = html_regions.main_text
+    assert page(f"<div>{paragraphs}</div><div>{CARDS}</div>") == texts
+    assert page(f"<main><article>{paragraphs}</article><ul>{LINKS}</ul></main>") == texts
+    assert page(f"<main>{paragraphs}<ul>{LINKS}</ul></main>") == texts
+    assert page(f"<main><div>{paragraphs}</div><div>{LINKS}</div></main>") == texts
+    short = "One short paragraph of some fifty characters here."
+    sections = f"<section><h2>First</h2>{paragraphs}</section><section><h2>Then</h2><p>{short}</p><p>{short}</p><ul><li>a</li><li>b</li></ul></section>"
+    want = f"First\n{texts}\nThen\n{short}\n{short}\na\nb"
+    for around in ("article", "main", "div"):
+        assert page(f"<{around}>{sections}</{around}><div><ul>{LINKS}</ul></div>") == want
+    assert page(f"<article>{paragraphs}</article><section>{paragraphs}</section>") == f"{texts}\n{texts}"
+    assert page("<article><p>One line.</p></article><div><p>Another line.</p></div>") == "One line.\nAnother line."
+
+
 # --- Tiling ----------------------------------------------------------------------
 
 

@@ -3,15 +3,17 @@
 A page is streamed through the standard library's parser. Its events make lines: one per
 block of text, with the tags met since the line before. Elements that are never article
 text (navigation, forms, scripts, adverts, comments ...) yield no line. The ratio of text
-to tags per line is smoothed by a Gaussian, within a region, and split at the threshold that separates two
-clusters best. A region, the lines of one sectioning element, is content when most of its
-text lies above the threshold; if the page marks an article or main part, only regions
-inside it are candidates. All lines of a content region are kept, short ones too.
+to tags per line is smoothed by a Gaussian, within a region, and its logarithms are split at
+the threshold that separates two clusters best. A region, the lines of one sectioning element
+or of a list of links, is content when enough of its text lies above the threshold: half,
+or a quarter inside an article or main part. All lines of a content region are kept, short
+ones too. Where the clusters are not clearly apart, all regions are.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -35,6 +37,14 @@ BLOCK = frozenset(
 )
 SECTION = frozenset("article main section div body table".split())
 ARTICLE = frozenset("article main".split())
+#: Regions of their own if most of their text is in links.
+LISTS = frozenset("ul ol".split())
+#: Share of a region's text that has to be dense: elsewhere, and inside an article or main part.
+ENOUGH, ENOUGH_IN_ARTICLE = 0.5, 0.25
+#: Clusters are clearly apart from this quotient of their (geometric) mean ratios on.
+APART = 4.0
+#: Text of so many characters a tag is dense, whatever the threshold, in a region with at most this share of links.
+SURE, FEW_LINKS = 20.0, 0.2
 #: Words of class, id and role that mark what is no article text.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation "
@@ -65,13 +75,15 @@ def marks(tag: str, attrs: list) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, tags since the last line, region number, inside an article?"""
+    """Collects lines: text, tags since the last line, characters in links, region number, inside an article?"""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, bool]] = []
         self.open: list[tuple[str, bool, int, bool]] = []  # tag, skipped, region, in article
-        self.regions = self.tags = 0
+        self.regions = self.tags = self.linked = 0
+        self.in_link = False
+        self.around: dict[int, int] = {}  # region of a list -> region around it
         self.parts: list[str] = []
         self.where = (False, 0, False)
 
@@ -79,8 +91,9 @@ class Lines(HTMLParser):
         text = _SPACES.sub(" ", "".join(self.parts)).strip()
         self.parts = []
         if text:
-            self.lines.append((text, self.tags, *self.where[1:]))
+            self.lines.append((text, self.tags, self.linked, *self.where[1:]))
             self.tags = 0
+        self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         skipped, region, article = self.where
@@ -89,13 +102,17 @@ class Lines(HTMLParser):
             self.end_line()
         elif tag == "br":
             self.parts.append(" ")
+        elif tag == "a":
+            self.in_link = True
         if tag in VOID:
             return
         marked = tag not in ("html", "body") and (tag in SKIPPED or marks(tag, attrs))
-        if tag in SECTION or marked:
+        if tag in SECTION or tag in LISTS or marked:
             self.open.append((tag, *self.where))
-            if tag in SECTION and not (skipped or marked):
+            if not (skipped or marked):
                 self.regions += 1
+                if tag in LISTS:
+                    self.around[self.regions] = region
                 region = self.regions
             self.where = (skipped or marked, region, article or (tag in ARTICLE and not marked))
 
@@ -108,6 +125,8 @@ class Lines(HTMLParser):
         self.tags += not self.where[0]
         if tag in BLOCK or tag in SKIPPED:
             self.end_line()
+        elif tag == "a":
+            self.in_link = False
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 self.where = self.open[at][1:]
@@ -117,6 +136,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.where[0]:
             self.parts.append(data)
+            if self.in_link:
+                self.linked += len(data.strip())
 
 
 def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -138,6 +159,43 @@ def split_point(values: np.ndarray) -> float:
     return float(order[int(between.argmax()) + 1]) if n > 1 and between.max() > 0 else float(order[0])
 
 
+def region_of_lines(lines: list[tuple], around: dict[int, int]) -> np.ndarray:
+    """Region of each line; a list belongs to the region around it unless most of its text is in links."""
+    text, linked = Counter(), Counter()
+    for line, _, in_links, region, _ in lines:
+        text[region] += len(line)
+        linked[region] += in_links
+    final: dict[int, int] = {}
+    for region in sorted(text.keys() | around.keys()):  # outer before inner
+        own = region not in around or 2 * linked[region] > text[region]
+        final[region] = region if own else final.get(around[region], around[region])
+    return np.array([final[line[3]] for line in lines])
+
+
+def content_regions(lines: list[tuple], of: np.ndarray, sigma: float) -> set[int]:
+    """Regions with enough dense text; all of them if dense and sparse lines are not clearly apart."""
+    length = np.array([len(text) for text, *_ in lines], float)
+    raw = np.split(length / np.maximum(1, [tags for _, tags, *_ in lines]), np.flatnonzero(np.diff(of)) + 1)
+    ratio = np.log1p(np.concatenate([smooth(run, sigma) for run in raw]))
+    threshold = split_point(ratio)
+    dense = ratio >= threshold
+    regions = set(of.tolist())
+    if dense.all() or ratio[dense].mean() - ratio[~dense].mean() < np.log(APART):
+        return regions
+    linked = np.array([in_links for _, _, in_links, *_ in lines], float)
+    article = np.array([inside for *_, inside in lines])
+    kept = set()
+    for region in regions:
+        here = of == region
+        total = length[here].sum()
+        sure = linked[here].sum() <= FEW_LINKS * total
+        least = min(threshold, np.log1p(SURE)) if sure else threshold
+        enough = ENOUGH_IN_ARTICLE if article[here].any() else ENOUGH
+        if length[here & (ratio >= least)].sum() > enough * total:
+            kept.add(region)
+    return kept or regions
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """Kept lines in page order, joined by one line feed; empty if there is none."""
     if not html:
@@ -147,18 +205,11 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser.close()
     parser.end_line()
     lines = parser.lines
-    if any(article for *_, article in lines):
-        lines = [line for line in lines if line[3]]
-    regions = {region for _, _, region, _ in lines}
-    if len(regions) > 1 and not any(article for *_, article in lines):
-        length = np.array([len(text) for text, *_ in lines], float)
-        of = np.array([region for _, _, region, _ in lines])
-        raw = np.split(length / np.maximum(1, [tags for _, tags, *_ in lines]), np.flatnonzero(np.diff(of)) + 1)
-        ratio = np.concatenate([smooth(run, sigma) for run in raw])
-        dense = ratio >= split_point(ratio)
-        kept = {r for r in regions if 2 * length[(of == r) & dense].sum() > length[of == r].sum()}
-        lines = [line for line in lines if line[2] in kept]
-    return "\n".join(text for text, *_ in lines)
+    if not lines:
+        return ""
+    of = region_of_lines(lines, parser.around)
+    kept = content_regions(lines, of, sigma)
+    return "\n".join(line[0] for line, region in zip(lines, of.tolist(), strict=True) if region in kept)
 
 
 def extract(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
