@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tradeloom.llm import kneser_ney as kn
+from tradeloom.llm.queries import QUERIES
 
 END = b"\0end"
 
@@ -83,6 +84,16 @@ def test_scores_equal_plain_version(spark, order):
     assert {r.train_tokens for r in got} == {sum(plain.raw.values())}
 
 
+def test_query_has_middle_levels(spark, tmp_path):
+    rows = [(k, text) for k, text, _ in corpus() if k is not None]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op4_lm_scoring"](spark, str(tmp_path)).collect()
+    held = {r.doc_id for r in got if r.held_out}
+    plain = Plain([text for k, text in rows if k not in held], 3)
+    want = sorted((k, plain.score(text)[-1]) for k, text in rows)
+    assert [x for _, x in sorted((r.doc_id, r.score) for r in got)] == pytest.approx([x for _, x in want], rel=1e-9)
+
+
 def test_probabilities_sum_to_one():
     plain = Plain([text for _, text, _ in corpus()], 2)
     for context in [(b"w0",), (b"w3",), (b"unseen",)]:

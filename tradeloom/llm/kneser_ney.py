@@ -104,7 +104,7 @@ def count_tokens(order: int, shards: int, hot: np.ndarray):
             contexts, word, _ = token_arrays(batch.column("text").to_pylist(), order, known)
             _, at, n = np.unique(mix(contexts[-1], word), return_index=True, return_counts=True)
             shard = shard_of(contexts[-1][at], contexts[0][at], word[at], hot, shards)
-            by = by_shard(shard, contexts[-1][at])  # equal contexts in a row shuffle in fewer bytes
+            by = by_shard(shard, contexts[0][at])  # equal last words in a row shuffle in fewer bytes
             yield batch_of(schema, [shard[by], *(c[at][by] for c in contexts), word[at][by], n[by]])
 
     return run, schema

@@ -30,7 +30,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.perplexities(table(spark, sf_dir, "documents"))
+    return kneser_ney.perplexities(table(spark, sf_dir, "documents"), order=3)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
