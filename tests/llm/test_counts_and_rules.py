@@ -93,6 +93,23 @@ def test_rules_reject_what_labels_show(spark):
     assert quality_rules.quality_rules(docs.limit(0), labels).count() == 0
 
 
+def test_pooled_cutoff_spares_a_stratum_whose_labels_speak_against_it(spark):
+    """Capitals mark bad documents of "aa", all documents of "bb" have them; "cc" has too few labels."""
+    chance = random.Random(6)
+    names = [f"w{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"]
+    rows, labels = [], []
+    for k in range(2750):
+        lang = "aa" if k < 2600 else "bb" if k < 2730 else "cc"
+        good = k % 5 > 0
+        words = chance.sample(names, 60)
+        capital = lang == "bb" or not good
+        rows.append((k, " ".join(words).upper() if capital else " ".join(words), lang))
+        labels.append((k, int(good)))
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"),
+                                      spark.createDataFrame(labels, "doc_id long, quality int"), limit=0.5).collect()
+    assert all(r.kept == (2600 <= r.doc_id < 2730 or r.doc_id % 5 > 0) for r in got)
+
+
 def test_trees_learn_and_hold_out(spark):
     docs, labels, n = marked_corpus(spark)
     got = quality_boost.quality_scores(docs, labels).collect()

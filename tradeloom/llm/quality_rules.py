@@ -7,8 +7,9 @@ are rejected. Testing goes from the loosest cutoff to stricter ones and stops at
 first that fails (fixed sequence), with the error shared over strata and rules
 (Bonferroni), so all chosen cutoffs hold together with probability ``1 - error``.
 Of the valid cutoffs the loosest one that keeps nearly all of their effect is taken.
-A stratum with too few labels for a rule takes the cutoff of all documents together,
-whose guarantee is for them together.
+A stratum with too few labels for any bound takes the cutoff of all documents together,
+whose guarantee is for them together. A stratum with labels enough whose safe cutoffs
+reject no bad document takes that cutoff only if it is among the safe ones, else no rule.
 """
 
 from __future__ import annotations
@@ -47,24 +48,35 @@ def most_rejections(n: int, p: float, error: float) -> int:
     return k
 
 
+def rejections(levels: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, int]:
+    """Good and bad documents that each cutoff (0..101) rejects, and how many are good."""
+    by_level = np.zeros((2, TOP + 2))
+    np.add.at(by_level[0], levels, good)
+    np.add.at(by_level[1], levels, bad)
+    above = by_level[:, ::-1].cumsum(axis=1)[:, ::-1]  # at cutoff c: levels above c
+    return np.hstack([above[:, 1:], np.zeros((2, 1))]), int(by_level[0].sum())
+
+
+def strictest_safe(levels: np.ndarray, good: np.ndarray, bad: np.ndarray, limit: float, error: float) -> int | None:
+    """Strictest cutoff shown to be safe (101 rejects nothing), or None with too few labels for any bound."""
+    rejected, n = rejections(levels, good, bad)
+    allowed = most_rejections(n, limit, error)
+    return None if allowed < 0 else int(np.argmax(rejected[0] <= allowed))
+
+
 def choose_cutoff(levels: np.ndarray, good: np.ndarray, bad: np.ndarray, limit: float, error: float, effect: float) -> int | None:
-    """Cutoff for one rule and stratum, or None if no cutoff is shown to be safe.
+    """Cutoff for one rule and stratum, or None if no cutoff is shown to be safe and to reject a bad document.
 
     ``levels`` are the lowest cutoffs that spare a group of documents, ``good`` and
     ``bad`` how many of them are labelled so.
     """
-    by_level = np.zeros((2, TOP + 2))
-    np.add.at(by_level[0], levels, good)
-    np.add.at(by_level[1], levels, bad)
-    rejected = by_level[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]  # at cutoff c: levels above c
-    allowed = most_rejections(int(by_level[0].sum()), limit, error)
-    valid = rejected[0] <= allowed
-    if not valid.any():
+    strictest = strictest_safe(levels, good, bad, limit, error)
+    if strictest is None:
         return None
-    strictest = int(np.argmax(valid))
-    if not rejected[1, strictest]:
+    rejected = rejections(levels, good, bad)[0][1]
+    if not rejected[strictest]:
         return None
-    return int(np.flatnonzero(rejected[1] >= effect * rejected[1, strictest])[-1])
+    return int(np.flatnonzero(rejected >= effect * rejected[strictest])[-1])
 
 
 def level(part: str, whole: str):
@@ -74,7 +86,10 @@ def level(part: str, whole: str):
 
 
 def calibrate(counts: DataFrame, labels: DataFrame, limit: float, error: float, effect: float) -> DataFrame:
-    """Cutoffs: ``stratum`` (null: all together) and one nullable int column per rule."""
+    """Cutoffs: ``stratum`` (null: all together) and two nullable int columns per rule.
+
+    ``<rule>_cutoff`` is the stratum's own, ``<rule>_safe`` the strictest its bound shows safe.
+    """
     marked = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
@@ -95,16 +110,14 @@ def calibrate(counts: DataFrame, labels: DataFrame, limit: float, error: float,
     ship_package(counts.sparkSession)
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        cutoff = choose_cutoff(
-            rows["level"].to_numpy(), rows["good"].to_numpy(), rows["bad"].to_numpy(),
-            limit / len(RULES), error / tests, effect,
-        )
+        found = (rows["level"].to_numpy(), rows["good"].to_numpy(), rows["bad"].to_numpy(), limit / len(RULES), error / tests)
         return pd.DataFrame({"stratum": [rows["stratum"].iloc[0]], "rule": [rows["rule"].iloc[0]],
-                             "cutoff": pd.array([cutoff], dtype="Int32")})
+                             "cutoff": pd.array([choose_cutoff(*found, effect)], dtype="Int32"),
+                             "safe": pd.array([strictest_safe(*found)], dtype="Int32")})
 
     return (
-        histogram.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff int")
-        .groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
+        histogram.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff int, safe int")
+        .groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff").alias("cutoff"), F.first("safe").alias("safe"))
     )
 
 
@@ -138,7 +151,11 @@ def quality_rules(
     own = cutoffs.where("stratum IS NOT NULL")
     if own.limit(small + 1).count() <= small:
         own = F.broadcast(own)
-    cutoff = {rule: F.coalesce(rule, F.lit(shared[rule] if shared else None).cast("int")) for rule in RULES}
+    cutoff = {}
+    for rule in RULES:
+        every = F.lit(shared[f"{rule}_cutoff"] if shared else None).cast("int")
+        safe = F.col(f"{rule}_safe")
+        cutoff[rule] = F.coalesce(f"{rule}_cutoff", F.when(safe.isNull() | (every >= safe), every))
     hits = F.array_join(F.array(*(
         F.when((F.col(whole) > 0) & (100 * F.col(part) > cutoff[rule] * F.col(whole)), F.lit(rule))
         for rule, (part, whole) in RULES.items()
