@@ -127,6 +127,18 @@ def test_clusters_decide_beside_and_inside_articles():
     assert page("<article><p>One line.</p></article><div><p>Another line.</p></div>") == "One line.\nAnother line."
 
 
+def test_layout_wrappers_are_read():
+    page = html_regions.main_text
+    body = f"<p>{PARAGRAPH}</p>"
+    for attrs in ('class="layout has-sidebar"', 'id="page-header-fixed"', 'class="content no-comments"', 'class="social-post-body"',
+                  'class="widget"', 'class="site-header"', 'id="banner-area"'):
+        aside = '<div class="sidebar-left">left</div><div class="top ad">buy</div><div id=comments-list><p>said</p></div>'
+        assert page(f"<div {attrs}>{body}{aside}</div>") == PARAGRAPH.strip()
+        assert page(f"<div {attrs}><article><p>in it</p></article></div><div class=ad>{body}{body}</div>") == "in it"
+    assert page(f'<div class="comments"><article class="comment">{body}{body}</article></div><article>{body}</article>') == PARAGRAPH.strip()
+    assert page(f'{body}<p class="share">Share this</p><span class="widget">so</span><p>end</p>') == f"{PARAGRAPH.strip()}\nend"
+
+
 # --- Tiling ----------------------------------------------------------------------
 
 

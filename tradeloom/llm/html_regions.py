@@ -45,7 +45,7 @@ ENOUGH, ENOUGH_IN_ARTICLE = 0.5, 0.25
 APART = 4.0
 #: Text of so many characters a tag is dense, whatever the threshold, in a region with at most this share of links.
 SURE, FEW_LINKS = 20.0, 0.2
-#: Words of class, id and role that mark what is no article text.
+#: Whole names in class, id and role that mark what is no article text; also with these words before or after.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation "
     "menu breadcrumb breadcrumbs sidebar header footer masthead comment comments disqus reply replies respond "
@@ -53,45 +53,61 @@ MARKS = frozenset(
     "sharing social related recommended widget toolbar pagination pager search alert complementary contentinfo".split()
 )
 _SPACES = re.compile(r"\s+")
-_WORDS = re.compile(r"[a-z]+")
+_BEFORE = "bottom global left main right site top".split()
+_AFTER = "area bar block bottom box container left links list right section slot top wrapper".split()
+_MARKED = re.compile(rf"(?:(?:{'|'.join(_BEFORE)})[-_])?({'|'.join(sorted(MARKS))})(?:[-_](?:{'|'.join(_AFTER)}|[0-9]+))?")
+#: Marked so, an element without an article inside is no article text even if it is most of the page's.
+NEVER = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
+    "comment comments disqus reply replies respond cookie cookies consent gdpr".split()
+)
 #: A tag that the end of the page cuts off.
 _CUT_OFF = re.compile(r"<[A-Za-z/!][^<>]*\Z")
 
 
-def marks(tag: str, attrs: list) -> bool:
-    """Whether attributes say the element is no article text.
+def marks(tag: str, attrs: list) -> str:
+    """The mark by which class, id or role say the element is no article text, or an empty one.
 
-    An article or main part is judged by whole class names ("comment", not
-    "comments-open"), any other element by the words in them.
+    Whole names count ("comments", "comments-list"; not "no-comments" or "has-sidebar");
+    of an article or main part those without words around.
     """
+    found = ""
     for name, value in attrs:
-        if name == "hidden":
-            return True
         if name in ("class", "id", "role"):
-            value = (value or "").lower()
-            if not MARKS.isdisjoint(value.split() if tag in ARTICLE else _WORDS.findall(value)):
-                return True
-    return False
+            for token in (value or "").lower().split():
+                match = _MARKED.fullmatch(token)
+                if match and (tag not in ARTICLE or match[1] == token) and found not in NEVER:
+                    found = match[1]
+    return found
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, tags since the last line, characters in links, region number, inside an article?"""
+    """Collects lines: text, tags since the last line, characters in links, region number, inside an article?
+
+    ``of_line`` has the marked elements around each line; ``judged`` says which of them
+    are no article text after all lines are known.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.open: list[tuple[str, bool, int, bool]] = []  # tag, skipped, region, in article
+        self.of_line: list[tuple[int, ...]] = []
+        self.marks: list[str] = []  # of marked elements, by number
+        self.holders: set[int] = set()  # marked elements with an article or main part inside
+        self.around_here: tuple[int, ...] = ()
+        self.open: list[tuple[str, int, tuple[int, ...], bool, int, bool]] = []  # tag, tags, marked around, then as where
         self.regions = self.tags = self.linked = 0
         self.in_link = False
         self.around: dict[int, int] = {}  # region of a list -> region around it
         self.parts: list[str] = []
-        self.where = (False, 0, False)
+        self.where = (False, 0, False)  # skipped, region, in article
 
     def end_line(self) -> None:
         text = _SPACES.sub(" ", "".join(self.parts)).strip()
         self.parts = []
         if text:
             self.lines.append((text, self.tags, self.linked, *self.where[1:]))
+            self.of_line.append(self.around_here)
             self.tags = 0
         self.linked = 0
 
@@ -106,15 +122,22 @@ class Lines(HTMLParser):
             self.in_link = True
         if tag in VOID:
             return
-        marked = tag not in ("html", "body") and (tag in SKIPPED or marks(tag, attrs))
-        if tag in SECTION or tag in LISTS or marked:
-            self.open.append((tag, *self.where))
-            if not (skipped or marked):
+        hidden = tag in SKIPPED or tag not in ("html", "body") and any(name == "hidden" for name, _ in attrs)
+        mark = "" if skipped or hidden or tag in ("html", "body") else marks(tag, attrs)
+        if tag in SECTION or tag in LISTS or hidden or mark:
+            self.open.append((tag, self.tags, self.around_here, *self.where))
+            if tag in ARTICLE and not (skipped or hidden or mark):
+                self.holders.update(self.around_here)
+            if mark:
+                self.end_line()
+                self.around_here += (len(self.marks),)
+                self.marks.append(mark)
+            if not (skipped or hidden):
                 self.regions += 1
                 if tag in LISTS:
                     self.around[self.regions] = region
                 region = self.regions
-            self.where = (skipped or marked, region, article or (tag in ARTICLE and not marked))
+            self.where = (skipped or hidden, region, article or (tag in ARTICLE and not (hidden or mark)))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -129,7 +152,11 @@ class Lines(HTMLParser):
             self.in_link = False
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                self.where = self.open[at][1:]
+                _, tags, around, *where = self.open[at]
+                if around != self.around_here:
+                    self.end_line()
+                    self.tags = tags
+                self.around_here, self.where = around, tuple(where)
                 del self.open[at:]
                 break
 
@@ -139,6 +166,16 @@ class Lines(HTMLParser):
             if self.in_link:
                 self.linked += len(data.strip())
 
+    def judged(self) -> list[tuple]:
+        """Lines without those in marked elements, unless these hold an article, a main part or most of the text."""
+        inside = Counter()
+        for (text, *_), around in zip(self.lines, self.of_line, strict=True):
+            inside.update(dict.fromkeys(around, len(text)))
+        total = sum(len(text) for text, *_ in self.lines)
+        out = {k for k, mark in enumerate(self.marks)
+               if k not in self.holders and (mark in NEVER or 2 * inside[k] <= total)}
+        return [line for line, around in zip(self.lines, self.of_line, strict=True) if out.isdisjoint(around)]
+
 
 def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing; the kernel is normalised at the borders."""
@@ -204,7 +241,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser.feed(_CUT_OFF.sub("", html))
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = parser.judged()
     if not lines:
         return ""
     of = region_of_lines(lines, parser.around)
