@@ -250,6 +250,20 @@ def test_added_kinds_and_context(spark):
     assert scores == pytest.approx({"card": 1.1, "phone": 1.0})
 
 
+def test_added_kinds_at_boundaries(spark):
+    want = {
+        "Call me at 555-123-4567.": "local_phone:11:23", "tel 555-123-4567- or so": "local_phone:4:16", "tel 555-123-4567.\n5": "local_phone:4:16",
+        "call 555-123-4567.5": "", "call 555-123-4567-8": "", "call 555-123-45678": "", "call 1-555-123-4567": "", "ssn 123-45-6789-": "ssn:4:15",
+        "IBAN ES91 2100 0418 4502 0005 1332 El titular": "iban:5:34", "IBAN ES91 2100 0418 4502 0005 1332 TITULAR": "iban:5:34",
+        "ES9121000418450200051332 GB82 WEST 1234 5698 7654 32 UND": "iban:0:24,iban:25:52", "ES9121000418450200051332X": "",
+        "NO93 8601 1117 947 KONTO": "iban:0:18", "BE68 5390 0754 7034 and": "iban:0:19",
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    assert {list(want)[r.doc_id]: r.spans for r in pii.pii_digest(docs).collect()} == want
+    clean = pii.redact(docs.where("doc_id IN (0, 8)")).orderBy("doc_id").collect()
+    assert [r.text for r in clean] == ["Call me at [LOCAL_PHONE].", "IBAN [IBAN] El titular"]
+
+
 def test_spans_equal_sql_twin(spark):
     docs = [(k, text) for k, text in enumerate(CASES) if len(text or "") < 1000]
     mine = {tuple(r) for r in pii.pii_digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()}

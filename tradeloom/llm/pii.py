@@ -21,7 +21,8 @@ SCORED = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 @dataclass(frozen=True)
 class Kind:
     """``needs``: expression that any text with a match satisfies. ``alone``: what must not
-    stand before or after. ``base``: reported at any score.
+    stand before or after; ``after``: what must not follow, if not the same.
+    ``base``: reported at any score.
     """
 
     name: str
@@ -31,9 +32,31 @@ class Kind:
     checked: float = 0.0
     context: str = ""
     alone: str = ""
+    after: str = ""
     base: bool = False
 
 
+#: Signs of an account number -> countries (IBAN registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """Account numbers as long as their country's; of other codes, the longest run."""
+    group, known = r"(?:\x20?[A-Z0-9]{4})", "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    parts = []
+    for length, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(length - 4, 4)
+        tail = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+        parts.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}{group}{{{groups}}}{tail}")
+    parts.append(rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}{group}{{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?")
+    return "|".join(parts)
+
+
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: In reporting order. The first four are the base kinds.
 KINDS = (
@@ -45,12 +68,13 @@ KINDS = (
          context="card|visa|credit|debit|payment", base=True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.5, 0.2,
          context="phone|tel|call|mobile|fax", base=True),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", r"[A-Z]{2}[0-9]{2}", 0.2, 0.5,
+    Kind("iban", iban_pattern(), r"[A-Z]{2}[0-9]{2}", 0.2, 0.5,
          context="iban|account|bank|konto|compte|cuenta", alone="[A-Za-z0-9]"),
     Kind("local_phone", r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}", r"[0-9]{3}[.-][0-9]{4}", 0.4,
-         context="phone|tel|call|mobile|fax|telefon|telefono|téléphone", alone="[0-9+.-]"),
+         context="phone|tel|call|mobile|fax|telefon|telefono|téléphone", alone="[0-9+.-]",
+         after="[0-9+]|[.-][0-9]"),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.4,
-         context="ssn|social security", alone="[0-9-]"),
+         context="ssn|social security", alone="[0-9-]", after="-?[0-9]"),
 )
 
 
@@ -122,8 +146,9 @@ def scored(text: Column, rank: int, kind: Kind, spans: Column, reach: int) -> Co
         if not kind.alone:
             return confirmed(kind, x["found"])
         before = F.when(x["start"] > 0, F.substr(text, x["start"], F.lit(1))).otherwise("")
-        around = F.concat(before, F.lit("\n"), F.substr(text, x["end"] + 1, F.lit(1)))
-        return confirmed(kind, x["found"]) & ~F.rlike(around, F.lit(kind.alone))
+        behind = F.substr(text, x["end"] + 1, F.lit(2))
+        touched = F.rlike(before, F.lit(kind.alone)) | F.rlike(behind, F.lit(f"^(?:{kind.after or kind.alone})"))
+        return confirmed(kind, x["found"]) & ~touched
 
     return F.transform(F.filter(spans, fits), lambda x: F.struct(
         x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"),
