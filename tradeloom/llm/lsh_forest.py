@@ -1,8 +1,8 @@
-"""Near-duplicate join of documents with a MinHash LSH forest.
+"""Near-duplicate join of documents with MinHash bands of one depth, in place of an LSH forest.
 
 A document is the set of its five-word shingles. Documents with equal sets are one text.
-Each text has a label per tree, a run of MinHash values; texts whose labels share a
-prefix meet in a node of that tree. The prefix is shortened until a pair at the
+Each text has a label per tree, a run of MinHash values; texts with equal labels meet in
+a node of that tree. All labels have one length, the longest at which a pair at the
 threshold meets in some tree with the target probability (closer pairs meet more surely).
 
 Texts that meet are compared by small sketches first, which joins those that may be
