@@ -98,4 +98,22 @@ SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTE
 FROM texts LEFT JOIN spelled USING (doc_id) GROUP BY doc_id
 """
 
-ORACLES = {"op2_quality_rules": QUALITY_RULES, "op10_pii": PII}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SEARCH = rf"""
+WITH asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+counted AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS found FROM documents),
+held AS (SELECT d, doc_id, found, len(found) AS n FROM counted WHERE len(found) > 0),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM held),
+tfs AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(found) AS term FROM held) GROUP BY d, term),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), whole),
+scored AS (SELECT item_id, h.doc_id, d,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN held h USING (d), whole GROUP BY item_id, h.doc_id, d),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+    FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+ORACLES = {"op2_quality_rules": QUALITY_RULES, "op10_pii": PII, "op11_lexical_search": LEXICAL_SEARCH}
