@@ -116,4 +116,59 @@ ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY scor
 SELECT * FROM ranked WHERE rank <= 50
 """
 
-ORACLES = {"op2_quality_rules": QUALITY_RULES, "op10_pii": PII, "op11_lexical_search": LEXICAL_SEARCH}
+_MERKLE_LEVELS = 6
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _merkle_levels(name: str) -> str:
+    """Levels ``name``0.. of trees, and for each node what stands before and after it in its run."""
+    parts = []
+    for k in range(_MERKLE_LEVELS):
+        parts.append(f"""{name}{k + 1} AS (SELECT tree, pos // 16 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h, (n + 15) // 16 AS n
+    FROM {name}{k} WHERE n > 1 GROUP BY tree, pos // 16, n)""")
+        parts.append(f"""{name}_by{k} AS (SELECT x.tree, x.pos, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS before,
+        coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS after
+    FROM {name}{k} x JOIN {name}{k} y ON x.tree = y.tree AND x.pos // 16 = y.pos // 16 WHERE x.n > 1 GROUP BY x.tree, x.pos)""")
+    tops = " UNION ALL ".join(f"SELECT tree, h FROM {name}{k} WHERE n = 1" for k in range(_MERKLE_LEVELS + 1))
+    return ",\n".join([*parts, f"{name}_roots AS ({tops})"])
+
+
+def _merkle_fold(name: str, levels: str) -> str:
+    return ",\n".join(
+        f"""{name}{k + 1} AS (SELECT p.* REPLACE (p.pos // 16 AS pos, coalesce(sha256(before || f || after), f) AS f,
+        proof || coalesce(before || after, '') AS proof) FROM {name}{k} p LEFT JOIN {levels}_by{k} s ON s.tree = p.tree AND s.pos = p.pos)"""
+        for k in range(_MERKLE_LEVELS)
+    )
+
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+MERKLE_MANIFEST = f"""
+WITH leaves AS (SELECT doc_id, tree, leaf, tampered, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+        count(*) OVER (PARTITION BY tree) AS n
+    FROM (SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf("text")} AS leaf,
+        CASE WHEN {_CRC32} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered
+        FROM documents)),
+a0 AS (SELECT tree, pos, leaf AS h, n FROM leaves),
+{_merkle_levels("a")},
+b0 AS (SELECT '' AS tree, tree AS source_key, row_number() OVER (ORDER BY tree) - 1 AS pos, h, count(*) OVER () AS n FROM a_roots),
+{_merkle_levels("b")},
+p0 AS (SELECT doc_id, tree, pos, leaf, coalesce(tampered, leaf) AS f, '' AS proof FROM leaves),
+{_merkle_fold("p", "a")},
+q0 AS (SELECT p.* REPLACE ('' AS tree, b.pos AS pos), b.h AS subroot FROM p{_MERKLE_LEVELS} p JOIN b0 b ON b.source_key = p.tree),
+{_merkle_fold("q", "b")}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified FROM q{_MERKLE_LEVELS}, b_roots
+"""
+
+ORACLES = {
+    "op2_quality_rules": QUALITY_RULES, "op10_pii": PII, "op11_lexical_search": LEXICAL_SEARCH,
+    "op12_merkle_manifest": MERKLE_MANIFEST,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import bag_search, html_regions, kneser_ney, language_id, lsh_forest, packing, pii, tiling
+from tradeloom.llm import bag_search, html_regions, kneser_ney, language_id, lsh_forest, merkle, packing, pii, pivotal_mix, tiling
 from tradeloom.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
 from tradeloom.llm import quality_boost as boost, quality_rules as rules, token_counts as counts
 
@@ -61,8 +61,17 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivotal_mix.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_token_counts, op2_quality_rules, op3_language_id, op4_lm_scoring, op5_quality_classifier,
     op6_decontamination, op7_html_text, op8_packing, op9_jaccard_join, op10_pii, op11_lexical_search,
+    op12_merkle_manifest, op13_source_mix,
 )}
 
