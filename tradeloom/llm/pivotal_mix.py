@@ -1,16 +1,17 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-A source's target over its size is the number of copies each of its documents should get. The
-whole part is certain; the fraction is a copy probability, rounded to 0 or 1 so that the
-source's words stay at the target. Two fractional documents fight: words are moved, at random
-and with unchanged expectation, from one to the other until one of them has probability 0 or 1.
-The other goes on as the residual. A fight keeps the expected words of the two together exactly, so
-a source is off its target by the rounding of its very last residual only.
-
-Fights run in blocks dealt out by hash, each an even sample of its source, from the longest
-document to the shortest, which leaves a short residual. The residuals of the blocks fight in
-turn, in blocks of blocks, until one a source is left: a reduction tree whose nodes are
-bounded and of which each level is a shuffle of its residuals alone.
+A source's target over its size is the number of copies each of its documents should get, a
+probability beyond the whole part. Fractional copies fight in pairs: words are moved, at
+random and with unchanged expectation, from one side to the other until one has a whole number
+of copies. A fight keeps the expected words of the two sides together exactly, so a source is
+off its target by the rounding of its very last residual only.
+
+Documents are dealt out by hash to blocks, each an even sample of its source. In a block the
+longest open document fights all shorter ones, which share one probability and so act as one
+unit; a long document is decided while there are words enough to make up for it, and what is
+left in the end is the shortest. The residuals of the blocks fight each other, in blocks
+of blocks, until one a source is left: a reduction tree whose nodes are bounded and of which each
+level is a shuffle of its residuals alone.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tradeloom.llm.common import batch_of, chunks, in_tasks, ship_package, stored
@@ -82,43 +84,70 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return rows.select("tree", "source_size", F.least(F.col("weight") * share, cap.cast("double")).alias("target"))
 
 
-def fights(full: list[int], mass: list[int], chance: random.Random) -> tuple[list[int | None], int]:
-    """Fight in the given order, the residual so far against the next unit.
+def fight(held: int, up: int, down: int, chance: random.Random) -> int:
+    """``held`` after a fight that moves it ``up`` or ``down``; its expectation stays."""
+    if not up or not down:
+        return held
+    return held + up if chance.randrange(up + down) < down else held - down
 
-    ``full`` and ``mass`` are a unit's words and expected words in ``PARTS``, 0 < mass < full.
-    Returns each unit's copy, 0 or 1 (None: the residual, at most one), and the residual's mass.
+
+def pooled_fights(sizes: list[int], mass: int, most: int, chance: random.Random) -> tuple[list[int], list[int]]:
+    """Copies of units, longest first, that share ``mass`` words (in ``PARTS``) in proportion to their sizes.
+
+    Each fights the unit of all behind it. Where only one outcome can make it whole, as for a text
+    longer than the words the others can give or take, that one is taken: near the target
+    counts for more there than the expectation. Returns the whole copies of each and the
+    words of a copy still open, of one unit at most.
+    """
+    copies, left, pool = [], [], sum(sizes)
+    for size in sizes:
+        full, own = size * PARTS, mass * size // pool
+        pool, mass = pool - size, mass - own
+        whole, held = divmod(own, full)
+        room = max(0, most * pool * PARTS - mass)
+        up, down = min(full - held, mass), min(held, room)
+        if (up < full - held) != (down < held):
+            after = full if down < held else 0
+        else:
+            after = fight(held, up, down, chance)
+        mass -= after - held
+        copies.append(whole + after // full)
+        left.append(after % full)
+    return copies, left
+
+
+def fights(full: list[int], mass: list[int], chance: random.Random) -> tuple[list[int], list[int]]:
+    """Copies, 0 or 1, of units with ``mass`` of ``full`` words, in order: the residual so far against the next.
+
+    Returns as ``pooled_fights``.
     """
-    taken: list[int | None] = [None] * len(full)
-    left, held = None, 0
+    copies, left, last = [0] * len(full), [0] * len(full), None
     for at, other in enumerate(mass):
-        if left is None:
-            left, held = at, other
-            continue
-        up, down = min(full[left] - held, other), min(held, full[at] - other)
-        moved = up if chance.randrange(up + down) < down else -down
-        held, other = held + moved, other - moved
-        for unit, words in ((left, held), (at, other)):
-            if words in (0, full[unit]):
-                taken[unit] = int(words > 0)
-        if taken[left] is not None:
-            left, held = (at, other) if taken[at] is None else (None, 0)
-    return taken, held
-
-
-def _round(units: DataFrame, seed: str) -> DataFrame:
-    """Fights within each (tree, block), the longest units first: ``extra`` is null for a block's residual."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("size", "descending"), ("doc_id", "ascending"), ("nth", "ascending")])
-        chance = random.Random(f"{seed}|{group['block'][0].as_py()}|{group['tree'][0].as_py()}")
-        mass = group["mass"].to_pylist()
-        taken, held = fights([size * PARTS for size in group["size"].to_pylist()], mass, chance)
-        mass = [held if copy is None else words for words, copy in zip(mass, taken, strict=True)]
-        done = {"mass": pa.array(mass, pa.int64()), "extra": pa.array(taken, pa.int32())}
-        return pa.table([done.get(c, group[c]) for c in group.column_names], group.column_names)
+        if last is not None:
+            held = left[last]
+            after = fight(held, min(full[last] - held, other), min(held, full[at] - other), chance)
+            other -= after - held
+            copies[last], left[last] = divmod(after, full[last])
+        copies[at], left[at] = divmod(other, full[at])
+        last = at if left[at] else last if last is not None and left[last] else None
+    return copies, left
+
+
+def _rounds(units: DataFrame, seed: str, run) -> DataFrame:
+    """Fights within each (tree, block), the longest units first, by ``run(sizes, mass, chance)``.
+
+    Adds to ``copies``; ``mass`` becomes what is still open, above 0 for one unit a block at most.
+    """
+
+    def group(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("nth", "ascending")])
+        chance = random.Random(f"{seed}|{table['block'][0].as_py()}|{table['tree'][0].as_py()}")
+        copies, left = run(table["size"].to_pylist(), table["mass"].to_pylist(), chance)
+        new = {"copies": pc.add(table["copies"], pa.array(copies, pa.int64())), "mass": pa.array(left, pa.int64())}
+        return pa.table([new.get(c, table[c]) for c in table.column_names], table.column_names)
 
     ship_package(units.sparkSession)
-    return units.groupBy("tree", "block").applyInArrow(run, units.schema)
+    return stored(units.groupBy("tree", "block").applyInArrow(group, units.schema), "rounds")
 
 
 def _with_sources(units: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
@@ -130,15 +159,14 @@ def _with_sources(units: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_rows: int = 4096, seed: str = "mix"
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_rows: int = 32_768, seed: str = "mix"
 ) -> DataFrame:
     """How many words of each document a mix of its sources takes.
 
     ``doc_id, size, source_size, target, taken``: the words of the document and of its source,
-    the source's target, and the document's words times its copies. Sources by code point, null
-    last, weigh ``weights`` in turn. Copies of a document differ by at most one from those of any
-    other of its source, and are at most ``most``. The same rows give the same
-    result, in whatever order and partitions they come.
+    the source's target, and the document's words times its copies, 0 to ``most``. Sources by code
+    point, null last, weigh ``weights`` in turn. The same rows give the same result, in whatever
+    order and partitions they come. ``block_rows`` is the mean number of documents in a block.
 
     Null and empty texts have size 0 and are not taken. Repeated rows are documents of their own.
     Null ids are ids. Other columns are ignored. Without any word all targets are 0; an empty
@@ -154,35 +182,31 @@ def mix(
 
     # Equal rows are told apart by a number, in steps, so that no long sequence is made at once.
     equal = sized.groupBy("tree", "doc_id", "size").agg(F.count(F.lit(1)).alias("times"))
-    begin = equal.select("*", F.explode(F.expr(f"sequence(0L, (times - 1) div {_CHUNK})")).alias("part"))
-    units = begin.select(
+    parts = equal.select("*", F.explode(F.expr(f"sequence(0L, (times - 1) div {_CHUNK})")).alias("part"))
+    units = parts.select(
         "tree", "doc_id", "size",
         F.explode(F.expr(f"sequence(part * {_CHUNK}, least(times, (part + 1) * {_CHUNK}) - 1)")).alias("nth"),
     )
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    mass = F.round((F.col("rate") - F.col("whole")) * F.col("size") * PARTS).cast("long")
-    known = stored(
-        _with_sources(units, sources, rows)
-        .withColumn("rate", rate)
-        .withColumn("whole", F.floor("rate"))
-        .withColumn("mass", mass)
-        .withColumn("block", F.expr(f"pmod(xxhash64(doc_id, size, nth), (source_rows + {block_rows - 1}) div {block_rows})"))
-        .withColumn("extra", F.lit(None).cast("int"))
-        .select("tree", "block", "doc_id", "size", "nth", "source_size", "target", "whole", "mass", "extra"),
-        "units",
-    )
-    full = F.col("size") * PARTS
-    contested = (F.col("mass") > 0) & (F.col("mass") < full)
-    blocks, level = -(-largest // block_rows), 0
-    fought = stored(_round(known.where(contested), f"{seed}|0"), "fought")
-    rounded = known.where(~contested).withColumn("extra", (F.col("mass") > 0).cast("int")).union(fought.where("extra IS NOT NULL"))
+    known = _with_sources(units, sources, rows).select(
+        "tree", F.expr(f"pmod(xxhash64(doc_id, size, nth), (source_rows + {block_rows - 1}) div {block_rows})").alias("block"),
+        "doc_id", "size", "nth", "source_size", "target", F.lit(0).cast("long").alias("copies"),
+        F.round(F.col("target") / F.col("source_size") * F.col("size") * PARTS).cast("long").alias("mass"),
+    )
+    known = stored(known.where("size > 0").unionByName(known.where("size = 0").withColumn("mass", F.lit(0).cast("long"))), "units")
+
+    def pooled(size: list[int], mass: list[int], chance: random.Random):
+        return pooled_fights(size, min(sum(mass), most * sum(size) * PARTS), most, chance)
+
+    def paired(size: list[int], mass: list[int], chance: random.Random):
+        return fights([s * PARTS for s in size], mass, chance)
+
+    decided = known.where("size = 0")
+    fought, blocks, level = _rounds(known.where("size > 0"), f"{seed}|0", pooled), -(-largest // block_rows), 0
     while blocks > 1:
+        decided = decided.union(fought.where("mass = 0"))
         blocks, level = -(-blocks // block_rows), level + 1
-        residuals = fought.where("extra IS NULL").withColumn("block", F.expr(f"block div {block_rows}"))
-        fought = stored(_round(residuals, f"{seed}|{level}"), "fought")
-        rounded = rounded.union(fought.where("extra IS NOT NULL"))
+        residuals = fought.where("mass > 0").withColumn("block", F.expr(f"block div {block_rows}"))
+        fought = _rounds(residuals, f"{seed}|{level}", paired)
     draw = F.expr(f"pmod(xxhash64(tree, '{seed}'), {1 << 40}L)") / float(1 << 40)
-    rounded = rounded.union(fought.where("extra IS NULL").withColumn("extra", (draw * full < F.col("mass")).cast("int")))
-    return rounded.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra"))).cast("long").alias("taken")
-    )
+    last = fought.withColumn("copies", F.col("copies") + (draw * F.col("size") * PARTS < F.col("mass")).cast("long"))
+    return decided.union(last).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
