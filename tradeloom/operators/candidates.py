@@ -1,23 +1,28 @@
 """Candidate source attributes for vocabulary properties.
 
 Scoring every (property, attribute) pair would be a cross join. It is avoided
-without losing a single result:
+without losing a single result, by bounds:
 
 * Pair-specific signals (shared tokens, equal names, catalog hits, resource names)
-  need a common key, so those pairs come from equi-joins on signal keys, of ids
-  only and spread over salts. A pair's common keys collapse to one row, which
-  remembers whether a catalog row proves the pair.
-* All other signals depend on a small *class* of the property and of the
-  attribute (data type, unit, code list, deleted, row type). For a pair without a
-  common key the class alone fixes the score, and a common key can only raise it.
-  Within one attribute class the first ``k`` attributes in tie order therefore
-  dominate all later ones, so at most ``k`` per class have to be looked at.
-* Scoring sees the columns that signals need; texts join the winners.
+  need a common key. Attributes are posted under their keys; the postings of a key are
+  cut into lists of one *shape*: the class (data type, unit, code list, deleted, row
+  type) and rounded-down sizes of the token sets.
+* A property's keys are ranked by how many attributes have them. If the rarest key that a
+  pair shares is the *i*-th, all it shares are that and more frequent ones; with the shape of the
+  list this bounds its score. The bound is the score's own formula with the most
+  that is still possible, so it is never below the score, not even by rounding.
+* A first pass scores the heads of each property's most promising lists. Its
+  *k*-th score is a threshold: pairs from lists whose bound is below it are never made,
+  and of lists that can only tie, just the rows that come before in tie order.
+* For a pair without a common key the classes of both sides alone fix the score, and a
+  common key can only raise it. Within one attribute class the first ``k`` attributes in tie
+  order therefore dominate all later ones, so at most ``k`` per class are looked at.
+* Joins that find pairs move ids and keys; texts join the winners.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tradeloom.fixed import (
     ALREADY_MAPPED_STATUSES, BAND_HIGH, BAND_LOW, BAND_MEDIUM, BEST_ROW_STATUSES,
@@ -33,8 +38,11 @@ from tradeloom.functions.text import (
 from tradeloom.operators.extract import NO_TEXTS, SEAL, with_columns
 from tradeloom.operators.ranking import best_row, number_lines, top_k
 from tradeloom.sources.profile import Profile
+from tradeloom.staging import staged, staged_together
 
 _SALTS = 8
+#: How many lists of a property the first pass looks into, and how many heads, per wanted row.
+_PROBED_LISTS, _PROBED_ROWS = 6, 4
 
 
 def _clean(name: str) -> str:
@@ -53,6 +61,12 @@ def _type_test(table: dict[str, tuple[str, ...]], kind: str, value: str) -> str:
     return any_of(f"({kind} = {q(k)} AND {in_list(value, v)})" for k, v in table.items())
 
 
+def _least_size(tokens: str) -> str:
+    """Size of a token set, rounded down to a power of two if above four."""
+    return (f"IF(size({tokens}) <= 4, size({tokens}), "
+            f"CAST(pow(2, floor(log2(size({tokens})))) AS int))")
+
+
 # --- The two sides ---------------------------------------------------------------
 
 
@@ -243,7 +257,11 @@ def attribute_side(attributes: DataFrame) -> DataFrame:
             "a_keys": f"array_distinct(concat({', '.join(keys)}))",
             "a_generic": f"concat({', '.join(generic)})",
             "a_class": "concat_ws('|', a_type, a_uom, a_coded, a_deleted, a_group)",
+            "names_least": _least_size("a_name_tokens"),
+            "definition_least": _least_size("a_definition_tokens"),
         },
+    ).withColumn(
+        "shape", F.concat_ws("|", "a_class", "names_least", "definition_least")
     ).drop("attribute_name_f", "definition_f", "urn_last_f", "urn_last")
 
 
@@ -301,6 +319,22 @@ def _penalty_terms() -> list[str]:
     ]
 
 
+def _raw_score(specific: dict[str, str], label: str) -> str:
+    """Score from flags of the specific signals, ``_nf``, ``_x``, ``_d``, ``_df`` and the class columns.
+
+    Each term and sum grows with its flag or fraction, in floating point too.
+    """
+    terms = _sum([
+        *_penalty_terms(),
+        *[_when(test, _weight(name)) for name, test in specific.items()],
+        _when(label, f"{_weight('label_attribute_token_overlap')} * _nf"),
+        _when("_x", _weight("xpath_terminal_match")),
+        _when("_d >= 2", f"{_weight('definition_comment_overlap')} * _df"),
+        *_class_terms(),
+    ])
+    return f"greatest(0.0D, least(1.0D, {terms}))"
+
+
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """Add ``score``, ``reasons`` and ``warnings``; drop pairs without any signal."""
     shared = {
@@ -315,6 +349,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     }
     flags = with_columns(flags, fractions)
     label = "_n >= 1 AND (_nf >= 0.3D OR NOT _exact_property_name_match)"
+    raw = _raw_score({n: f"_{n}" for n in _SPECIFIC}, label)
     tests = {
         **{n: f"_{n}" for n in _SPECIFIC},
         "label_attribute_token_overlap": label,
@@ -322,14 +357,6 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
         "definition_comment_overlap": "_d >= 2",
         **_CLASS_SIGNALS,
     }
-    raw = _sum([
-        *_penalty_terms(),
-        *[_when(f"_{n}", _weight(n)) for n in _SPECIFIC],
-        _when(label, f"{_weight('label_attribute_token_overlap')} * _nf"),
-        _when("_x", _weight("xpath_terminal_match")),
-        _when("_d >= 2", f"{_weight('definition_comment_overlap')} * _df"),
-        *_class_terms(),
-    ])
     warnings = {
         "deleted_attribute_warning": "a_deleted", "class_row_not_attribute": "a_group",
         "datatype_mismatch_warning": f"NOT {_TYPE_FITS} AND {_TYPE_CLASHES}",
@@ -341,7 +368,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
     scored = with_columns(
         flags,
-        {"score": f"IF({SEAL}, greatest(0.0D, least(1.0D, {raw})), NULL)", "reasons": fired(tests),
+        {"score": f"IF({SEAL}, {raw}, NULL)", "reasons": fired(tests),
          "warnings": fired(warnings)},
     )
     return scored.filter("score > 0 OR size(reasons) > 0").drop(
@@ -361,24 +388,72 @@ _A_SCORED = ("row_pos", "bms_sort", "name_l", "urn_l", "urn_norm", "a_name_token
              "a_group")
 
 
-def keyed_ids(properties: DataFrame, attributes: DataFrame, proofs: DataFrame) -> DataFrame:
-    """``p_id, row_pos, proved`` of all pairs with a common signal key, each once."""
-    own = properties.selectExpr("p_id", "explode(p_keys) AS key", "false AS proves")
-    proving = proofs.join(properties.select("p_id"), "p_id").selectExpr("p_id", "key", "true AS proves")
-    p_keys = own.union(proving).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    )
-    a_keys = attributes.selectExpr(
-        "row_pos", f"CAST(pmod(xxhash64(row_pos), {_SALTS}) AS int) AS salt",
-        "explode(a_keys) AS key",
+_SHAPE = ("a_type", "a_uom", "a_coded", "a_deleted", "a_group", "names_least", "definition_least")
+_POSTED = ("row_pos", "bms_sort", "shape", *_SHAPE)
+_BOUND_SIDE = ("p_id", "range_l", "p_quantity", "p_coded", "p_linked")
+
+# The kinds of keys, by their first letter, that stand for a specific signal.
+_SIGNAL_KEYS = {
+    "existing_mapping_catalog_match": ("c", "m"),
+    "mapping_yaml_canonical_field_match": ("y",),
+    "semantic_resource_urn_match": ("u", "v"),
+    "exact_property_name_match": ("e",),
+}
+
+
+def _spread(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("salt", F.expr(f"CAST(pmod(xxhash64({by}), {_SALTS}) AS int)"))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+
+
+def wanted_keys(properties: DataFrame, proofs: DataFrame) -> DataFrame:
+    """``p_id, key``: what a property can share with an attribute, or what proves one."""
+    own = properties.select("p_id", F.explode("p_keys").alias("key"))
+    return own.union(proofs.join(properties.select("p_id"), "p_id").select("p_id", "key"))
+
+
+def postings(attributes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Each attribute under each of its keys that a property has, with its shape."""
+    posted = attributes.select(*_POSTED, F.explode("a_keys").alias("key"))
+    keys = _repeated(wanted.select("key").distinct())
+    return _spread(posted, "row_pos").join(keys, ["key", "salt"], "left_semi").drop("salt")
+
+
+def bounded_lists(properties: DataFrame, wanted: DataFrame, posted: DataFrame) -> DataFrame:
+    """``p_id, key, shape, list_rows, bound``: the lists a property can be paired from.
+
+    ``bound`` is the most that a pair from the list can score if ``key`` is the rarest it shares.
+    """
+    lists = posted.groupBy("key", "shape").agg(
+        F.count("*").alias("list_rows"), *[F.first(c).alias(c) for c in _SHAPE]
     )
-    return a_keys.join(p_keys, ["key", "salt"]).groupBy("p_id", "row_pos").agg(
-        F.max("proves").alias("proved")
+    totals = posted.groupBy("key").agg(F.count("*").alias("key_rows"))
+    kind = F.substring("key", 1, 1)
+    so_far = (Window.partitionBy("p_id").orderBy(F.desc("key_rows"), "key")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = wanted.join(totals, "key").withColumns({
+        "_n": F.count_if(kind == "n").over(so_far), "_d": F.count_if(kind == "d").over(so_far),
+        "_x": F.count_if(kind == "x").over(so_far) > 0,
+        **{f"_{name}": F.count_if(kind.isin(*kinds)).over(so_far) > 0
+           for name, kinds in _SIGNAL_KEYS.items()},
+    })
+    sizes = properties.selectExpr(
+        *_BOUND_SIDE, "size(p_name_tokens) AS p_names", "size(p_comment_tokens) AS p_comments"
     )
+    met = _spread(counted.join(sizes, "p_id"), "p_id").join(_repeated(lists), ["key", "salt"])
+    met = with_columns(met, {
+        "_nf": "_n / nullif(greatest(p_names, names_least), 0)",
+        "_df": "_d / nullif(greatest(p_comments, definition_least), 0)",
+    })
+    bound = _raw_score({name: f"_{name}" for name in _SPECIFIC}, "_n >= 1")
+    return met.selectExpr("p_id", "key", "shape", "list_rows", f"{bound} AS bound")
 
 
-def class_ids(properties: DataFrame, attributes: DataFrame, keyed: DataFrame, k: int) -> DataFrame:
-    """The pairs without a common key that may still reach the top ``k``."""
+def class_ids(properties: DataFrame, attributes: DataFrame, k: int) -> DataFrame:
+    """``p_id, row_pos``: the pairs that may reach the top ``k`` without a common key."""
     order = [F.col("bms_sort"), F.col("row_pos")]
     heads = top_k(attributes, ["a_class"], order, k).drop("rank")
     # The classes are combinations of fixed tables and flags: at most a few hundred.
@@ -395,8 +470,55 @@ def class_ids(properties: DataFrame, attributes: DataFrame, keyed: DataFrame, k:
         met.withColumn("class_score", F.expr(generic_score)), ["p_class"],
         [F.desc("class_score"), *order], k,
     ).select("p_class", "row_pos")
-    pairs = properties.select("p_id", "p_class").join(leaders, "p_class").select("p_id", "row_pos")
-    return pairs.join(keyed, ["p_id", "row_pos"], "left_anti").selectExpr("*", "false AS proved")
+    return properties.select("p_id", "p_class").join(leaders, "p_class").select("p_id", "row_pos")
+
+
+def _best_pairs(
+    ids: DataFrame, properties: DataFrame, attributes: DataFrame, proofs: DataFrame, k: int
+) -> DataFrame:
+    """Score pairs given by ids, in full; the best ``k`` of each property."""
+    pairs = (ids.join(properties.select(*_P_SCORED), "p_id")
+             .join(attributes.select(*_A_SCORED, "bms_id"), "row_pos"))
+    for letter, cell in (("c", "bms_id"), ("m", "name_l")):
+        found = proofs.selectExpr("p_id", f"key AS {letter}_key", f"true AS {letter}_proves")
+        pairs = pairs.withColumn(f"{letter}_key", F.expr(f"concat('{letter}:', {cell})")).join(
+            found, ["p_id", f"{letter}_key"], "left"
+        )
+    scored = score_pairs(pairs.withColumn("proved", F.expr("coalesce(c_proves, m_proves, false)")))
+    return top_k(
+        scored.select("p_id", "row_pos", "bms_sort", "score", "reasons", "warnings"),
+        ["p_id"], [F.desc("score"), F.col("bms_sort"), F.col("row_pos")], k,
+    )
+
+
+def pair_ids(
+    properties: DataFrame, attributes: DataFrame, proofs: DataFrame, k: int
+) -> DataFrame:
+    """``p_id, row_pos`` of the pairs that have to be scored, each once.
+
+    The sides should be cheap to read again: they are read by both passes.
+    """
+    wanted = wanted_keys(properties, proofs)
+    posted = staged(postings(attributes, wanted), "postings")
+    lists, leaders = staged_together(
+        lists=bounded_lists(properties, wanted, posted), leaders=class_ids(properties, attributes, k)
+    )
+    promising = top_k(
+        lists, ["p_id"], [F.desc("bound"), F.col("list_rows"), F.col("key"), F.col("shape")], _PROBED_LISTS
+    ).select("p_id", "key", "shape")
+    looked_into = posted.join(promising.select("key", "shape").distinct(), ["key", "shape"], "left_semi")
+    heads = top_k(looked_into, ["key", "shape"], [F.col("bms_sort"), F.col("row_pos")], _PROBED_ROWS * k)
+    probed = promising.join(heads, ["key", "shape"]).select("p_id", "row_pos")
+    reached = _best_pairs(probed.union(leaders).distinct(), properties, attributes, proofs, k)
+    threshold = reached.filter(F.col("rank") == k).selectExpr(
+        "p_id", "score AS least", "bms_sort AS least_sort", "row_pos AS least_pos"
+    )
+    opened = lists.join(threshold, "p_id", "left").filter("least IS NULL OR bound >= least")
+    pairs = _repeated(opened).join(_spread(posted, "row_pos"), ["key", "shape", "salt"]).filter(
+        "least IS NULL OR bound > least OR bms_sort < least_sort "
+        "OR (bms_sort = least_sort AND row_pos <= least_pos)"
+    )
+    return pairs.select("p_id", "row_pos").union(leaders).distinct()
 
 
 def confidence(score: str, reasons: str) -> str:
@@ -432,16 +554,11 @@ def candidates(
     """The best ``limit`` attributes per property, exactly as all-pairs scoring ranks them."""
     if property_id is not None:
         properties = properties.filter(F.col("term_id") == property_id)
-    p = property_side(properties, catalog, profile, backlog)
-    a = attribute_side(attributes)
-    keyed = keyed_ids(p, a, proof_keys(catalog))
-    ids = keyed.unionByName(class_ids(p, a, keyed, limit))
-    scored = score_pairs(ids.join(p.select(*_P_SCORED), "p_id").join(a.select(*_A_SCORED), "row_pos"))
-    order = [F.desc("score"), F.col("bms_sort"), F.col("row_pos")]
-    first = top_k(
-        scored.select("p_id", "row_pos", "bms_sort", "score", "reasons", "warnings"),
-        ["p_id"], order, limit,
+    p, a, proofs = staged_together(
+        properties=property_side(properties, catalog, profile, backlog),
+        attributes=attribute_side(attributes), proofs=proof_keys(catalog),
     )
+    first = _best_pairs(pair_ids(p, a, proofs, limit), p, a, proofs, limit)
     texts = a.select("row_pos", "a_deleted", *_ATTRIBUTE_TEXTS)
     best = first.join(p, "p_id").join(texts, "row_pos")
     leveled = with_columns(best, {"confidence_level": confidence("score", "reasons")})
