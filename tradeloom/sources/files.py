@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradeloom import ship_with_tasks
 from tradeloom.fixed import MAX_FILE_BYTES, MAX_FILES, MAX_TOTAL_BYTES
 from tradeloom.functions.text import safe_archive_path
 from tradeloom.operators.extract import with_columns
+from tradeloom.staging import staged
 
 ship_with_tasks(__name__)
 
@@ -24,7 +27,7 @@ def xml_directory(spark: SparkSession, path: str) -> DataFrame:
     A directory without any is an error.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
-    if not found.inputFiles():
+    if found.select("path").isEmpty():
         raise ValueError(f"No XML sample files found in: {path}")
     files = found.select(F.col("path").alias("doc_id"), "content")
     return files.withColumn("file_name", F.element_at(F.split("doc_id", "/"), -1))
@@ -47,56 +50,105 @@ class ArchiveLimits:
                 raise ValueError(f"{name} must be at least 1.")
 
 
-_ENTRY_SCHEMA = (
-    "archive string, archive_error string, xml_files int, xml_bytes bigint, "
-    "entry_no int, entry string, size bigint, content binary, read_error string"
+#: One row per XML entry, or one for an archive that is refused as a whole or has none.
+#: ``part`` numbers the runs of entries that one task reads.
+_DIRECTORY = pa.schema([
+    ("archive", pa.string()), ("archive_error", pa.string()), ("xml_files", pa.int32()),
+    ("xml_bytes", pa.int64()), ("entry_no", pa.int32()), ("entry", pa.string()), ("size", pa.int64()),
+    ("raw_name", pa.string()), ("header_offset", pa.int64()), ("compressed", pa.int64()),
+    ("method", pa.int32()), ("crc", pa.int64()), ("flags", pa.int32()), ("part", pa.int64()),
+])
+_DIRECTORY_DDL = (
+    "archive string, archive_error string, xml_files int, xml_bytes bigint, entry_no int, entry string, "
+    "size bigint, raw_name string, header_offset bigint, compressed bigint, method int, crc bigint, "
+    "flags int, part bigint"
 )
+_READ = ("archive", "archive_error", "xml_files", "xml_bytes", "entry_no", "entry", "size")
+_PART_BYTES, _PART_ENTRIES, _BATCH_ROWS = 16 << 20, 2000, 5000
+#: An archive without entries, for readers that know the directory already.
+_NO_ENTRIES = b"PK\x05\x06" + bytes(18)
+
+
+def opened(uri: str) -> pa.NativeFile:
+    """A file of any store that tasks reach directly, to be read by ranges."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        uri = "/" + rest.lstrip("/")
+    elif scheme == "s3a":
+        uri = f"s3:{rest}"
+    store, path = pa.fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+    )
 
 
-def _entries(
-    batches: Iterator[pa.RecordBatch], limits: ArchiveLimits
-) -> Iterator[pa.RecordBatch]:
-    """List every archive; read only entries that the limits may let through."""
-    names = [part.split()[0] for part in _ENTRY_SCHEMA.split(", ")]
-    kinds = [
-        pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(),
-        pa.int64(), pa.binary(), pa.string(),
-    ]
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, names=names)
-
+def _directories(batches: Iterator[pa.RecordBatch], limits: ArchiveLimits) -> Iterator[pa.RecordBatch]:
+    """The central directory of every archive; no entry is read."""
     for source in batches:
-        for path, content in zip(source.column("path"), source.column("content"), strict=True):
-            path = path.as_py()
+        for path in source.column("path").to_pylist():
             try:
-                archive = zipfile.ZipFile(io.BytesIO(content.as_py()))
-            except (OSError, zipfile.BadZipFile) as exc:
-                problem = f"Cannot read ZIP file: {exc}"
-                yield batch([(path, problem, 0, 0, None, None, None, None, None)])
+                with opened(path) as file, zipfile.ZipFile(file) as archive:
+                    infos = [
+                        i for i in archive.infolist()
+                        if not i.is_dir() and i.filename.lower().endswith(".xml")
+                    ]
+            except (OSError, pa.ArrowInvalid, zipfile.BadZipFile) as exc:
+                # A file shorter than a directory's end: the store refuses to seek before its start.
+                why = "File is not a zip file" if isinstance(exc, pa.ArrowInvalid) else exc
+                yield _batch([(path, f"Cannot read ZIP file: {why}", 0, 0, *[None] * 9, 0)], _DIRECTORY)
                 continue
-            infos = [
-                i for i in archive.infolist()
-                if not i.is_dir() and i.filename.lower().endswith(".xml")
-            ]
             total = sum(max(0, i.file_size) for i in infos)
             head = (path, None, len(infos), total)
-            fatal = len(infos) > limits.max_files or total > limits.max_total_bytes
-            if fatal or not infos:
-                yield batch([(*head, None, None, None, None, None)])
+            if not infos or len(infos) > limits.max_files or total > limits.max_total_bytes:
+                yield _batch([(*head, *[None] * 9, 0)], _DIRECTORY)
                 continue
-            for number, info in enumerate(infos):
-                data = failure = None
-                if info.file_size <= limits.max_file_bytes:
-                    try:
-                        data = archive.read(info)
-                    except (OSError, RuntimeError, zipfile.BadZipFile) as exc:
-                        failure = f"{type(exc).__name__}: {exc}"
-                yield batch(
-                    [(*head, number, info.filename, info.file_size, data, failure)]
-                )
+            rows, part, held, begin = [], 0, 0, 0
+            for number, i in enumerate(infos):
+                if held and (held + i.compress_size > _PART_BYTES or number - begin >= _PART_ENTRIES):
+                    part, held, begin = part + 1, 0, number
+                held += i.compress_size
+                rows.append((*head, number, i.filename, i.file_size, i.orig_filename, i.header_offset,
+                             i.compress_size, i.compress_type, i.CRC, i.flag_bits, part))
+                if len(rows) == _BATCH_ROWS:
+                    yield _batch(rows, _DIRECTORY)
+                    rows = []
+            if rows:
+                yield _batch(rows, _DIRECTORY)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Read the wanted entries where the directory says they are; one file is open at a time."""
+    schema = pa.schema([*(_DIRECTORY.field(c) for c in _READ), ("error_type", pa.string()),
+                        ("error_message", pa.string()), ("content", pa.binary())])
+    archive, path, file = None, None, None
+    for source in batches:
+        rows, held = [], 0
+        for r in source.to_pylist():
+            data, kind, message = None, r["error_type"], r["error_message"]
+            if r["entry"] is not None and kind is None:
+                try:
+                    if r["archive"] != path:
+                        path, file = r["archive"], opened(r["archive"])
+                        archive = zipfile.ZipFile(io.BytesIO(_NO_ENTRIES))
+                        archive.fp = file
+                    info = zipfile.ZipInfo(r["entry"])
+                    info.orig_filename, info.header_offset = r["raw_name"], r["header_offset"]
+                    info.compress_size, info.file_size = r["compressed"], r["size"]
+                    info.compress_type, info.CRC, info.flag_bits = r["method"], r["crc"], r["flags"]
+                    data = archive.read(info)
+                except (OSError, RuntimeError, EOFError, zlib.error, zipfile.BadZipFile) as exc:
+                    kind, message = type(exc).__name__, str(exc)
+            rows.append((*(r[c] for c in _READ), kind, message, data))
+            held += len(data or b"")
+            if held > _PART_BYTES:
+                yield _batch(rows, schema)
+                rows, held = [], 0
+        yield _batch(rows, schema)
 
 
 def zip_entries(
@@ -104,20 +156,19 @@ def zip_entries(
 ) -> DataFrame:
     """XML entries of ZIP archives with the verdict of the archive limits.
 
-    One archive is read by one task (the format cannot be split) and its entries
-    leave it one by one, so follow with ``repartition`` when archives are few and
-    big. ``archive_error`` marks archives refused as a whole; ``error_type`` marks
-    single entries that must not be converted. Unsafe entries count towards the
-    archive limits and sort first.
+    The central directory of an archive is read once and stored; it says where entries lie, so
+    runs of entries of some megabytes are read by different tasks, however
+    large the archive. ``archive_error`` marks archives refused as a whole;
+    ``error_type`` marks single entries that must not be converted: these are not read. Unsafe
+    entries count towards the archive limits and sort first. Stores are read by
+    ranges (local, ``s3``, ``gs``, ``hdfs``).
     """
     limits = limits or ArchiveLimits()
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    entries = files.select("path", "content").mapInArrow(
-        lambda batches: _entries(batches, limits), _ENTRY_SCHEMA
-    )
+    listed = files.select("path").mapInArrow(lambda batches: _directories(batches, limits), _DIRECTORY_DDL)
     # Message texts and error types.
-    return with_columns(
-        entries,
+    directory = staged(with_columns(
+        listed,
         {
             "archive_error": f"""CASE
                 WHEN archive_error IS NOT NULL THEN archive_error
@@ -130,16 +181,20 @@ def zip_entries(
             "error_type": f"""CASE
                 WHEN entry IS NULL THEN NULL
                 WHEN NOT {safe_archive_path('entry')} THEN 'UnsafeZipPath'
-                WHEN size > {limits.max_file_bytes} THEN 'FileTooLarge'
-                WHEN read_error IS NOT NULL THEN substring_index(read_error, ': ', 1) END""",
+                WHEN size > {limits.max_file_bytes} THEN 'FileTooLarge' END""",
             "error_message": f"""CASE
                 WHEN entry IS NULL THEN NULL
                 WHEN NOT {safe_archive_path('entry')}
                     THEN 'ZIP entry path is unsafe and was not read.'
                 WHEN size > {limits.max_file_bytes} THEN concat(
                     'Uncompressed XML file size exceeds limit: ', size,
-                    ' > {limits.max_file_bytes}.')
-                WHEN read_error IS NOT NULL
-                    THEN substring(read_error, instr(read_error, ': ') + 2) END""",
+                    ' > {limits.max_file_bytes}.') END""",
         },
-    ).drop("read_error")
+    ), "directory")
+    parts = directory.select("archive", "part").distinct().count()
+    runs = directory.repartition(max(1, min(parts, 10_000)), "archive", "part")
+    return runs.sortWithinPartitions("archive", "entry_no").mapInArrow(
+        _contents,
+        "archive string, archive_error string, xml_files int, xml_bytes bigint, entry_no int, "
+        "entry string, size bigint, error_type string, error_message string, content binary",
+    )
