@@ -10,19 +10,12 @@ from tradeloom.fixed import ATTRIBUTE_HEADERS, ATTRIBUTE_LINEAGE, DELETED_SHEET
 from tradeloom.functions import replace
 from tradeloom.functions.text import strip
 from tradeloom.operators.ranking import number_lines
+from tradeloom.sources.csvranges import csv_table
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw CSV, all text, header row, byte-order mark tolerated."""
-    return (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    """Raw CSV, all text, header row, byte-order mark tolerated; large files are read by ranges."""
+    return csv_table(spark, path)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -30,14 +23,17 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
     ``row_number`` is the line a reader of the file would count (header = 1).
     """
-    return catalog_rows(read_csv(spark, path))
+    raw = csv_table(spark, path, number="row_number", first=2)
+    cells = [trimmed(c) for c in raw.columns if c != "row_number"]
+    return raw.selectExpr(*cells, "row_number")
+
+
+def trimmed(column: str) -> str:
+    return f"coalesce({strip(f'`{column}`')}, '') AS `{column}`"
 
 
 def catalog_rows(raw: DataFrame) -> DataFrame:
-    cells = [
-        f"coalesce({strip(f'`{c}`')}, '') AS `{c}`" for c in raw.columns
-    ]
-    return number_lines(raw.selectExpr(*cells), "row_number", first=2)
+    return number_lines(raw.selectExpr(*map(trimmed, raw.columns)), "row_number", first=2)
 
 
 # --- Source-attribute sheets ------------------------------------------------------
