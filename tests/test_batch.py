@@ -7,11 +7,14 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.samples import FAULTY, FULL, wrap
 from tradeloom.operators import batch
 from tradeloom.plans.convert import convert
 from tradeloom.sinks import writers
+from tradeloom.sinks import commits
+from tradeloom.sources import files
 from tradeloom.sources.files import ArchiveLimits, xml_directory, zip_entries
 from tradeloom.streaming.landing import convert_landing, landing_documents
 
@@ -124,7 +127,7 @@ def test_corpus_run_and_sinks(spark, folder, tmp_path):
     failed = batch.unusable_profile_rows(docs, "file_name", "it's bad").collect()
     assert {(r.failure_stage, r.exception_message) for r in failed} == {("mapping", "it's bad")}
     paths = writers.write_conversion(converted, str(tmp_path / "out"), ["file_name"])
-    assert spark.read.parquet(str(tmp_path / "out" / "converted")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "out" / "runs" / "*" / "converted")).count() == 3
     with pytest.raises(ValueError, match="No XML sample files found"):
         (tmp_path / "none").mkdir()
         xml_directory(spark, str(tmp_path / "none"))
@@ -143,6 +146,37 @@ def test_corpus_run_and_sinks(spark, folder, tmp_path):
     converted.unpersist()
 
 
+def test_large_archive_is_read_by_many_tasks(spark, folder, monkeypatch):
+    monkeypatch.setattr(files, "_PART_ENTRIES", 50)
+    bodies = {f"d/{k}.xml": f"<a>{k}</a>".encode() * (1 + k % 7) for k in range(430)}
+    archive(folder / "large.zip", [*bodies.items(), ("note.txt", b"x")])
+    spoiled = bytearray((folder / "large.zip").read_bytes())
+    at = spoiled.index(b"d/7.xml") + len("d/7.xml") + 2
+    spoiled[at] ^= 0xFF  # one entry's content no longer matches its checksum
+    (folder / "large.zip").write_bytes(bytes(spoiled))
+    read = zip_entries(spark, str(folder), ArchiveLimits(max_files=1000)).withColumn("task", F.spark_partition_id())
+    rows = {r.entry: r for r in read.collect()}
+    bad = rows.pop("d/7.xml")
+    assert {k: bytes(r.content) for k, r in rows.items()} == {k: v for k, v in bodies.items() if k != "d/7.xml"}
+    assert bad.content is None and bad.error_type in ("BadZipFile", "error") and [r.xml_files for r in rows.values()] == [430] * 429
+    assert len({r.task for r in rows.values()}) >= 4 and sorted(r.entry_no for r in [*rows.values(), bad]) == list(range(430))
+
+
+def test_a_failed_part_leaves_the_last_export(spark, tmp_path):
+    path, rows = str(tmp_path / "export"), spark.range(3)
+    with pytest.raises(ValueError, match="No complete export"):
+        commits.current(spark, path)
+    first = writers.write_sections({"a": rows, "b": rows, "c": rows}, path)
+    failing = rows.select(F.raise_error(F.lit("third part")).alias("x"))
+    with pytest.raises(Exception, match="third part"):
+        writers.write_sections({"a": spark.range(9), "b": spark.range(9), "c": failing}, path)
+    assert commits.current(spark, path) == first
+    assert {n: spark.read.json(p).count() for n, p in commits.current(spark, path).items()} == {"a": 3, "b": 3, "c": 3}
+    second = writers.write_sections({"a": spark.range(9)}, path)
+    assert commits.current(spark, path) == second != first
+    assert spark.read.json(first["c"]).count() == 3  # who still reads the former export is not disturbed
+
+
 def test_landing_stream_converts_only_what_is_new(spark, folder, tmp_path):
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
     (folder / "a.xml").write_bytes(FULL)

@@ -60,6 +60,29 @@ def test_envelope_and_validation(spark, tmp_path):
     writers.write_passports(checked, passport.passport_summary(checked), str(tmp_path / "p"))
 
 
+def test_manifest_structure_names_the_entry(spark):
+    entry = {name: "x" for name in structure.PASSPORT_SOURCE_REQUIRED} | {
+        "source_type": structure.PASSPORT_SOURCE_TYPES[0], "sector": structure.PASSPORT_SECTORS[0]}
+    manifest = {"schema_version": 1, "extra": 2, "sources": [
+        entry, entry | {"title": 5, "source_id": "Not Ok", "sector": "moon"}, "text",
+        {k: v for k, v in entry.items() if k != "title"} | {"used_by": ["a", 1], "odd": 1}]}
+    docs = texts(spark, manifest, []).selectExpr("try_parse_json(text) AS doc", "monotonically_increasing_id() AS id")
+    rows = structure.manifest_violations(docs, ["id"]).collect()
+    first = min(r.id for r in rows)
+    assert sorted((r.entry_no if r.entry_no is not None else -1, r.message) for r in rows if r.id == first) == [
+        (-1, "[root] Additional properties are not allowed ('extra')"),
+        (-1, "[schema_version] is not of type string"),
+        (1, f"[sources.1.sector] is not one of {list(structure.PASSPORT_SECTORS)}"),
+        (1, "[sources.1.source_id] does not match '^[a-z0-9_]+$'"),
+        (1, "[sources.1.title] is not of type string"),
+        (2, "[sources.2] is not of type object"),
+        (3, "[sources.3.used_by] is not of type array of string"),
+        (3, "[sources.3] 'title' is a required property"),
+        (3, "[sources.3] Additional properties are not allowed ('odd')"),
+    ]
+    assert [r.message for r in rows if r.id != first] == ["[root] is not of type object"]
+
+
 def test_structure_rules(spark):
     def errors(doc, rules=structure.PASSPORT_RULES):
         return structure.check(docs_in.json_objects(texts(spark, doc)).drop("error"), rules).first().errors

@@ -91,43 +91,51 @@ def _is_type(value: str, name: str) -> str:
     }[name]
 
 
-def _violation(document: str, rule: CheckRule) -> str:
+def _place(member_name: str, within: str | None) -> str:
+    """SQL text of the place that a message names; ``within`` is the path to the document."""
+    if within is None:
+        return q(f"[{member_name or 'root'}] ")
+    return f"concat('[', {within}, {q('.' + member_name if member_name else '')}, '] ')"
+
+
+def _violation(document: str, rule: CheckRule, within: str | None = None) -> str:
     """Message text, or null if the rule holds."""
     value = member(document, rule.path)
+    place = _place("" if rule.kind in ("required", "closed") else rule.path, within)
     names = f"map_keys(try_variant_get({document}, '$', 'map<string,variant>'))"
     if rule.kind == "required":
         bad = f"NOT coalesce(array_contains({names}, {q(rule.path)}), false)"
-        text = q(f"[root] '{rule.path}' is a required property")
+        text = q(f"'{rule.path}' is a required property")
     elif rule.kind == "type":
         fits = any_of(_is_type(value, t) for t in rule.argument)
         bad = f"{value} IS NOT NULL AND NOT {fits}"
-        text = q(f"[{rule.path}] is not of type {' or '.join(rule.argument)}")
+        text = q(f"is not of type {' or '.join(rule.argument)}")
     elif rule.kind == "enum":
         text_value = member(document, rule.path, "string")
         bad = f"{value} IS NOT NULL AND NOT coalesce({in_list(text_value, rule.argument)}, false)"
-        text = q(f"[{rule.path}] is not one of {list(rule.argument)}")
+        text = q(f"is not one of {list(rule.argument)}")
     elif rule.kind == "pattern":
         text_value = member(document, rule.path, "string")
         bad = all_of([f"schema_of_variant({value}) = 'STRING'",
                       f"NOT {matches(text_value, rule.argument[0])}"])
-        text = q(f"[{rule.path}] does not match '{rule.argument[0]}'")
+        text = q(f"does not match '{rule.argument[0]}'")
     elif rule.kind == "closed":
         extra = f"array_sort(array_except({names}, {strings(rule.argument)}))"
         bad = f"size({extra}) > 0"
         text = (
-            f"concat('[root] Additional properties are not allowed (', "
+            f"concat('Additional properties are not allowed (', "
             f"array_join({transform(extra, lambda e: f'concat(chr(39), {e}, chr(39))')}, ', '), ')')"
         )
     else:
         raise ValueError(f"Unknown rule kind: {rule.kind}")
-    return f"CASE WHEN {bad} THEN {text} END"
+    return f"CASE WHEN {bad} THEN concat({place}, {text}) END"
 
 
-def violations(document: str, rules: tuple[CheckRule, ...]) -> str:
-    """All messages of a VARIANT document, as an array."""
-    cases = ", ".join(_violation(document, r) for r in rules)
+def violations(document: str, rules: tuple[CheckRule, ...], within: str | None = None) -> str:
+    """All messages of a VARIANT document, as an array; ``within`` is SQL text of the path to it."""
+    cases = ", ".join(_violation(document, r, within) for r in rules)
     whole = f"CASE WHEN NOT startswith(schema_of_variant({document}), 'OBJECT') " \
-            f"THEN array('[root] is not of type object') " \
+            f"THEN array(concat({_place('', within)}, 'is not of type object')) " \
             f"ELSE array_compact(array({cases})) END"
     return whole
 
@@ -156,6 +164,24 @@ def check(docs: DataFrame, rules: tuple[CheckRule, ...] = PASSPORT_RULES) -> Dat
     )
 
 
+def manifest_violations(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, entry_no, message`` of source manifests (``doc`` VARIANT): every broken rule with its place.
+
+    ``entry_no`` is null for rules of the manifest itself. Entries of ``sources`` are rows of their
+    own, so a manifest of any length is checked entry by entry.
+    """
+    own = docs.selectExpr(
+        *keys, "CAST(NULL AS int) AS entry_no", f"explode({violations('doc', MANIFEST_RULES)}) AS message"
+    )
+    listed = docs.selectExpr(*keys, "posexplode(try_variant_get(doc, '$.sources', 'array<variant>')) AS (entry_no, entry)")
+    place = "concat('sources.', entry_no)"
+    entries = listed.selectExpr(
+        *keys, "entry_no", f"explode({violations('entry', MANIFEST_SOURCE_RULES, place)}) AS message"
+    )
+    unread = docs.filter("doc IS NULL").selectExpr(*keys, "CAST(NULL AS int) AS entry_no", "'Instance is not valid JSON' AS message")
+    return own.unionByName(entries).unionByName(unread)
+
+
 def check_required_only(docs: DataFrame, rules: tuple[CheckRule, ...] = PASSPORT_RULES) -> DataFrame:
     """The weaker check: presence of required members only, with its warning."""
     names = "map_keys(try_variant_get(doc, '$', 'map<string,variant>'))"

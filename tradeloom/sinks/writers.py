@@ -1,7 +1,8 @@
 """Partitioned outputs. Files are written by the tasks; nothing passes the driver.
 
 A result with several parts is computed once: its rows are written first, and the parts
-are read from there. Only reports a person reads are sorted.
+are read from there. All parts become visible in one commit (``commits.current`` has the last
+complete export). Only reports a person reads are sorted.
 """
 
 from __future__ import annotations
@@ -15,20 +16,13 @@ from tradeloom.operators.candidates import candidate_summary, flat_candidates
 from tradeloom.operators.explorer import display_rows, explorer_summary
 from tradeloom.operators.inventory import inventory_csv, inventory_summary
 from tradeloom.operators.profiles import csv_cells
+from tradeloom.sinks.commits import Export, current
 
 
 def safe_names(name: str) -> Column:
     return F.expr(safe_stem(safe_filename(name)))
 
 
-def write_json(df: DataFrame, path: str, *partitions: str) -> str:
-    writer = df.write.mode("overwrite")
-    if partitions:
-        writer = writer.partitionBy(*partitions)
-    writer.option("ignoreNullFields", False).json(path)
-    return path
-
-
 def write_csv(df: DataFrame, path: str) -> str:
     (
         df.write.mode("overwrite")
@@ -40,33 +34,24 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def written_once(df: DataFrame, path: str) -> DataFrame:
-    """Rows of ``df`` read back from ``path``, where they are written first."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def write_conversion(converted: DataFrame, path: str, keys: list[str]) -> dict[str, str]:
     """Products, mapping report, validation, leftovers and errors of a conversion.
 
     Rows are keyed by document, so two documents with one GTIN do not overwrite
-    each other. Every document is parsed once: all parts are read from ``converted``.
+    each other. Every document is parsed once: all parts are read from what is written first.
     """
-    converted = written_once(converted, f"{path}/converted")
+    out = Export(converted.sparkSession, path)
+    converted = out.rows(converted, "converted")
     good = converted.filter("error_type IS NULL")
     gtin = F.coalesce("product.gtin", F.lit("unknown")).alias("gtin")
-    outputs = {
-        "products": good.select(*keys, gtin, "jsonld"),
-        "validation": good.select(*keys, gtin, "validation.*"),
-        "unmapped": good.select(*keys, gtin, F.explode("unmapped").alias("u")).select(
-            *keys, "gtin", "u.*"
-        ),
-        "mapping_report": report_rows(converted, keys),
-        "errors": converted.filter("error_type IS NOT NULL").select(
-            *keys, "error_type", "error_message"
-        ),
-    }
-    return {name: write_json(df, f"{path}/{name}") for name, df in outputs.items()}
+    out.json(good.select(*keys, gtin, "jsonld"), "products")
+    out.json(good.select(*keys, gtin, "validation.*"), "validation")
+    unmapped = good.select(*keys, gtin, F.explode("unmapped").alias("u"))
+    out.json(unmapped.select(*keys, "gtin", "u.*"), "unmapped")
+    out.json(report_rows(converted, keys), "mapping_report")
+    failed = converted.filter("error_type IS NOT NULL")
+    out.json(failed.select(*keys, "error_type", "error_message"), "errors")
+    return out.commit()
 
 
 def write_batch(
@@ -77,13 +62,12 @@ def write_batch(
     With ``converted`` (keys ``archive``, ``entry_no``): products, three reports and
     errors, each row under its archive and unique output name.
     """
-    results = written_once(results, f"{path}/results")
-    written = {
-        "files": write_json(results, f"{path}/files", "status"),
-        "summary": write_json(batch_totals(results), f"{path}/summary"),
-    }
+    out = Export(results.sparkSession, path)
+    results = out.rows(results, "results")
+    out.json(results, "files", "status")
+    out.json(batch_totals(results), "summary")
     if converted is None:
-        return written
+        return out.commit()
     keys = ["archive", "entry_no"]
     failed = results.filter("status = 'error'").select(
         *keys, "filename", safe_names("filename").alias("base_name"), F.lit("success").alias("status"),
@@ -94,30 +78,36 @@ def write_batch(
         "filename", "error_type", "error_message",
     )
     named = results.filter("status = 'success'").select(*keys, "output_name").join(converted, keys)
-    named = written_once(named, f"{path}/converted")
+    named = out.rows(named, "converted")
     who = ["archive", "output_name"]
-    parts = {
-        "products": named.select(*who, "jsonld"),
-        "mapping_report": report_rows(named, who),
-        "validation_report": named.select(*who, "validation.*"),
-        "unmapped_fields": named.select(*who, F.explode("unmapped").alias("u")).select(*who, "u.*"),
-        "errors": errors,
-    }
-    return written | {name: write_json(df, f"{path}/{name}") for name, df in parts.items()}
+    out.json(named.select(*who, "jsonld"), "products")
+    out.json(report_rows(named, who), "mapping_report")
+    out.json(named.select(*who, "validation.*"), "validation_report")
+    unmapped = named.select(*who, F.explode("unmapped").alias("u"))
+    out.json(unmapped.select(*who, "u.*"), "unmapped_fields")
+    out.json(errors, "errors")
+    return out.commit()
 
 
 def write_corpus(rows: DataFrame, path: str) -> dict[str, str]:
-    return {
-        "samples": write_json(rows.orderBy("sample_file"), f"{path}/samples"),
-        "summary": write_json(corpus_totals(rows), f"{path}/summary"),
-    }
+    out = Export(rows.sparkSession, path)
+    rows = out.rows(rows, "rows")
+    out.json(rows.orderBy("sample_file"), "samples")
+    out.json(corpus_totals(rows), "summary")
+    return out.commit()
+
+
+def write_sections(sections: dict[str, DataFrame], path: str) -> dict[str, str]:
+    """Named tables of one report."""
+    out = Export(next(iter(sections.values())).sparkSession, path)
+    for name, df in sections.items():
+        out.json(df, name)
+    return out.commit()
 
 
 def write_quality(report: dict[str, DataFrame], path: str) -> dict[str, str]:
     """Findings and coverage sections of a catalog or mapping check."""
-    return {
-        name: write_json(df, f"{path}/section={name}") for name, df in report.items()
-    }
+    return write_sections(report, path)
 
 
 def write_catalog(rows: DataFrame, columns: list[str], path: str) -> str:
@@ -127,93 +117,80 @@ def write_catalog(rows: DataFrame, columns: list[str], path: str) -> str:
 
 def write_reference(datasets: dict[str, DataFrame], path: str) -> dict[str, str]:
     """Normalised reference datasets as JSON and as CSV cells."""
-    written = {}
+    out = Export(next(iter(datasets.values())).sparkSession, path)
     for name, df in datasets.items():
-        df = written_once(df, f"{path}/{name}_rows")
-        written[f"{name}_json"] = write_json(df, f"{path}/{name}_json")
-        written[f"{name}_csv"] = write_csv(csv_cells(df), f"{path}/{name}_csv")
-    return written
+        df = out.rows(df, f"{name}_rows")
+        out.json(df, f"{name}_json")
+        out.csv(csv_cells(df), f"{name}_csv")
+    return out.commit()
 
 
 def write_candidates(rows: DataFrame, path: str) -> dict[str, str]:
-    rows = written_once(rows, f"{path}/candidates")
+    out = Export(rows.sparkSession, path)
+    rows = out.rows(rows, "candidates")
     ordered = rows.orderBy("webvoc_property_id", "rank")
-    return {
-        "json": write_json(ordered.drop("rank"), f"{path}/candidates_json"),
-        "csv": write_csv(flat_candidates(ordered).drop("rank"), f"{path}/candidates_csv"),
-        "summary": write_json(candidate_summary(rows), f"{path}/summary"),
-    }
+    out.json(ordered.drop("rank"), "json")
+    out.csv(flat_candidates(ordered).drop("rank"), "csv")
+    out.json(candidate_summary(rows), "summary")
+    return out.commit()
 
 
 def write_explorer(
     properties: DataFrame, evidence: DataFrame, path: str
 ) -> dict[str, str]:
-    properties = written_once(properties, f"{path}/properties")
-    return {
-        "evidence_json": write_json(evidence, f"{path}/evidence_json"),
-        "properties_json": write_json(properties, f"{path}/properties_json"),
-        "properties_csv": write_csv(display_rows(properties), f"{path}/properties_csv"),
-        "summary": write_json(explorer_summary(properties), f"{path}/summary"),
-    }
+    out = Export(properties.sparkSession, path)
+    properties = out.rows(properties, "properties")
+    out.json(evidence, "evidence_json")
+    out.json(properties, "properties_json")
+    out.csv(display_rows(properties), "properties_csv")
+    out.json(explorer_summary(properties), "summary")
+    return out.commit()
 
 
 def write_snapshot(
     sources: dict[str, DataFrame], metadata: DataFrame, path: str, version: str
 ) -> dict[str, str]:
-    """A new snapshot version in its own folder, complete or not visible.
-
-    Readers go by the versions listed in ``path/versions``; the new one is added when
-    all its files are there, in one commit.
-    """
-    written = {}
+    """A new snapshot version in its own folder, complete or not visible; a version is written once."""
+    out = Export(metadata.sparkSession, path, version)
     for name, df in sources.items():
-        written[name] = f"{path}/{version}/{name}"
-        df.write.mode("errorifexists").text(written[name])
-    written["metadata"] = write_json(metadata, f"{path}/{version}/metadata")
-    added = metadata.sparkSession.range(1).select(
-        F.lit(version).alias("version"), F.current_timestamp().alias("written_at")
-    )
-    added.coalesce(1).write.mode("append").parquet(f"{path}/versions")
-    return written
+        out.text(df, name)
+    out.json(metadata, "metadata")
+    return out.commit()
 
 
 def current_snapshot(spark: SparkSession, path: str) -> str:
     """Folder of the last complete version."""
-    last = spark.read.parquet(f"{path}/versions").orderBy(F.desc("written_at")).first()
-    return f"{path}/{last.version}"
+    return current(spark, path)["metadata"].rpartition("/")[0]
 
 
 def write_update_report(report: dict[str, DataFrame], path: str) -> dict[str, str]:
     """Sections of a vocabulary update check."""
-    return {name: write_json(df, f"{path}/{name}") for name, df in report.items()}
+    return write_sections(report, path)
 
 
 def write_inventory(rows: DataFrame, path: str) -> dict[str, str]:
-    return {
-        "json": write_json(rows, f"{path}/inventory_json"),
-        "csv": write_csv(inventory_csv(rows), f"{path}/inventory_csv"),
-        "summary": write_json(inventory_summary(rows), f"{path}/summary"),
-    }
+    out = Export(rows.sparkSession, path)
+    rows = out.rows(rows, "inventory")
+    out.json(rows, "json")
+    out.csv(inventory_csv(rows), "csv")
+    out.json(inventory_summary(rows), "summary")
+    return out.commit()
 
 
 def write_passports(validated: DataFrame, summary: DataFrame, path: str) -> dict[str, str]:
-    return {
-        "passports": write_json(validated.select("passport_id", "passport"), f"{path}/passports"),
-        "validation": write_json(
-            validated.select("passport_id", "validation_status", "errors", "warnings"),
-            f"{path}/validation",
-        ),
-        "summary": write_json(summary, f"{path}/summary"),
-    }
+    out = Export(validated.sparkSession, path)
+    out.json(validated.select("passport_id", "passport"), "passports")
+    out.json(validated.select("passport_id", "validation_status", "errors", "warnings"), "validation")
+    out.json(summary, "summary")
+    return out.commit()
 
 
 def write_backlog(backlog: DataFrame, path: str, output_format: str = "all") -> dict[str, str]:
     if output_format not in ("all", "json", "csv"):
         raise ValueError("--format must be one of: all, json, csv")
-    written = {}
+    out = Export(backlog.sparkSession, path)
     if output_format in ("all", "json"):
-        written["json"] = write_json(backlog.drop("pos"), f"{path}/backlog_json")
+        out.json(backlog.drop("pos"), "json")
     if output_format in ("all", "csv"):
-        cells = csv_cells(backlog.orderBy("pos").select(*BACKLOG_CSV_COLUMNS))
-        written["csv"] = write_csv(cells, f"{path}/backlog_csv")
-    return written
+        out.csv(csv_cells(backlog.orderBy("pos").select(*BACKLOG_CSV_COLUMNS)), "csv")
+    return out.commit()
