@@ -11,6 +11,7 @@ from tradeloom.fixed import (
 from tradeloom.functions import any_of, first_match, q, strings
 from tradeloom.functions.text import strip, term_tokens
 from tradeloom.operators.extract import with_columns
+from tradeloom.operators.seams import seams
 
 EVIDENCE_FIELDS = {
     "canonical_field": "canonical_field", "jsonld_property": "jsonld_property",
@@ -139,47 +140,62 @@ def governance_by_term(evidence: DataFrame, backlog: DataFrame) -> DataFrame:
     ).selectExpr("term_id", "transform(g, x -> x.reference) AS governance")
 
 
+def _cells(prefix: str, *names: str) -> list[str]:
+    return [f"coalesce({prefix}{name}, '')" for name in names]
+
+
+def _own_words(*lists: str) -> str:
+    joined = [f"coalesce(array_join({name}, ' '), '')" for name in lists]
+    return f"lower(concat_ws(' ', {', '.join([*_cells('', 'term_id', 'label', 'comment'), *joined])}))"
+
+
+def _words_in_order(properties: DataFrame, own: str, said: DataFrame) -> DataFrame:
+    """``term_id, place, words``: a property's own words, then those of its evidence (``said``)."""
+    first = properties.selectExpr("term_id", "CAST(-1 AS bigint) AS place", f"{own} AS words")
+    return first.unionByName(said.join(properties.select("term_id"), "term_id", "left_semi"))
+
+
 def explore(properties: DataFrame, rows: DataFrame, backlog: DataFrame) -> DataFrame:
     """Attach coverage, topic, evidence counts and governance to properties.
 
     Evidence itself stays in long form (``evidence_by_term``): here it is only
     aggregated, so a property named by very many catalog rows costs no more than
-    any other. Governance lists are distinct decisions, bounded by the backlog.
+    any other. Topic words count across the seams of evidence rows too. Governance lists are
+    distinct decisions, bounded by the backlog.
     """
     evidence = evidence_by_term(rows)
-    said = (
-        "lower(concat_ws(' ', evidence.canonical_field, evidence.scope_group, "
-        "evidence.source_attribute_name, evidence.jsonld_property))"
+    per_term = evidence.groupBy("term_id").agg(
+        F.count("*").alias("evidence_count"),
+        F.expr("bool_or(evidence.bms_id <> '' OR evidence.gdsn_xpath <> '')")
+        .alias("has_source_evidence"),
+        strongest_coverage("coverage").alias("coverage_status"),
     )
-    per_term = (
-        with_columns(evidence, {"_said": said})
-        .groupBy("term_id")
-        .agg(
-            F.count("*").alias("evidence_count"),
-            F.expr("bool_or(evidence.bms_id <> '' OR evidence.gdsn_xpath <> '')")
-            .alias("has_source_evidence"),
-            strongest_coverage("coverage").alias("coverage_status"),
-            F.min(F.expr(topic_rank("_said"))).alias("_said_rank"),
-        )
+    cells = _cells("evidence.", "canonical_field", "scope_group", "source_attribute_name", "jsonld_property")
+    said = evidence.selectExpr(
+        "term_id", "CAST(row_number AS bigint) AS place", f"lower(concat_ws(' ', {', '.join(cells)})) AS words"
     )
-    joined = properties.join(per_term, "term_id", "left").join(
-        governance_by_term(evidence, backlog), "term_id", "left"
+    words = _words_in_order(properties, _own_words("domain", "range", "sub_property_of"), said)
+    searched = [w for _, group in TOPIC_GROUPS for w in group]
+    crossing = seams(
+        words, "term_id", "place", "words",
+        longest=max(map(len, searched)), blanks=max(w.count(" ") for w in searched),
     )
-    own = (
-        "lower(concat_ws(' ', term_id, label, comment, concat_ws(' ', domain), "
-        "concat_ws(' ', range), concat_ws(' ', sub_property_of)))"
+    topics = (
+        words.select("term_id", "words").union(crossing)
+        .groupBy("term_id").agg(F.min(F.expr(topic_rank("words"))).alias("_said_rank"))
     )
-    worded = with_columns(
+    joined = properties
+    for side in (per_term, topics, governance_by_term(evidence, backlog)):
+        joined = joined.join(side, "term_id", "left")
+    return with_columns(
         joined,
         {
             "coverage_status": "coalesce(coverage_status, 'unmapped')",
             "evidence_count": "coalesce(evidence_count, 0L)",
             "has_source_evidence": "coalesce(has_source_evidence, false)",
-            "_words": own,
+            "group": topic_name(f"least({topic_rank(q(''), 'is_link_type')}, _said_rank)"),
         },
-    )
-    rank = f"least({topic_rank('_words', 'is_link_type')}, _said_rank)"
-    return worded.withColumn("group", F.expr(topic_name(rank))).drop("_words", "_said_rank")
+    ).drop("_said_rank")
 
 
 def explorer_counts(properties: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -230,7 +246,7 @@ def filter_properties(
 ) -> DataFrame:
     """Explorer filter; empty options do not restrict.
 
-    The search text may occur in the property or in any of its evidence rows.
+    The search text may occur in the property, in its evidence, or across their seams.
     """
     tests = []
     if group not in ("", "All groups"):
@@ -249,23 +265,28 @@ def filter_properties(
 def search_properties(properties: DataFrame, evidence: DataFrame, searches: list[str]) -> DataFrame:
     """``search`` and the properties it hits, for several search texts in one evaluation.
 
-    A text hits if it occurs in the property's own words or in one of its evidence
-    rows; it is not looked for across the seam of two rows. Evidence is reduced to the
-    texts it holds per term, so either side is read once.
+    A text hits if it occurs in the property's own words followed by those of its evidence, one
+    column after the other, rows in order, all with a blank between them. Neither
+    the words of a property nor its hits are gathered beyond the texts searched for.
     """
-    texts = strings(t.strip().lower() for t in searches)
-
-    def held(words: str) -> str:
-        return f"filter({texts}, t -> contains(lower({words}), t))"
-
-    cells = ", ".join(
-        f"evidence.{name}" for name in ("canonical_field", "bms_id", "gdsn_xpath",
-                                        "source_attribute_name", "jsonld_property")
+    wanted = [t.strip().lower() for t in searches]
+    texts = strings(wanted)
+    cells = _cells("evidence.", "canonical_field", "bms_id", "gdsn_xpath", "source_attribute_name", "jsonld_property")
+    # A column's rows come one after the other, then the next column's.
+    placed = evidence.selectExpr(
+        "term_id", "CAST(row_number AS bigint) AS row_number",
+        f"posexplode(array({', '.join(cells)})) AS (column, words)",
+    )
+    last = evidence.agg(F.max("row_number").alias("last"))
+    said = placed.join(F.broadcast(last)).selectExpr(
+        "term_id", "column * (last + 1) + row_number AS place", "lower(words) AS words"
+    )
+    words = _words_in_order(properties, _own_words("domain", "range"), said)
+    crossing = seams(
+        words, "term_id", "place", "words",
+        longest=max(map(len, wanted)), blanks=max(t.count(" ") for t in wanted),
     )
-    hits = evidence.selectExpr("term_id", f"explode({held(f'concat_ws(chr(32), {cells})')}) AS hit")
-    by_term = hits.groupBy("term_id").agg(F.collect_set("hit").alias("_in_evidence"))
-    own = held("concat_ws(' ', term_id, label, comment, concat_ws(' ', domain), concat_ws(' ', range))")
-    return properties.join(by_term, "term_id", "left").selectExpr(
-        f"explode(array_union({own}, coalesce(_in_evidence, array()))) AS search",
-        *properties.columns,
+    hits = words.select("term_id", "words").union(crossing).selectExpr(
+        "term_id", f"explode(filter({texts}, t -> contains(words, t))) AS search"
     )
+    return properties.join(hits.distinct(), "term_id").select("search", *properties.columns)
