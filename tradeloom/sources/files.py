@@ -69,14 +69,19 @@ _PART_BYTES, _PART_ENTRIES, _BATCH_ROWS = 16 << 20, 2000, 5000
 _NO_ENTRIES = b"PK\x05\x06" + bytes(18)
 
 
-def opened(uri: str) -> pa.NativeFile:
-    """A file of any store that tasks reach directly, to be read by ranges."""
+def store_of(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The store behind an address, as tasks reach it directly, and the path in it."""
     scheme, _, rest = uri.partition(":")
     if scheme == "file":
         uri = "/" + rest.lstrip("/")
     elif scheme == "s3a":
         uri = f"s3:{rest}"
-    store, path = pa.fs.FileSystem.from_uri(uri)
+    return pa.fs.FileSystem.from_uri(uri)
+
+
+def opened(uri: str) -> pa.NativeFile:
+    """A file to be read by ranges."""
+    store, path = store_of(uri)
     return store.open_input_file(path)
 
 
