@@ -289,7 +289,7 @@ def test_linked_values_of_any_depth(spark):
 
     cases = [None, "a", 5, [], {}, [[["a"]], ["b"], "c"], [[[[[["deep"], {"@list": [["x", {"@id": "y"}]]}]]]]],
              {"@list": [{"@list": [["p"], "[q"]}]}, [{"@value": "v", "@id": "i"}, {"@list": ["a", "b"]}, {"other": 1}, None, [[]]],
-             {"@id": "i", "@list": ["z"]}, ["x", ["", "y"]]]
+             {"@id": "i", "@list": ["z"]}, ["x", ["", "y"]], "[" * 100_000, ["[" * 100_000, 'say "[" \\', ["]"]]]
     rows = spark.createDataFrame([(k, json.dumps(c)) for k, c in enumerate(cases)], "k int, j string")
     got = rows.selectExpr("k", "parse_json(j) AS v").selectExpr(
         "k", f"{linked.values('v')} AS found", f"{linked.text('v')} AS shown").orderBy("k").collect()

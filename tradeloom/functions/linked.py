@@ -2,7 +2,7 @@
 
 A value may be a scalar, a list, ``{"@id"}``, ``{"@value"}`` or ``{"@list"}``.
 Lists are followed as deep as they go: each pass opens one level, and there are as many
-passes as the value has opening brackets; passes that find no list only look.
+passes as lists are nested. Values that are no lists and hold none skip all that.
 """
 
 from __future__ import annotations
@@ -62,15 +62,34 @@ def _listed(v: str) -> str:
     return f"CASE WHEN {is_array(v)} THEN {v} WHEN {is_object(v)} AND {plain} THEN {listed} END"
 
 
+def list_depth(v: str) -> str:
+    """How deep lists are nested in a value; brackets inside its texts do not count. Linear in its length."""
+    quoted = q(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"')
+    others = q(r"[^\[\]]")
+    brackets = f"regexp_replace(regexp_replace(to_json({v}), {quoted}, ''), {others}, '')"
+    so_far, bracket = fresh("depth"), fresh("bracket")
+    now = f"{so_far}.now + IF({bracket} = '[', 1, -1)"
+    return (
+        f"aggregate(split({brackets}, ''), named_struct('now', 0, 'most', 0), ({so_far}, {bracket}) -> "
+        f"named_struct('now', {now}, 'most', greatest({so_far}.most, {now})), {so_far} -> {so_far}.most)"
+    )
+
+
+def _opened(v: str, listed, inner) -> str:
+    """Entries of a value after opening ``inner(entry)`` of all entries that are ``listed(entry)``, level by level."""
+    found, level = fresh("found"), fresh("level")
+    opened = transform(found, inner)
+    return (
+        f"IF({is_array(v)} OR {is_object(v)}, aggregate(sequence(0, {list_depth(v)}), {items(v)}, ({found}, {level}) -> "
+        f"IF({some(found, listed)}, flatten({opened}), {found})), {items(v)})"
+    )
+
+
 def values(v: str) -> str:
     """All identifiers and literals of a value, as an array of text."""
-    brackets = f"regexp_count(to_json({v}), '\\\\[')"
-    found, step = fresh("found"), fresh("step")
-    opened = transform(found, lambda x: let(_listed(x), lambda i: f"IF({i} IS NULL, array({x}), {items(i)})"))
-    nested = some(found, lambda x: f"{_listed(x)} IS NOT NULL")
-    flat = (
-        f"aggregate(sequence(0, coalesce({brackets}, 0)), {items(v)}, "
-        f"({found}, {step}) -> IF({nested}, flatten({opened}), {found}))"
+    flat = _opened(
+        v, lambda x: f"{_listed(x)} IS NOT NULL",
+        lambda x: let(_listed(x), lambda i: f"IF({i} IS NULL, array({x}), {items(i)})"),
     )
     return f"flatten({transform(flat, _leaf)})"
 
@@ -88,14 +107,7 @@ def text(v: str, list_separator: str = "; ") -> str:
             "ELSE '' END"
         )
 
-    brackets = f"regexp_count(to_json({v}), '\\\\[')"
-    found, step = fresh("found"), fresh("step")
-    opened = transform(found, items)
-    flat = (
-        f"aggregate(sequence(0, coalesce({brackets}, 0)), {items(v)}, ({found}, {step}) -> "
-        f"IF({some(found, is_array)}, flatten({opened}), {found}))"
-    )
-    parts = keep(transform(flat, one), lambda t: f"{t} <> ''")
+    parts = keep(transform(_opened(v, is_array, items), one), lambda t: f"{t} <> ''")
     return f"array_join({parts}, '; ')"
 
 
