@@ -262,6 +262,14 @@ def test_lines_are_numbered_across_partitions(spark):
     assert got == [(i, n) for n, i in enumerate((i for i in range(100) if i % 3 != 1), start=2)]
 
 
+def test_positions_follow_the_order(spark):
+    rows = spark.range(500, numPartitions=6).selectExpr("id", "id * 7919 % 503 AS v", "IF(id % 3 = 0, NULL, 'k') AS k")
+    got = ranking.number_sorted(rows, [F.col("k").asc_nulls_last(), F.col("v").desc()], "n").collect()
+    want = sorted(got, key=lambda r: (r.k is None, -r.v))
+    assert [r.n for r in want] == list(range(1, 501))
+    assert ranking.number_sorted(rows.limit(0), [F.col("v")], "n").count() == 0
+
+
 def test_duplicates_ignore_blanks(spark):
     rows = spark.createDataFrame([(v,) for v in ["a", "a ", "b", "", " ", "c", "c", "c"]], "v string")
     assert [tuple(r) for r in ranking.duplicate_values(rows, "v").collect()] == [("c", 3), ("a", 2)]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tradeloom.functions import keep, q
 from tradeloom.functions.text import safe_filename, safe_stem
 from tradeloom.operators.extract import with_columns
+from tradeloom.operators.ranking import number_rows
 from tradeloom.operators.validate import validation_status
 from tradeloom.plans.convert import convert
 from tradeloom.sources.profile import Profile
@@ -48,27 +49,40 @@ def file_results(converted: DataFrame, name: str) -> DataFrame:
 def output_names(results: DataFrame) -> DataFrame:
     """Add ``output_name``: unique per archive, ``x``, ``x_2``… in entry order.
 
-    A suffixed name may itself be another file's base name, so the choice is
-    sequential. One task names the entries of one archive, whose directory one task
-    has read before; each base remembers its last suffix, so the pass is linear.
+    A suffixed name may itself be another file's base name. That can only happen within a
+    family of bases that differ in trailing numbers, so a base alone in its family is numbered
+    in chunks, however often it repeats. Only families of several bases are settled
+    one after the other, each in one task; a base remembers its last suffix there.
     """
     schema = T.StructType(results.schema.fields + [T.StructField("output_name", T.StringType())])
+    named = results.where("status = 'success'").withColumn(
+        "_family", F.regexp_replace("base_name", r"(?:_[0-9]+)+\z", "")
+    )
+    mixed = (
+        named.groupBy("archive", "_family")
+        .agg(F.min("base_name").alias("_least"), F.max("base_name").alias("_most"))
+        .where("_least <> _most")
+    )
+    family = ["archive", "_family"]
 
-    def name_entries(table: pa.Table) -> pa.Table:
+    def settle(table: pa.Table) -> pa.Table:
         table = table.sort_by("entry_no")
         used, last, names = set(), {}, []
-        for base, status in zip(
-            table["base_name"].to_pylist(), table["status"].to_pylist(), strict=True
-        ):
-            name = "" if status != "success" else base
-            while name and name in used:
+        for base in table["base_name"].to_pylist():
+            name = base
+            while name in used:
                 last[base] = last.get(base, 1) + 1
                 name = f"{base}_{last[base]}"
             used.add(name)
             names.append(name)
-        return table.append_column("output_name", pa.array(names, pa.string()))
-
-    return results.groupBy("archive").applyInArrow(name_entries, schema)
+        return table.drop_columns(["_family"]).append_column("output_name", pa.array(names, pa.string()))
+
+    alone = number_rows(named.join(mixed, family, "left_anti"), ["archive", "base_name"], "entry_no")
+    suffix = F.when(F.col("number") == 1, "").otherwise(F.concat(F.lit("_"), "number"))
+    numbered = alone.withColumn("output_name", F.concat("base_name", suffix)).select(*schema.names)
+    settled = named.join(mixed, family, "left_semi").select(*named.columns).groupBy(*family).applyInArrow(settle, schema)
+    others = results.where("status <> 'success' OR status IS NULL").withColumn("output_name", F.lit(""))
+    return numbered.union(settled).union(others.select(*schema.names))
 
 
 def convert_archives(

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tradeloom.staging import staged
+
 
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """At most ``k`` rows per group; adds ``rank``."""
@@ -59,8 +61,22 @@ def number_lines(rows: DataFrame, name: str, first: int = 0) -> DataFrame:
     Two narrow passes over a deterministic scan: only one count per partition is
     gathered, no row moves.
     """
+    return _number_ids(rows.withColumn("_id", F.monotonically_increasing_id()), name, first)
+
+
+def number_sorted(rows: DataFrame, order: list[Column], name: str, first: int = 1) -> DataFrame:
+    """Add the position of each row in the given order, as data: it survives writing in many files.
+
+    Rows are dealt out by ranges of the order, whose bounds Spark samples, and sorted there; the
+    ranges' counts give each its offset. Rows equal in all of ``order`` come in any order.
+    """
+    ranged = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    return _number_ids(staged(ranged, "ranges"), name, first)
+
+
+def _number_ids(tagged: DataFrame, name: str, first: int) -> DataFrame:
+    """Consecutive numbers from generated ids ``_id``, whose partitions follow each other."""
     bits = 33  # where the generated id keeps its partition number
-    tagged = rows.withColumn("_id", F.monotonically_increasing_id())
     partition = F.shiftright("_id", bits)
     sizes = tagged.groupBy(partition.alias("_p")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

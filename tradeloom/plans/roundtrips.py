@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tradeloom.fixed import PASSPORT_SECTORS, PASSPORT_SOURCE_TYPES
 from tradeloom.functions import q
 from tradeloom.functions.jsontext import json_object, json_string
-from tradeloom.operators import explorer, structure
+from tradeloom.operators import batch, explorer, structure
 from tradeloom.plans import workloads
 from tradeloom.plans.convert import convert
 from tradeloom.plans.messages import spread
@@ -120,6 +120,34 @@ def export_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+@workload("""SELECT p_partkey || '.xml' AS file, CAST(row_number() OVER (ORDER BY p_partkey || '.xml') AS BIGINT) AS position FROM part""")
+def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of a corpus report, written in many files, read back as data."""
+    folder = shared_folder(spark, "corpus")
+    sent = workloads.faulty_messages(spark, sf_dir).selectExpr("concat(p_partkey, '.xml') AS file_name", "content")
+    writers.write_corpus(batch.corpus_rows(convert(sent), "file_name"), folder)
+    rows = spark.read.schema("sample_file string, position bigint").json(commits.current(spark, folder)["samples"])
+    return rows.select(F.col("sample_file").alias("file"), "position")
+
+
+@workload("""SELECT archive, CAST(entry_no AS INTEGER) AS entry_no, CASE WHEN r = 1 AND NOT (k = 2 AND coalesce(first_of_x_2 > second_of_x, false)) THEN base
+      WHEN k = 0 THEN base || '_' || r WHEN k = 1 THEN base || '_' || (r + CASE WHEN first_of_x_2 < second_of_x THEN 1 ELSE 0 END)
+      ELSE base || '_' || (r + CASE WHEN first_of_x_2 > second_of_x THEN 1 ELSE 0 END) END AS output_name
+    FROM (SELECT *, row_number() OVER (PARTITION BY archive, base ORDER BY entry_no) AS r,
+        min(CASE WHEN k = 2 THEN entry_no END) OVER (PARTITION BY archive) AS first_of_x_2,
+        min(CASE WHEN k = 1 AND n = 2 THEN entry_no END) OVER (PARTITION BY archive) AS second_of_x
+      FROM (SELECT *, row_number() OVER (PARTITION BY archive, base ORDER BY entry_no) AS n FROM (
+        SELECT p_brand AS archive, p_partkey AS entry_no, CASE p_size % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS k,
+          CASE p_size % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'x_2' ELSE p_type END AS base FROM part)))""")
+def archive_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry names where one base looks like another's second copy."""
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "p_brand AS archive", "CAST(p_partkey AS int) AS entry_no",
+        "CASE p_size % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'x_2' ELSE p_type END AS base_name", "'success' AS status",
+    )
+    return batch.output_names(rows).select("archive", "entry_no", "output_name")
+
+
 # --- Manifests -----------------------------------------------------------------------
 
 _GOOD = PASSPORT_SOURCE_TYPES[0], PASSPORT_SECTORS[0]

@@ -16,6 +16,7 @@ from tradeloom.operators.candidates import candidate_summary, flat_candidates
 from tradeloom.operators.explorer import display_rows, explorer_summary
 from tradeloom.operators.inventory import inventory_csv, inventory_summary
 from tradeloom.operators.profiles import csv_cells
+from tradeloom.operators.ranking import number_sorted
 from tradeloom.sinks.commits import Export, current
 
 
@@ -92,7 +93,7 @@ def write_batch(
 def write_corpus(rows: DataFrame, path: str) -> dict[str, str]:
     out = Export(rows.sparkSession, path)
     rows = out.rows(rows, "rows")
-    out.json(rows.orderBy("sample_file"), "samples")
+    out.json(number_sorted(rows, [F.col("sample_file")], "position"), "samples")
     out.json(corpus_totals(rows), "summary")
     return out.commit()
 
@@ -128,9 +129,10 @@ def write_reference(datasets: dict[str, DataFrame], path: str) -> dict[str, str]
 def write_candidates(rows: DataFrame, path: str) -> dict[str, str]:
     out = Export(rows.sparkSession, path)
     rows = out.rows(rows, "candidates")
-    ordered = rows.orderBy("webvoc_property_id", "rank")
-    out.json(ordered.drop("rank"), "json")
-    out.csv(flat_candidates(ordered).drop("rank"), "csv")
+    ordered = number_sorted(rows, [F.col("webvoc_property_id"), F.col("rank")], "position").drop("rank")
+    ordered = out.rows(ordered, "ordered")
+    out.json(ordered, "json")
+    out.csv(flat_candidates(ordered), "csv")
     out.json(candidate_summary(rows), "summary")
     return out.commit()
 
