@@ -63,7 +63,7 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> str:
 def main(sf_dir: str, names: list[str]) -> int:
     from tests.conftest import make_session
 
-    from tradeloom.plans.roundtrips import ORACLES, WORKLOADS
+    from tradeloom.plans.details import ORACLES, WORKLOADS
 
     spark, con, failed = make_session(), connect(sf_dir), 0
     for name, query in WORKLOADS.items():

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from tests.oracle import compare, connect
-from tradeloom.plans.roundtrips import ORACLES, WORKLOADS
+from tradeloom.plans.details import ORACLES, WORKLOADS
 
 SF = "/root/testdata/sf0.001"
 
