@@ -12,6 +12,7 @@ from tradeloom.operators.ranking import number_rows
 from tradeloom.operators.validate import validation_status
 from tradeloom.plans.convert import convert
 from tradeloom.sources.profile import Profile
+from tradeloom.staging import staged
 
 _FOUND = f"size({keep('mapping_report', lambda r: f'{r}.found')})"
 
@@ -49,21 +50,20 @@ def file_results(converted: DataFrame, name: str) -> DataFrame:
 def output_names(results: DataFrame) -> DataFrame:
     """Add ``output_name``: unique per archive, ``x``, ``x_2``… in entry order.
 
-    A suffixed name may itself be another file's base name. That can only happen within a
-    family of bases that differ in trailing numbers, so a base alone in its family is numbered
-    in chunks, however often it repeats. Only families of several bases are settled
-    one after the other, each in one task; a base remembers its last suffix there.
+    A suffixed name may itself be another file's base name. A base that is no other's numbered
+    form, and has none among the others, is numbered in chunks, however often it repeats. Only
+    bases linked in that way are settled one after the other, each family of them in one
+    task; a base remembers its last suffix there. The rows are staged, as several steps read them.
     """
     schema = T.StructType(results.schema.fields + [T.StructField("output_name", T.StringType())])
-    named = results.where("status = 'success'").withColumn(
-        "_family", F.regexp_replace("base_name", r"(?:_[0-9]+)+\z", "")
-    )
-    mixed = (
-        named.groupBy("archive", "_family")
-        .agg(F.min("base_name").alias("_least"), F.max("base_name").alias("_most"))
-        .where("_least <> _most")
-    )
-    family = ["archive", "_family"]
+    results = staged(results, "results")  # what they come from, often a conversion, runs once
+    named = results.where("status = 'success'")
+    bases = named.select("archive", "base_name").distinct()
+    plain = F.regexp_replace("base_name", r"_(?:[2-9]|[1-9][0-9]+)\z", "")
+    numbered_form = bases.withColumn("plain", plain).where("plain <> base_name")
+    links = numbered_form.join(bases.withColumnRenamed("base_name", "plain"), ["archive", "plain"])
+    linked = links.select("archive", "base_name").union(links.select("archive", "plain")).distinct()
+    key = ["archive", "base_name"]
 
     def settle(table: pa.Table) -> pa.Table:
         table = table.sort_by("entry_no")
@@ -77,10 +77,13 @@ def output_names(results: DataFrame) -> DataFrame:
             names.append(name)
         return table.drop_columns(["_family"]).append_column("output_name", pa.array(names, pa.string()))
 
-    alone = number_rows(named.join(mixed, family, "left_anti"), ["archive", "base_name"], "entry_no")
+    alone = number_rows(named.join(linked, key, "left_anti"), key, "entry_no")
     suffix = F.when(F.col("number") == 1, "").otherwise(F.concat(F.lit("_"), "number"))
     numbered = alone.withColumn("output_name", F.concat("base_name", suffix)).select(*schema.names)
-    settled = named.join(mixed, family, "left_semi").select(*named.columns).groupBy(*family).applyInArrow(settle, schema)
+    together = named.join(linked, key, "left_semi").select(*results.columns).withColumn(
+        "_family", F.regexp_replace("base_name", r"(?:_[0-9]+)+\z", "")
+    )
+    settled = together.groupBy("archive", "_family").applyInArrow(settle, schema)
     others = results.where("status <> 'success' OR status IS NULL").withColumn("output_name", F.lit(""))
     return numbered.union(settled).union(others.select(*schema.names))
 
