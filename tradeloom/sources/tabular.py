@@ -21,11 +21,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Mapping catalog: cells trimmed, missing cells empty, rows numbered.
 
-    ``row_number`` is the line a reader of the file would count (header = 1).
+    ``row_number`` is the line a reader of the file would count (header = 1); rows come in that order.
     """
     raw = csv_table(spark, path, number="row_number", first=2)
     cells = [trimmed(c) for c in raw.columns if c != "row_number"]
-    return raw.selectExpr(*cells, "row_number")
+    return raw.selectExpr(*cells, "row_number").orderBy("row_number")
 
 
 def trimmed(column: str) -> str:
