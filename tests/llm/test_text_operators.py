@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import unicodedata
 
 import duckdb
@@ -264,6 +265,28 @@ def test_added_kinds_at_boundaries(spark):
     assert [r.text for r in clean] == ["Call me at [LOCAL_PHONE].", "IBAN [IBAN] El titular"]
 
 
+def test_many_matches_take_no_square_of_steps(spark):
+    card = "4012888888881881"
+    texts = [card + " x" + " 12 x" * 50_000, "call a@b.co or +1 (499) 555-6503, ssn 123-45-6789; " * 4000, "é 1.2.3.4 " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    begin = time.monotonic()
+    got = {r.doc_id: r for r in pii.pii_digest(docs).collect()}
+    assert time.monotonic() - begin < 60
+    for k, text in enumerate(texts):
+        found = base_spans(text)
+        assert got[k].base_sha256 == hashlib.sha256(",".join(f"{kind}:{a}:{b}" for a, _, b, kind in found).encode()).hexdigest()
+    assert got[1].spans.count("ssn") == 4000 and got[0].spans == "card:0:16"
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[1] == "call [EMAIL] or [PHONE], ssn [SSN]; " * 4000 and clean[2] == "é [IP] " * 20_000
+
+
+def test_spans_touched_by_base_spans(spark):
+    rows = [(1, "call +1 555-123-4567 or 555-123-4567"), (2, "tel 555-123-4567@x.yz 555-123-4567 " * 30), (3, "ssn 123-45-6789@a.b")]
+    got = {r.doc_id: r.spans for r in pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "phone:5:20,local_phone:24:36"
+    assert got[2] == ",".join(f"email:{k + 4}:{k + 21},local_phone:{k + 22}:{k + 34}" for k in range(0, 30 * 35, 35)) and got[3] == "email:4:19"
+
+
 def test_spans_equal_sql_twin(spark):
     docs = [(k, text) for k, text in enumerate(CASES) if len(text or "") < 1000]
     mine = {tuple(r) for r in pii.pii_digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
