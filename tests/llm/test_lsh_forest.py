@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tradeloom.llm import lsh_forest as forest
@@ -86,7 +87,55 @@ def test_id_with_two_texts(spark):
     text = " ".join(f"w{k}" for k in range(50))
     docs = spark.createDataFrame([(1, text), (1, text.upper()), (2, text.upper())], "doc_id long, text string")
     assert {r.class_id for r in forest.near_duplicates(docs).collect()} == {1}
-    assert [r.doc_id for r in forest.keep_one(docs).collect()] == [1]
+    assert [r.doc_id for r in forest.keep_one(docs).collect()] == [1, 1]
+
+
+def test_ids_with_two_texts_keep_all_links(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b, near_a, near_b = (" ".join(w) for w in (words, words[::-1], [*words[:-1], "x"], [*words[:0:-1], "y"]))
+    rows = [(1, a, 1), (1, b, 1), (1, b.replace(" ", "\n"), 2), (2, near_a, 1), (3, near_b, 1), (4, "", 1), (4, None, 1), (4, "", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    got = sorted((r.doc_id, r.class_id, r.text_id, r.n_links) for r in forest.near_duplicates(docs).collect())
+    assert got == [(1, 1, 1, 1)] * 3 + [(2, 1, 2, 1), (3, 1, 3, 1)] + [(4, 4, 4, 0)] * 3
+    kept = sorted(((r.doc_id, r.text or "", r.n) for r in forest.keep_one(docs).collect()))
+    assert kept == sorted([(1, a, 1), (1, b.replace(" ", "\n"), 2), (4, "", 1)])
+    assert forest.keep_one(docs).columns == docs.columns
+
+
+def test_blocks_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(forest, "BLOCK_BYTES", 3000)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class_id string").repartition(7)
+    got = forest.near_duplicates(docs).collect()
+    assert {r.doc_id: (r.class_id, r.text_id, r.n_links) for r in got if r.doc_id is not None} == brute(rows)
+
+
+@pytest.mark.parametrize(("held", "size"), [(100_000, 1000), (100_000, 3), (2, 1), (2, 7)])
+def test_nodes_of_several_groups(monkeypatch, held, size):
+    monkeypatch.setattr(forest, "HELD", held)
+    chance = random.Random(size)
+    rows = sorted((chance.randrange(40), chance.randrange(3), k) for k in range(150))
+    rows += [(50, 9, 1000 + k) for k in range(10)] + [(60, 9, 2000 + k) for k in range(9)] + [(60, 8, 2010), (60, 9, 2011)]
+    batches = [forest.batch_of(pa.schema([(n, pa.int64()) for n in ("key", "group", "vertex")]), list(zip(*rows[k : k + size], strict=True)))
+               for k in range(0, len(rows), size)]
+    got = [row for batch in forest._mixed_nodes(iter(batches)) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    groups = {key: {g for k, g, _ in rows if k == key} for key, *_ in rows}
+    must = [(key, vertex) for key, _, vertex in rows if len(groups[key]) > 1]
+    assert len(got) == len(set(got)) and set(must) <= set(got) and [k for k, _ in got] == sorted(k for k, _ in got)
+    if held > len(rows):
+        assert got == must
+
+
+def test_labels_are_prefixes_of_tries():
+    chance = np.random.default_rng(2)
+    least = chance.integers(0, 2**32, 40 * 8 + 8 * 4).astype(np.uint32)
+    deep, shallow = least.copy(), least.copy()
+    deep[40 * 8 + 8 * 3 : 40 * 8 + 8 * 3 + 4] ^= 1  # the twelfth level of four trees
+    shallow[40 * 7 :] ^= 1  # the eighth of all
+    label = forest.labels_of(least, 40, 8, 8, 12)
+    same = forest.labels_of(deep, 40, 8, 8, 12)
+    assert (label == same).tolist() == [False] * 4 + [True] * 36 and (label >> forest.TAIL == same >> forest.TAIL).all()
+    assert not (label >> forest.TAIL == forest.labels_of(shallow, 40, 8, 8, 12) >> forest.TAIL).any()
 
 
 def test_empty_table(spark):

@@ -1,16 +1,24 @@
-"""Near-duplicate join of documents with MinHash bands of one depth, in place of an LSH forest.
+"""Near-duplicate join of documents with a MinHash LSH forest.
 
 A document is the set of its five-word shingles. Documents with equal sets are one text.
-Each text has a label per tree, a run of MinHash values; texts with equal labels meet in
-a node of that tree. All labels have one length, the longest at which a pair at the
-threshold meets in some tree with the target probability (closer pairs meet more surely).
+Each text has a label per tree, a run of MinHash values hashed level by level into the
+bits of one number: sorted labels are the tree as a prefix trie, and the texts of a node
+lie side by side, with equal first bits.
+
+Matching begins at the full depth in a few trees, which joins close copies. Then the
+prefixes are shortened, in all trees, to the longest at which a pair at the threshold
+meets in some tree with the target probability (closer pairs meet more surely). Only
+nodes that hold texts of more than one group are read there: what is in one group
+already is verified as a whole. So the copies of a large group meet in a few
+trees, and pairs near the threshold in all of them.
 
 Texts that meet are compared by small sketches first, which joins those that may be
 similar into groups; within a group all pairs are verified with the exact sets. Both
 comparisons work on pairs of blocks: a node or group of any size is cut into blocks by
-hash, and a task holds two of them. It hands on one row per text with its number of links
-and a link towards the least text, never the pairs. So the rows made for m different
-texts in one group are m * (m / block), spread over (m / block)**2 / 2 tasks.
+hash, of a bounded number of rows and bytes, and a task holds two of them. It hands on one
+row per text with its number of links and a link towards the least text, never the pairs.
+So the rows made for m different texts in one group are m * (m / block), spread over
+(m / block)**2 / 2 tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +29,8 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from tradeloom.llm.common import batch_of, chunks, in_tasks, stored
 from tradeloom.llm.components import components
@@ -29,6 +38,10 @@ from tradeloom.llm.components import components
 WIDTH, SIMILARITY = 5, 0.8
 TREES, DEEPEST, TARGET = 40, 12, 0.999
 SKETCH, BLOCK = 128, 512
+#: Trees read at full depth first; bits of a label for the levels below the shortened prefix.
+FIRST, TAIL = 8, 20
+#: Bytes of a block of sets; rows of a node in one group that are held until another group shows up.
+BLOCK_BYTES, HELD = 32_000_000, 100_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -81,35 +94,87 @@ def minhashes(found: np.ndarray, count: int) -> np.ndarray:
     return least
 
 
-def nodes_of(least: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """One 64-bit node per tree: the tree's number and its prefix."""
+def labels_of(least: np.ndarray, trees: int, depth: int, first: int, deepest: int) -> np.ndarray:
+    """One 64-bit label per tree: the tree's number and ``depth`` values, then in the last bits the levels below.
+
+    Only the ``first`` trees have levels below.
+    """
     value = np.arange(trees, dtype=np.uint64)
     for k in range(depth):
         value = mixed(value * _A + least[k * trees : (k + 1) * trees].astype(np.uint64))
-    return value.view(np.int64)
+    tail = np.uint64(TAIL)
+    label, below = value >> tail << tail, value[:first]
+    for k in range(deepest - depth):
+        begin = trees * depth + k * first
+        below = mixed(below * _A + least[begin : begin + first].astype(np.uint64))
+    label[:first] |= below >> np.uint64(64 - TAIL)
+    return label.view(np.int64)
+
+
+def key_of(found: np.ndarray) -> bytes:
+    """Which text it is: a digest of the set."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(found.tobytes())
 
 
 def _signatures(trees: int, depth: int, sketch: int, width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("nodes", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    first, deepest = min(FIRST, trees), max(DEEPEST, depth)
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n", pa.int32()),
+                        ("labels", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in chunks(batches, 5000, 8_000_000, "text"):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = shingles(text, width)
                 if len(found) and doc_id is not None:
-                    least = minhashes(found, trees * depth)
-                    rows.append((doc_id, xxhash.xxh3_128_digest(found.tobytes()), nodes_of(least, trees, depth),
+                    least = minhashes(found, trees * depth + first * (deepest - depth))
+                    rows.append((doc_id, key_of(found), len(found), labels_of(least, trees, depth, first, deepest),
                                  (least[:sketch] & 0xFF).astype(np.uint8).tobytes()))
                 else:
-                    rows.append((doc_id, None, None, None))
+                    rows.append((doc_id, None, None, None, None))
             yield batch_of(schema, list(map(list, zip(*rows, strict=True))))
 
     return run
 
 
+# --- Nodes of the sorted labels --------------------------------------------------
+
+
+def _mixed_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, group, vertex), equal keys in a row -> (key, vertex) of keys with more than one group.
+
+    A run in one group is held until another group shows up; one of more than ``HELD``
+    rows is handed on without.
+    """
+    schema = pa.schema([("key", pa.int64()), ("vertex", pa.int64())])
+    held, handed_on = [np.empty(0, np.int64)] * 3, None
+    for batch in batches:
+        key, group, vertex = (np.concatenate([old, new.to_numpy()]) for old, new in zip(held, batch.columns, strict=True))
+        if not len(key):
+            continue
+        begin = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        sizes = np.diff(begin, append=len(key))
+        several = np.minimum.reduceat(group, begin) < np.maximum.reduceat(group, begin)
+        several[0] |= key[0] == handed_on
+        several[-1] |= sizes[-1] > HELD
+        open_ = slice(len(key) if several[-1] else begin[-1], None)
+        held, handed_on = [key[open_], group[open_], vertex[open_]], key[-1] if several[-1] else None
+        out = np.repeat(several, sizes)
+        if out.any():
+            yield batch_of(schema, [key[out], vertex[out]])
+
+
+def crowded(texts: DataFrame, label: Column, partitions: int) -> DataFrame:
+    """``key, vertex`` of the nodes that hold texts (``vertex, group, labels``) of several groups.
+
+    ``label`` gives the node from ``label``, which is sorted: a range of nodes in each task.
+    """
+    placed = texts.select("vertex", "group", F.explode("labels").alias("label")).select(label.alias("key"), "group", "vertex")
+    return in_tasks(placed.repartitionByRange(partitions, "key").sortWithinPartitions("key"), _mixed_nodes, "key long, vertex long")
+
+
 # --- Comparison in blocks --------------------------------------------------------
 
 
@@ -164,7 +229,7 @@ def _compare(agree: Callable[[list[bytes], float], np.ndarray], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for (_, i, j), members in groupby(rows(batches), key=lambda row: row[:3]):
-            members = sorted(members, key=lambda row: row[4])
+            members = sorted({row[4]: row for row in members}.values(), key=lambda row: row[4])
             if len(members) > 1:
                 block = np.array([row[3] for row in members])
                 linked = agree([row[5] for row in members], least)
@@ -182,15 +247,14 @@ def _compare(agree: Callable[[list[bytes], float], np.ndarray], least: float):
     return run
 
 
-def compare(members: DataFrame, sizes: DataFrame, agree, least: float, block: int) -> DataFrame:
+def compare(members: DataFrame, sizes: DataFrame, agree, least: float) -> DataFrame:
     """Compare all ``members`` (key, vertex, payload) of equal key, block by block.
 
-    ``sizes``: key and ``size``. Returns ``vertex, links, root`` for each pair of blocks
-    in which the vertex has a link.
+    ``sizes``: key and number of ``blocks``. Returns ``vertex, links, root`` for each pair
+    of blocks in which the vertex has a link.
     """
     split = (
-        members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
-        .withColumn("b", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
+        members.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
         .select("key", "b", "vertex", "payload", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("key", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "vertex", "payload")
     )
@@ -199,6 +263,10 @@ def compare(members: DataFrame, sizes: DataFrame, agree, least: float, block: in
     return in_tasks(dealt, _compare(agree, least), "vertex long, links long, root long")
 
 
+def edges(found: DataFrame) -> DataFrame:
+    return found.where("vertex <> root").select(F.col("vertex").alias("u"), F.col("root").alias("v"))
+
+
 # --- The join --------------------------------------------------------------------
 
 
@@ -206,82 +274,127 @@ def _with_sets(width: int):
     schema = pa.schema([("key", pa.int64()), ("vertex", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in chunks(batches, 5000, 8_000_000, "text"):
             sets = [shingles(text, width) for text in batch.column("text").to_pylist()]
-            same = [xxhash.xxh3_128_digest(s.tobytes()) == key
-                    for s, key in zip(sets, batch.column("text_key").to_pylist(), strict=True)]
+            same = [key_of(s) == key for s, key in zip(sets, batch.column("text_key").to_pylist(), strict=True)]
             full = batch_of(schema, [batch.column("key"), batch.column("vertex"), [s.tobytes() for s in sets]])
             yield full.filter(pa.array(same, pa.bool_()))
 
     return run
 
 
-def near_duplicates(
-    docs: DataFrame,
-    similarity: float = SIMILARITY,
-    width: int = WIDTH,
-    target: float = TARGET,
-    trees: int = TREES,
-    block: int = BLOCK,
-) -> DataFrame:
-    """One row per document: ``doc_id, class_id, text_id, n_links``.
+def _with_keys(width: int):
+    """Rows of a table with ``text`` -> the same with the text's digest, empty without words, in the last column."""
 
-    ``text_id`` is the least id with the same set of shingles, ``n_links`` the number of
-    other texts whose Jaccard similarity is ``similarity`` or more, ``class_id`` the
-    least id of all documents connected by links. A pair at the threshold is found with
-    probability ``target``, closer pairs more surely; what is found is verified exactly.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, 5000, 8_000_000, "text"):
+            sets = [shingles(text, width) for text in batch.column("text").to_pylist()]
+            keys = pa.array([key_of(s) if len(s) else b"" for s in sets], pa.binary())
+            yield batch.append_column("_key", keys)
 
-    A text without words is its own class and has no link; so has a row without id
-    (class and text are then null). Rows that repeat an id are rows of the result; if
-    their texts differ, the id belongs to the classes of both, which are one. Other
-    columns are ignored.
+    return run
+
+
+def _likely(texts: DataFrame, least: float, trees: int, block: int) -> DataFrame:
+    """``vertex, group`` of the texts that meet in the forest and may be similar."""
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alone = texts.select("vertex", F.col("vertex").alias("group"), F.slice("labels", 1, min(FIRST, trees)).alias("labels"))
+    payload, groups = texts.select("vertex", "payload"), None
+    for dropped in (0, TAIL):
+        placed = alone if groups is None else texts.select("vertex", "labels").join(groups, "vertex", "left").select(
+            "vertex", F.coalesce("group", "vertex").alias("group"), "labels")
+        nodes = stored(crowded(placed, F.shiftright("label", dropped), partitions), "nodes")
+        sizes = nodes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+        links = edges(compare(nodes.join(payload, "vertex").select("key", "vertex", "payload"), sizes, sketches_agree, least))
+        if groups is not None:
+            links = links.union(groups.where("vertex <> group").select(F.col("vertex").alias("u"), F.col("group").alias("v")))
+        groups = stored(components(links).withColumnRenamed("component", "group"), "groups")
+    return groups
+
+
+def _decided(docs: DataFrame, similarity: float, width: int, target: float, trees: int, block: int) -> DataFrame:
+    """One row per document: ``doc_id, text_key, class_id, text_id, n_links, stays``.
+
+    A text, not an id, is what is linked: texts have numbers of their own.
     """
     depth = prefix_length(similarity, target, trees)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = stored(in_tasks(
-        source, _signatures(trees, depth, SKETCH, width), "doc_id long, text_key binary, nodes array<long>, sketch binary"
+        source, _signatures(trees, depth, SKETCH, width),
+        "doc_id long, text_key binary, n int, labels array<long>, sketch binary",
     ), "signatures")
     texts = stored(
         signed.where("text_key IS NOT NULL").groupBy("text_key")
-        .agg(F.min("doc_id").alias("vertex"), F.first("nodes").alias("nodes"), F.first("sketch").alias("payload")), "texts"
+        .agg(F.min("doc_id").alias("text_id"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("sketch").alias("payload"))
+        .withColumn("vertex", F.monotonically_increasing_id()), "texts"
     )
-    placed = texts.select("vertex", F.explode("nodes").alias("key"))
-    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowded = stored(placed.join(sizes, "key"), "crowded")
-    sketched = crowded.select("key", "vertex").join(texts.select("vertex", "payload"), "vertex")
     slack = 4 * (similarity * (1 - similarity) / SKETCH) ** 0.5
-    likely = compare(sketched, crowded.select("key", "size").distinct(), sketches_agree, similarity - slack, block)
-    groups = stored(components(likely.where("vertex <> root").select(F.col("vertex").alias("u"), F.col("root").alias("v"))), "groups")
-    chosen = groups.join(texts.select("vertex", "text_key"), "vertex").select(
-        F.col("component").alias("key"), "vertex", "text_key", F.col("vertex").alias("doc_id"))
+    chosen = _likely(texts, similarity - slack, trees, block).join(texts, "vertex").select(
+        F.col("group").alias("key"), "vertex", "text_key", "n", F.col("text_id").alias("doc_id"))
     sets = in_tasks(
-        source.join(chosen, "doc_id").dropDuplicates(["doc_id", "text"]).select("key", "vertex", "text_key", "text"),
+        source.join(chosen.drop("n"), "doc_id").dropDuplicates(["doc_id", "vertex", "text"]).select("key", "vertex", "text_key", "text"),
         _with_sets(width),
         "key long, vertex long, payload binary",
     )
-    sizes = groups.groupBy(F.col("component").alias("key")).agg(F.count(F.lit(1)).alias("size"))
-    linked = stored(compare(sets, sizes, sets_agree, similarity, block), "links")
+    sizes = chosen.groupBy("key").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
+    linked = stored(compare(sets, sizes, sets_agree, similarity), "links")
     links = linked.groupBy("vertex").agg(F.sum("links").alias("links"))
-    classes = components(linked.where("vertex <> root").select(F.col("vertex").alias("u"), F.col("root").alias("v")))
-    by_text = texts.select("text_key", "vertex").join(links, "vertex", "left").join(classes, "vertex", "left")
+    classes = components(edges(linked))
+    least = classes.join(texts, "vertex").groupBy("component").agg(F.min(F.struct("text_id", "text_key")).alias("least"))
+    member = classes.join(least, "component").select("vertex", "least")
+    by_text = texts.select("text_key", "text_id", "vertex").join(links, "vertex", "left").join(member, "vertex", "left").select(
+        "text_key", "text_id", "links", F.coalesce("least", F.struct("text_id", "text_key")).alias("least"))
     return signed.select("doc_id", "text_key").join(by_text, "text_key", "left").select(
-        "doc_id", F.coalesce("component", "vertex", "doc_id").alias("class_id"),
-        F.coalesce("vertex", "doc_id").alias("text_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        "doc_id", "text_key", F.coalesce("least.text_id", "doc_id").alias("class_id"),
+        F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce((F.col("least.text_id") == F.col("doc_id")) & (F.col("least.text_key") == F.col("text_key")), F.lit(True)).alias("stays"),
     )
 
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """Rows of ``docs``, all columns, without near-duplicates: of each class the document ``class_id`` stays.
+def near_duplicates(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    width: int = WIDTH,
+    target: float = TARGET,
+    trees: int = TREES,
+    block: int = BLOCK,
+) -> DataFrame:
+    """One row per document: ``doc_id, class_id, text_id, n_links``.
+
+    ``text_id`` is the least id with the same set of shingles, ``n_links`` the number of
+    other texts whose Jaccard similarity is ``similarity`` or more, ``class_id`` the
+    least id of all documents connected by links. A pair at the threshold is found with
+    probability ``target``, closer pairs more surely; what is found is verified exactly.
+
+    A text without words is its own class and has no link; so has a row without id
+    (class and text are then null). Rows that repeat an id are rows of the result, each
+    with its own text's links; classes of different texts stay apart even if the same id
+    is the least of both. Other columns are ignored.
+    """
+    return _decided(docs, similarity, width, target, trees, block).select("doc_id", "class_id", "text_id", "n_links")
+
+
+def keep_one(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    width: int = WIDTH,
+    target: float = TARGET,
+    trees: int = TREES,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Rows of ``docs``, all columns, without near-duplicates: of each class the text with the least id stays.
 
-    Rows without id all stay. Of rows that repeat an id one stays, the one with the least text.
+    Rows without id all stay. Of rows that repeat an id with the same words one stays, the
+    least; rows that repeat it with other words are judged on their own.
     """
-    found = near_duplicates(docs, **parameters)
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    found = stored(_decided(docs, similarity, width, target, trees, block), "decided")
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = kept.join(again, "doc_id", "left_anti")
-    repeated = kept.join(again, "doc_id", "left_semi")
-    first = repeated.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("r"))
-    return once.select(*docs.columns).union(first.select("doc_id", "r.*").select(*docs.columns))
+    gone = found.where("NOT stays").select("doc_id")
+    once = docs.join(gone.union(again), "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.join(again, "doc_id", "left_semi").select(*docs.columns)
+    keyed = in_tasks(repeated, _with_keys(width), StructType([*docs.schema.fields]).add("_key", BinaryType()))
+    stays = found.where("stays").select("doc_id", F.coalesce("text_key", F.lit(b"")).alias("_key")).distinct()
+    first = keyed.join(stays, ["doc_id", "_key"], "left_semi").groupBy("doc_id", "_key").agg(
+        F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("r"))
+    return once.union(first.select("doc_id", "r.*").select(*docs.columns))
