@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -140,6 +141,67 @@ def test_layout_wrappers_are_read():
     assert page(f'{body}<p class="share">Share this</p><span class="widget">so</span><p>end</p>') == f"{PARAGRAPH.strip()}\nend"
 
 
+def test_no_page_is_lost_in_a_form_or_an_open_element():
+    page, text = html_regions.main_text, PARAGRAPH.strip()
+    body = f"<p>{PARAGRAPH}</p>"
+    nav = f"<nav><ul>{LINKS}</ul></nav>"
+    for wrapped in (f"<form>{nav}<div>{body}</div><label>Name</label><input><button>Go</button></form>",
+                    f"<form>{nav}<article>{body}</article><footer>f</footer></form>", f"<form><main>{body}</main><aside>no</aside></form>"):
+        assert page(wrapped) == text
+    for open_ in ("nav", "aside", "header", "footer"):
+        for part in ("article", "main"):
+            assert page(f"<{open_}><ul>{LINKS}</ul><{part}><h1>Head</h1>{body}</{part}><footer>f</footer>") == f"Head\n{text}"
+    assert page(f"<header><a href=/>Home</a><div>{body}{body}</div>").endswith(f"{text}\n{text}")
+    assert page(f"<article><header><h1>Title</h1><p>by somebody</p></header>{body}<footer>f</footer></article>") == f"Title\n{text}"
+    assert page(f"<header><h1>Site</h1></header><article>{body}</article><form>Subscribe to us</form>") == text
+    assert page(f"<div>{body}{body}</div><aside><article><p>Related story</p></article></aside><form><p>Ask</p></form>") == f"{text}\n{text}"
+    assert page(f"<main>{body}<aside><article>{body}{body}{body}</article></aside></main>") == text
+    assert page(f"<nav><ul>{LINKS}</ul></nav><footer><p>{PARAGRAPH}</p></footer>") == ""
+
+
+def test_many_open_elements():
+    begin = time.monotonic()
+    body = "".join(f"<nav><p>{k} <form><a href=/>l</a><aside>" for k in range(20_000))
+    assert html_regions.main_text(f"{body}<article><p>{PARAGRAPH}</p></article>") == PARAGRAPH.strip()
+    assert html_regions.main_text(f"<article><p>{PARAGRAPH}</p></article>{body}") == PARAGRAPH.strip()
+    assert time.monotonic() - begin < 10
+
+
+def test_comments_of_readers_beside_a_plain_article():
+    page, body = html_regions.main_text, f"<p>{PARAGRAPH}</p>"
+    for name in ("post-comments", "user-comment", "reader-responses", "page-sidebar", "blog_replies", "comments-list", "entry-related"):
+        assert page(f"<div>{body}{body}{body}</div><div class='{name}'>{body}</div>") == "\n".join([PARAGRAPH.strip()] * 3)
+    for name in ("post-header-image", "article-body", "post", "commentary", "page-shareholders"):
+        assert page(f"<div class='{name}'>{body}</div><div>{body}</div>") == "\n".join([PARAGRAPH.strip()] * 2)
+
+
+def plain_smooth(values: list[float], sigma: float) -> list[float]:
+    reach = max(1, int(3 * sigma))
+    out = []
+    for at in range(len(values)):
+        near = [(math.exp(-0.5 * ((k - at) / sigma) ** 2), values[k]) for k in range(max(0, at - reach), min(len(values), at + reach + 1))]
+        out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+    return out
+
+
+def plain_split(values: list[float]) -> float:
+    """The start of the upper of two clusters with the least sum of squares within, by trying all."""
+    def within(part: list[float]) -> float:
+        return sum((v - sum(part) / len(part)) ** 2 for v in part)
+
+    cuts = sorted(set(values))[1:]
+    return min(cuts, key=lambda c: within([v for v in values if v < c]) + within([v for v in values if v >= c]), default=min(values))
+
+
+def test_smoothing_and_clustering_equal_plain_versions():
+    chance = random.Random(5)
+    for _ in range(200):
+        values = [chance.choice([1.0, 2.5, 40.0, chance.uniform(0, 60)]) for _ in range(chance.randrange(1, 30))]
+        sigma = chance.choice([0.5, 1.0, 2.0])
+        assert html_regions.smooth(np.array(values), sigma) == pytest.approx(plain_smooth(values, sigma))
+        assert html_regions.split_point(np.array(values)) == pytest.approx(plain_split(values))
+
+
 # --- Tiling ----------------------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 A page is streamed through the standard library's parser. Its events make lines: one per
 block of text, with the tags met since the line before. Elements that are never article
-text (navigation, forms, scripts, adverts, comments ...) yield no line. The ratio of text
+text (scripts, buttons, adverts, comments ...) yield no line; forms, headers, footers, sidebars
+and navigation do only if the article is inside them, as when a form is around the page or
+one of them is never closed, and a header of an article keeps its headings. The ratio of text
 to tags per line is smoothed by a Gaussian, within a region, and its logarithms are split at
 the threshold that separates two clusters best. A region, the lines of one sectioning element
 or of a list of links, is content when enough of its text lies above the threshold: half,
@@ -25,9 +27,12 @@ from tradeloom.llm.common import batch_of, chunks, in_tasks
 
 #: Fixed names: elements whose text is no article text.
 SKIPPED = frozenset(
-    "head title script style noscript template nav header footer aside form button select option textarea "
+    "head title script style noscript template button select option textarea "
     "label fieldset menu dialog iframe object svg canvas audio video map".split()
 )
+#: Elements whose text is no article text unless the article itself is inside.
+DOUBTFUL = frozenset("nav header footer aside form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements without content; they never open a level.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block of text.
@@ -48,18 +53,24 @@ SURE, FEW_LINKS = 20.0, 0.2
 #: Whole names in class, id and role that mark what is no article text; also with these words before or after.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation "
-    "menu breadcrumb breadcrumbs sidebar header footer masthead comment comments disqus reply replies respond "
+    "menu breadcrumb breadcrumbs sidebar header footer masthead comment comments disqus reply replies respond responses "
     "notice notices cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login share "
     "sharing social related recommended widget toolbar pagination pager search alert complementary contentinfo".split()
 )
 _SPACES = re.compile(r"\s+")
 _BEFORE = "bottom global left main right site top".split()
 _AFTER = "area bar block bottom box container left links list right section slot top wrapper".split()
-_MARKED = re.compile(rf"(?:(?:{'|'.join(_BEFORE)})[-_])?({'|'.join(sorted(MARKS))})(?:[-_](?:{'|'.join(_AFTER)}|[0-9]+))?")
+#: Whose comments, or what the sidebar is beside; before these words alone.
+_OF = "article blog entry guest page post reader user".split()
+_OWNED = "comment comments reply replies respond responses sidebar related share sharing newsletter".split()
+_MARKED = re.compile(
+    rf"(?:(?:{'|'.join(_BEFORE)})[-_]|(?:{'|'.join(_OF)})[-_](?=(?:{'|'.join(_OWNED)})(?![a-z])))?"
+    rf"({'|'.join(sorted(MARKS))})(?:[-_](?:{'|'.join(_AFTER)}|[0-9]+))?"
+)
 #: Marked so, an element without an article inside is no article text even if it is most of the page's.
 NEVER = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
-    "comment comments disqus reply replies respond cookie cookies consent gdpr".split()
+    "comment comments disqus reply replies respond responses cookie cookies consent gdpr".split()
 )
 #: A tag that the end of the page cuts off.
 _CUT_OFF = re.compile(r"<[A-Za-z/!][^<>]*\Z")
@@ -94,8 +105,12 @@ class Lines(HTMLParser):
         self.of_line: list[tuple[int, ...]] = []
         self.marks: list[str] = []  # of marked elements, by number
         self.holders: set[int] = set()  # marked elements with an article or main part inside
+        self.doubtful: dict[int, bool] = {}  # marked by their tag -> inside an article?
+        self.headings: set[int] = set()  # numbers of lines that are headings
+        self.heading = False
         self.around_here: tuple[int, ...] = ()
         self.open: list[tuple[str, int, tuple[int, ...], bool, int, bool]] = []  # tag, tags, marked around, then as where
+        self.names: Counter[str] = Counter()  # of the open elements
         self.regions = self.tags = self.linked = 0
         self.in_link = False
         self.around: dict[int, int] = {}  # region of a list -> region around it
@@ -106,6 +121,8 @@ class Lines(HTMLParser):
         text = _SPACES.sub(" ", "".join(self.parts)).strip()
         self.parts = []
         if text:
+            if self.heading:
+                self.headings.add(len(self.lines))
             self.lines.append((text, self.tags, self.linked, *self.where[1:]))
             self.of_line.append(self.around_here)
             self.tags = 0
@@ -114,8 +131,9 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         skipped, region, article = self.where
         self.tags += not skipped
-        if tag in BLOCK or tag in SKIPPED:
+        if tag in BLOCK or tag in SKIPPED or tag in DOUBTFUL:
             self.end_line()
+            self.heading = tag in HEADINGS
         elif tag == "br":
             self.parts.append(" ")
         elif tag == "a":
@@ -123,18 +141,24 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         hidden = tag in SKIPPED or tag not in ("html", "body") and any(name == "hidden" for name, _ in attrs)
-        mark = "" if skipped or hidden or tag in ("html", "body") else marks(tag, attrs)
-        if tag in SECTION or tag in LISTS or hidden or mark:
+        mark = "" if skipped or hidden or tag in ("html", "body") else tag if tag in DOUBTFUL else marks(tag, attrs)
+        if tag in DOUBTFUL and any(self.marks[k] == tag and self.doubtful[k] == article for k in self.around_here if k in self.doubtful):
+            mark = ""  # in one of its kind already
+        if tag in SECTION or tag in LISTS or tag in DOUBTFUL or hidden or mark:
             self.open.append((tag, self.tags, self.around_here, *self.where))
-            if tag in ARTICLE and not (skipped or hidden or mark):
+            self.names[tag] += 1
+            if tag in ARTICLE and not (skipped or hidden or mark) and all(
+                    self.marks[k] == "form" for k in self.around_here if k in self.doubtful):
                 self.holders.update(self.around_here)
             if mark:
                 self.end_line()
                 self.around_here += (len(self.marks),)
+                if tag in DOUBTFUL:
+                    self.doubtful[len(self.marks)] = article
                 self.marks.append(mark)
             if not (skipped or hidden):
                 self.regions += 1
-                if tag in LISTS:
+                if tag in LISTS or tag == "header" and article:
                     self.around[self.regions] = region
                 region = self.regions
             self.where = (skipped or hidden, region, article or (tag in ARTICLE and not (hidden or mark)))
@@ -146,18 +170,19 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += not self.where[0]
-        if tag in BLOCK or tag in SKIPPED:
+        if tag in BLOCK or tag in SKIPPED or tag in DOUBTFUL:
             self.end_line()
+            self.heading = False
         elif tag == "a":
             self.in_link = False
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                _, tags, around, *where = self.open[at]
+        while self.names[tag]:
+            name, tags, around, *where = self.open.pop()
+            self.names[name] -= 1
+            if name == tag:
                 if around != self.around_here:
                     self.end_line()
                     self.tags = tags
                 self.around_here, self.where = around, tuple(where)
-                del self.open[at:]
                 break
 
     def handle_data(self, data: str) -> None:
@@ -166,15 +191,42 @@ class Lines(HTMLParser):
             if self.in_link:
                 self.linked += len(data.strip())
 
+    def surely(self) -> list[int]:
+        """Numbers of the lines that no form, header, footer, sidebar or navigation takes away.
+
+        Without an article or main part outside of these, one inside counts if it is longer
+        than what is outside; without any, an element (but a footer) that holds most of the
+        text, little of it in links.
+        """
+        around = [[k for k in ks if k in self.doubtful] for ks in self.of_line]
+        title = [at in self.headings and all(self.doubtful[k] and self.marks[k] == "header" for k in ks)
+                 for at, ks in enumerate(around)]
+        plain = [at for at, ks in enumerate(around) if not ks or title[at]]
+        size = [len(text) for text, *_ in self.lines]
+        outside = sum(size[at] for at in plain)
+        inside_article = [line[4] for line in self.lines]
+        if any(inside_article[at] for at in plain):
+            return plain
+        kept = {at for at, ks in enumerate(around) if inside_article[at] and (title[at] or not any(self.doubtful[k] for k in ks))}
+        if sum(size[at] for at in kept) > outside:
+            return sorted(kept | {at for at, ks in enumerate(around) if all(self.marks[k] == "form" and not self.doubtful[k] for k in ks)})
+        total, text, linked = sum(size), Counter(), Counter()
+        for at, ks in enumerate(around):
+            text.update(dict.fromkeys(ks, size[at]))
+            linked.update(dict.fromkeys(ks, self.lines[at][2]))
+        good = {k for k in self.doubtful if self.marks[k] != "footer" and 2 * text[k] > total and linked[k] <= FEW_LINKS * text[k]}
+        return [at for at, ks in enumerate(around) if good.issuperset(ks)]
+
     def judged(self) -> list[tuple]:
         """Lines without those in marked elements, unless these hold an article, a main part or most of the text."""
+        sure = [(self.lines[at], self.of_line[at]) for at in self.surely()]
         inside = Counter()
-        for (text, *_), around in zip(self.lines, self.of_line, strict=True):
+        for (text, *_), around in sure:
             inside.update(dict.fromkeys(around, len(text)))
-        total = sum(len(text) for text, *_ in self.lines)
+        total = sum(len(text) for (text, *_), _ in sure)
         out = {k for k, mark in enumerate(self.marks)
-               if k not in self.holders and (mark in NEVER or 2 * inside[k] <= total)}
-        return [line for line, around in zip(self.lines, self.of_line, strict=True) if out.isdisjoint(around)]
+               if k not in self.holders and k not in self.doubtful and (mark in NEVER or 2 * inside[k] <= total)}
+        return [line for line, around in sure if out.isdisjoint(around)]
 
 
 def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -253,7 +305,8 @@ def extract(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars`` (code points of the text).
 
     White space inside a block is one space, blocks are joined by one line feed. Null,
-    empty and text-free pages give an empty text. Cut-off pages and unclosed elements
+    empty and text-free pages give an empty text. Lines of equal ratio fall on one side of
+    the threshold; where all are equal, all are kept. Cut-off pages and unclosed elements
     are read as far as they go. Repeated rows and null ids are read row by row; other
     columns are ignored. Pages are independent: a narrow pass, whatever their hosts.
     """
