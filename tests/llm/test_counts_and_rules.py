@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tradeloom.llm import docstats, quality_boost, quality_rules, token_counts
 
@@ -142,3 +143,13 @@ def test_sample_bound_is_a_parameter(spark):
     counts = docstats.document_counts(docs)
     small = quality_boost.fit(counts, labels, quality_boost.Growth(sample=40, trees=3))
     assert small.feature.shape[0] == 3 and Counter(map(len, small.edges)).most_common(1)[0][0] <= 40
+
+
+def test_large_sample_is_the_least_hashes(spark):
+    rows = spark.range(9000).selectExpr("id AS doc_id", *(f"cast(pmod(xxhash64(id, '{c}'), 50) AS long) AS {c}" for c in docstats.COUNTS)).cache()
+    labels = rows.selectExpr("doc_id", f"cast({docstats.COUNTS[0]} > 20 AS int) AS quality")
+    how = quality_boost.Growth(sample=1500, trees=3)
+    taught = rows.where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 3) <> 1")
+    least = taught.orderBy(F.xxhash64("doc_id")).limit(1500)
+    a, b = quality_boost.fit(rows, labels, how), quality_boost.fit(least, labels, how, ids=least)
+    assert a.base == b.base and (a.feature == b.feature).all() and (a.leaf == b.leaf).all()

@@ -120,16 +120,22 @@ def grow(x: np.ndarray, y: np.ndarray, how: Growth) -> Model:
     return model
 
 
-def fit(counts: DataFrame, labels: DataFrame, how: Growth = Growth()) -> Model:
+def fit(counts: DataFrame, labels: DataFrame, how: Growth = Growth(), ids: DataFrame | None = None) -> Model:
     """Fit on labelled documents outside the held-out fold, at most ``how.sample`` of them.
 
-    A larger set is sampled by the hash of the id. A document labelled in several rows
-    counts as 1 only if all say so.
+    A larger set is sampled by the hash of the id: labelled rows are counted once, and only
+    hashes below a share of a fifth more than the sample leave their tasks. ``ids``
+    (``doc_id``) are those of ``counts``, if they can be read more cheaply. A document
+    labelled in several rows counts as 1 only if all say so.
     """
     marked = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold(F.col("doc_id"), 3) != 1)
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     )
+    ids = (counts if ids is None else ids).select(F.col("doc_id").cast("long").alias("doc_id"))
+    share = (1.2 * how.sample + 1000) / max(1, ids.join(marked.select("doc_id"), "doc_id").count())
+    if share < 1:
+        marked = marked.where(F.xxhash64("doc_id") < int((share - 0.5) * 2**64))
     rows = (
         counts.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), *COUNTS).limit(how.sample)
         .select(*COUNTS, "quality").toPandas()
