@@ -8,6 +8,8 @@ import random
 import re
 import time
 import unicodedata
+import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -71,6 +73,33 @@ def test_filter_has_no_false_negative_and_many_languages():
     assert rate == pytest.approx(found.wrong.sum(), abs=0.002)
 
 
+def test_filter_is_as_large_as_the_largest_language_needs():
+    chance = np.random.default_rng(4)
+    grams, owner = chance.integers(0, 2**62, 200 * 5000), np.repeat(np.arange(200), 5000)
+    found = language_id.Filter.of([f"l{k:03}" for k in range(200)], grams, owner)
+    assert found.slots.nbytes == 4 * 8 * 2**17 and found.wrong.max() < 0.003
+    masks = found.languages_of(grams[::50])
+    assert all(masks[k, o // 64] >> np.uint64(o % 64) & np.uint64(1) for k, o in enumerate(owner[::50]))
+
+
+def test_languages_equal_plain_version(spark):
+    chance = random.Random(8)
+    rows = [(k, " ".join(sentences(chance, lang, 6).split()[: chance.randrange(1, 7)]) + (" the der" if k % 5 == 0 else ""), lang)
+            for k, lang in enumerate(chance.choices(list(LANGS), k=200))]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.language_ids(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    counts = {lang: Counter() for lang in LANGS}
+    for k, text, lang in rows:
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            counts[lang].update(spans(text))
+    often = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    owned = {lang: {g for g, f in fs.items() if f >= 1e-6 and f >= 0.5 * max(o.get(g, 0) for o in often.values())} for lang, fs in often.items()}
+    for k, text, _ in rows:
+        hits = {lang: sum(g in owned[lang] for g in spans(text)) / len(spans(text)) for lang in LANGS}
+        assert got[k][1] == pytest.approx(max(hits.values()) / sum(hits.values()), abs=0.02)
+        if sorted(hits.values())[-1] - sorted(hits.values())[-2] > 0.01:
+            assert got[k][0] == max(hits, key=hits.get)
+
+
 # --- Pages -----------------------------------------------------------------------
 
 PAGES = {

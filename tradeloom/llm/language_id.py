@@ -18,10 +18,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tradeloom.llm.common import batch_of, chunks, fold, in_tasks, stored
+from tradeloom.llm.common import batch_of, chunks, fold, in_tasks, ship_package, stored
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -54,6 +55,26 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return window[inside], np.bincount(whose[:-2][inside], minlength=len(texts))
 
 
+def bits_for(grams: int, per_gram: int) -> int:
+    """Bits of a slot's number: a slice has ``per_gram`` slots or more for each of a language's trigrams."""
+    return max(10, int(np.ceil(np.log2(max(1, grams) * per_gram))))
+
+
+def places(grams: np.ndarray, bits: int, hashes: int) -> Iterator[np.ndarray]:
+    key = grams.astype(np.uint64)
+    key ^= key >> np.uint64(29)
+    for k in range(hashes):
+        yield (key * np.uint64(_MIX[k]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def slice_of(grams: np.ndarray, bits: int, hashes: int) -> bytes:
+    """One language's slots, a bit each."""
+    slots = np.zeros(1 << bits, np.uint8)
+    for at in places(grams, bits, hashes):
+        slots[at] = 1
+    return np.packbits(slots).tobytes()
+
+
 @dataclass
 class Filter:
     """``slots``: one row per slot, one 64-bit word per 64 languages; ``wrong``: false-positive rate by language."""
@@ -65,23 +86,22 @@ class Filter:
 
     @classmethod
     def of(cls, languages: list[str], grams: np.ndarray, owner: np.ndarray, per_gram: int = 16, hashes: int = 4) -> Filter:
-        bits = max(10, int(np.ceil(np.log2(max(1, len(grams)) * per_gram))))
-        words = max(1, -(-len(languages) // 64))
-        filter_ = cls(languages, np.zeros((1 << bits, words), np.uint64), np.zeros(len(languages)), hashes)
-        bit = np.uint64(1) << (owner % 64).astype(np.uint64)
-        for at in filter_.places(grams):
-            np.bitwise_or.at(filter_.slots, (at, owner // 64), bit)
-        for k in range(len(languages)):
-            filled = (filter_.slots[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).mean()
-            filter_.wrong[k] = filled**hashes
+        """A filter of all languages' trigrams at once."""
+        bits = bits_for(int(np.bincount(owner, minlength=1).max()), per_gram)
+        return cls.from_slices(languages, {k: slice_of(grams[owner == k], bits, hashes) for k in np.unique(owner)}, bits, hashes)
+
+    @classmethod
+    def from_slices(cls, languages: list[str], slices: dict[int, bytes], bits: int, hashes: int) -> Filter:
+        """A filter from the packed bits of each language, by its number."""
+        filter_ = cls(languages, np.zeros((1 << bits, max(1, -(-len(languages) // 64))), np.uint64), np.zeros(len(languages)), hashes)
+        for k, packed in slices.items():
+            slice_ = np.unpackbits(np.frombuffer(packed, np.uint8))
+            filter_.slots[:, k // 64] |= slice_.astype(np.uint64) << np.uint64(k % 64)
+            filter_.wrong[k] = slice_.mean() ** hashes
         return filter_
 
     def places(self, grams: np.ndarray) -> Iterator[np.ndarray]:
-        shift = np.uint64(64 - int(len(self.slots)).bit_length() + 1)
-        key = grams.astype(np.uint64)
-        key ^= key >> np.uint64(29)
-        for k in range(self.hashes):
-            yield (key * np.uint64(_MIX[k]) >> shift).astype(np.int64)
+        return places(grams, int(len(self.slots)).bit_length() - 1, self.hashes)
 
     def languages_of(self, grams: np.ndarray) -> np.ndarray:
         """Language bits of each trigram: one row per trigram."""
@@ -119,12 +139,14 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield batch_of(schema, [[lang] * len(gram), gram, n])
 
 
-def learn(docs: DataFrame, floor: float = 1e-6, share: float = 0.5) -> Filter:
+def learn(docs: DataFrame, floor: float = 1e-6, share: float = 0.5, per_gram: int = 16, hashes: int = 4) -> Filter:
     """Learn from all ``docs`` with a language and a text.
 
     A language owns a trigram that is at least ``floor`` of its trigrams and whose
     frequency there is at least ``share`` of the highest in any language. Languages are
-    in order of their names, which also settles ties.
+    in order of their names, which also settles ties. A task builds the slice of a
+    language, of at most ``1 / floor`` trigrams; all slices have the size that the largest
+    needs, and only they come to the driver.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(
         F.col("lang").cast("string"), F.col("text").cast("string")
@@ -137,12 +159,18 @@ def learn(docs: DataFrame, floor: float = 1e-6, share: float = 0.5) -> Filter:
         F.col("f") >= floor
     )
     highest = frequent.groupBy("gram").agg(F.max("f").alias("highest"))
-    owned = (
-        frequent.join(highest, "gram").where(F.col("f") >= share * F.col("highest")).select("lang", "gram").toPandas()
-    )
+    owned = stored(frequent.join(highest, "gram").where(F.col("f") >= share * F.col("highest")).select("lang", "gram"), "owned")
     languages = sorted(row.lang for row in totals.collect())
-    index = {name: k for k, name in enumerate(languages)}
-    return Filter.of(languages, owned["gram"].to_numpy(np.int64), owned["lang"].map(index).to_numpy(np.int64))
+    largest = owned.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    bits = bits_for(largest, per_gram)
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "slice": [slice_of(rows["gram"].to_numpy(np.int64), bits, hashes)]})
+
+    ship_package(docs.sparkSession)
+    built = owned.groupBy("lang").applyInPandas(build, "lang string, slice binary").collect()
+    number = {name: k for k, name in enumerate(languages)}
+    return Filter.from_slices(languages, {number[r.lang]: bytes(r.slice) for r in built}, bits, hashes)
 
 
 def identify(docs: DataFrame, known: Filter) -> DataFrame:
