@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labels outside the held-out fold, scores 0.5 or more."""
     taught = docs.where(fold(F.col("doc_id"), 3) != 1)
-    model = quality_boost.fit(document_counts(taught), _table(spark, sf_dir, "labels"))
+    model = quality_boost.fit(document_counts(taught), _table(spark, sf_dir, "labels"), ids=taught)
     return quality_boost.keep_good(docs, model)
 
 
