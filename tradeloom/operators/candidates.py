@@ -498,7 +498,9 @@ def pair_ids(
 
     The sides should be cheap to read again: they are read by both passes.
     """
-    wanted = wanted_keys(properties, proofs)
+    # Staged, so that their size is known where they meet the attributes' keys: few keys go to the
+    # tasks that read the attributes, and no task gets another's keys to filter.
+    wanted = staged(wanted_keys(properties, proofs), "wanted")
     posted = staged(postings(attributes, wanted), "postings")
     lists, leaders = staged_together(
         lists=bounded_lists(properties, wanted, posted), leaders=class_ids(properties, attributes, k)

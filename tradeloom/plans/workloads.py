@@ -27,7 +27,7 @@ from tradeloom.operators import inventory as inv, passport, profiles, ranking, s
 from tradeloom.operators import structure
 from tradeloom.operators.leftovers import leftover_profile
 from tradeloom.plans.convert import convert
-from tradeloom.plans.messages import element, escape, gtin14, join, message, spread
+from tradeloom.plans.messages import deal, element, escape, gtin14, join, message, spread
 from tradeloom.sources import documents as docs_in, tabular, vocabulary
 from tradeloom.sources.profile import Profile, Rule
 from tradeloom.sources.xmlnodes import explode_nodes, shred
@@ -62,7 +62,7 @@ _SQL_GTIN = """lpad(CAST(p_partkey AS VARCHAR), 13, '0') || CAST((10 - list_sum(
 
 def part_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full message per part."""
-    part = spread(table(spark, sf_dir, "part"))
+    part = deal(table(spark, sf_dir, "part"))
     trade_item = message(
         element("gtin", gtin14("p_partkey")),
         element("brandNameInformation", element("brandName", f"concat(' ', {escape('p_brand')})")),
@@ -168,7 +168,7 @@ def xml_document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def faulty_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part messages with missing, wrong and half-filled fields, and broken ones."""
-    part = spread(table(spark, sf_dir, "part"))
+    part = deal(table(spark, sf_dir, "part"))
     wrong = f"IF(p_partkey % 7 = 0, concat('9', {gtin14('p_partkey')}), {gtin14('p_partkey')})"
     item = message(
         f"IF(p_partkey % 11 = 0, '', {element('gtin', wrong)})",
@@ -312,7 +312,7 @@ def xml_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
             element("preparationStateCode", "'prepared'"),
             nutrient("fat", "p_size", "grm"), nutrient("ENER-", "concat(p_size, '.50')", "kjo"))),
     )
-    sent = spread(table(spark, sf_dir, "part")).selectExpr("p_partkey", f"{item} AS content")
+    sent = deal(table(spark, sf_dir, "part")).selectExpr("p_partkey", f"{item} AS content")
     products = convert(sent, leftovers=False).select(
         "p_partkey", "product.allergens", F.posexplode("product.nutrients").alias("pos", "n")
     )
@@ -352,7 +352,7 @@ def xml_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
         element("referencedFileInformation", join(
             element("fileName", "p_brand"), element("referencedFileTypeCode", "'SHEET'"))),
     )
-    sent = spread(table(spark, sf_dir, "part")).selectExpr("p_partkey", f"{item} AS content")
+    sent = deal(table(spark, sf_dir, "part")).selectExpr("p_partkey", f"{item} AS content")
     profile = leftover_profile(convert(sent))
     return profile.selectExpr(
         "element", "parent", "path",
@@ -779,7 +779,7 @@ def part_candidates(spark: SparkSession, sf_dir: str, limit: int = 5) -> DataFra
         "CASE length(p_name) % 3 WHEN 0 THEN 'xsd:decimal' WHEN 1 THEN 'gs1:QuantitativeValue' "
         "ELSE 'xsd:boolean' END AS range",
     )
-    attributes = spread(part).selectExpr(
+    attributes = deal(part).selectExpr(
         "p_partkey AS row_pos", "CAST(p_partkey AS string) AS bms_id",
         "concat(p_name, ' ', lower(p_type)) AS attribute_name", "'' AS xpath", "'' AS definition",
         "CASE p_size % 3 WHEN 0 THEN 'Measurement' WHEN 1 THEN 'Boolean' ELSE 'Other' END AS data_type",
@@ -861,7 +861,7 @@ def evidenced_candidates(spark: SparkSession, sf_dir: str, limit: int = 5) -> Da
         "CASE length(p_name) % 4 WHEN 0 THEN 'xsd:decimal' WHEN 1 THEN 'gs1:QuantitativeValue' "
         "WHEN 2 THEN 'xsd:boolean' ELSE 'gs1:ColourCode' END AS range",
     )
-    attributes = part.selectExpr(
+    attributes = deal(part).selectExpr(
         "p_partkey AS row_pos", "CAST(p_partkey AS string) AS bms_id",
         "CASE p_size % 5 WHEN 0 THEN p_name WHEN 1 THEN concat(w1, '_', w2) "
         "ELSE concat(p_name, ' ', lower(p_type)) END AS attribute_name",
@@ -992,7 +992,7 @@ def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("rdfs:subPropertyOf", "IF(p_size % 7 = 0, '{\"@id\":\"gs1:linkType\"}', NULL)"),
         ("sw:term_status", "'\"stable\"'"),
     ])
-    return spread(table(spark, sf_dir, "part")).selectExpr(
+    return deal(table(spark, sf_dir, "part")).selectExpr(
         "'' AS path", f"concat('{{\"@graph\":[', {item}, ',5,{{\"@id\":\"gs1:\"}}]}}') AS text"
     )
 
@@ -1187,7 +1187,7 @@ def part_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("brand", f"IF(p_size % 5 = 0, {brand}, {json_string('p_brand')})"),
         ("gs1:brand", "IF(p_size % 4 = 0, '7', NULL)"),
     ])
-    texts = spread(table(spark, sf_dir, "part")).selectExpr(
+    texts = deal(table(spark, sf_dir, "part")).selectExpr(
         "p_partkey", f"IF(p_partkey % 100 = 1, 'no json', {doc}) AS text"
     )
     return docs_in.json_objects(texts)
