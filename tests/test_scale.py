@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradeloom.operators import candidates as cand
-from tradeloom.plans import workloads
+from tradeloom.plans import details, reports, workloads
 
 WORDS = ("blue", "red", "green", "large", "small"), ("anvil", "rod", "ring", "hammer")
 
@@ -26,6 +26,12 @@ def one_file(tmp_path_factory):
     return str(folder)
 
 
+@pytest.mark.parametrize("query", [details.vocabulary_class_rows, reports.nested_lists])
+def test_values_are_parsed_in_all_tasks(spark, one_file, query):
+    counts = query(spark, one_file).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(counts) >= 8 and max(r["count"] for r in counts) < 1000
+
+
 def test_many_splits_of_one_row_group_are_dealt(spark, one_file):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")

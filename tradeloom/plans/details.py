@@ -9,6 +9,7 @@ from tradeloom.fixed import BLOCKING_NOTES, CANDIDATE_VERSION, FALLBACK_WARNING,
 from tradeloom.functions.jsontext import json_object, json_string
 from tradeloom.operators import explorer, inventory as inv, structure
 from tradeloom.plans import workloads
+from tradeloom.plans.messages import deal
 from tradeloom.plans.roundtrips import ORACLES, WORKLOADS
 from tradeloom.plans.workloads import table, workload
 from tradeloom.sinks import commits, writers
@@ -77,7 +78,7 @@ def vocabulary_class_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
          + json_object([("@id", json_string("concat('gs1:', replace(p_type, ' ', ''))"))]) + ", ']}]'))"),
         ("sw:term_status", "'\"stable\"'"),
     ])
-    graph = table(spark, sf_dir, "part").selectExpr("'' AS path", f"concat('{{\"@graph\":[', {item}, ']}}') AS text")
+    graph = deal(table(spark, sf_dir, "part")).selectExpr("'' AS path", f"concat('{{\"@graph\":[', {item}, ']}}') AS text")
     return vocabulary.vocabulary_classes(vocabulary.graph_items(graph)).withColumns(
         {"type": F.array_join("type", "|"), "sub_class_of": F.array_join("sub_class_of", "|")}
     )

@@ -15,7 +15,7 @@ from tradeloom.functions import q
 from tradeloom.operators import authoring, batch, catalog, explorer, passport, snapshots
 from tradeloom.plans import workloads as base
 from tradeloom.plans.convert import convert
-from tradeloom.plans.messages import element, escape, gtin14, join, message, spread
+from tradeloom.plans.messages import deal, element, escape, gtin14, join, message
 from tradeloom.plans.workloads import ORACLES, WORKLOADS, table, workload
 from tradeloom.sources.profile import built_in_profile
 
@@ -50,7 +50,7 @@ def file_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                 element("certificationValue", "IF(p_size % 7 = 0, ' ', p_type)"),
                 element("certificationEffectiveStartDateTime", "'2024-01-02T03:04:05Z'"))))),
     )
-    return spread(table(spark, sf_dir, "part")).selectExpr("p_partkey", f"{item} AS content")
+    return deal(table(spark, sf_dir, "part")).selectExpr("p_partkey", f"{item} AS content")
 
 
 _SQL_CERTIFICATE = """',"gs1:certification":[{"@type":"gs1:CertificationDetails","gs1:certificationStandard":"ISO",'
@@ -155,7 +155,7 @@ def nested_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = f"concat('[[', {json_string('p_name')}, '],[[', {json_string('p_brand')}, ']]]')"
     node = json_object([("@id", json_string("p_type"))])
     deep = f"""concat('["a",[[', {inner}, ']],[[', {node}, ']],[[["z"]]]]')"""
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"parse_json({deep}) AS v")
+    rows = deal(table(spark, sf_dir, "part")).selectExpr("p_partkey", f"parse_json({deep}) AS v")
     return rows.selectExpr("p_partkey", f"array_join({values('v')}, '|') AS found", f"{text('v')} AS shown")
 
 

@@ -13,7 +13,7 @@ from tradeloom.functions.jsontext import json_object, json_string
 from tradeloom.operators import batch, explorer, structure
 from tradeloom.plans import workloads
 from tradeloom.plans.convert import convert
-from tradeloom.plans.messages import spread
+from tradeloom.plans.messages import deal
 from tradeloom.plans.reports import ORACLES, WORKLOADS
 from tradeloom.plans.workloads import table, workload
 from tradeloom.sinks import commits, writers
@@ -43,7 +43,7 @@ __all__ = ["ORACLES", "WORKLOADS"]
         THEN '<a>' || repeat('x', p_size) || '</a>' END AS content FROM v""")
 def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of up to 150 entries of every kind under three limits; some are refused as a whole."""
-    rows = spread(table(spark, sf_dir, "part")).filter("(p_partkey div 150) % 2 = 0 OR p_size <= 25").selectExpr(
+    rows = deal(table(spark, sf_dir, "part")).filter("(p_partkey div 150) % 2 = 0 OR p_size <= 25").selectExpr(
         "concat('a', p_partkey div 150, '.zip') AS archive", "p_partkey AS entry_no",
         "CASE p_partkey % 7 WHEN 0 THEN concat(p_partkey, '.XML') WHEN 1 THEN concat(p_partkey, '.txt') "
         "WHEN 2 THEN concat('../', p_partkey, '.xml') WHEN 3 THEN concat('a//b/', p_partkey, '.xml') "
