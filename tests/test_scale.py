@@ -1,4 +1,4 @@
-"""Work is dealt to all tasks, however the tables are cut into files."""
+"""Work is dealt to all tasks, and workers hold little, however the tables are cut into files."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tradeloom.operators import candidates as cand
 from tradeloom.plans import details, reports, workloads
+from tradeloom.sources import xmlnodes
 
 WORDS = ("blue", "red", "green", "large", "small"), ("anvil", "rod", "ring", "hammer")
 
@@ -55,3 +56,13 @@ def test_no_task_holds_the_postings(spark, one_file, monkeypatch):
     assert workloads.evidenced_candidates(spark, one_file, 3).count() == 60
     files = kept["postings"].groupBy(F.input_file_name().alias("file")).count().collect()
     assert len(files) >= 8 and max(r["count"] for r in files) < 0.3 * sum(r["count"] for r in files)
+
+
+def test_shredded_batches_are_small():
+    item = b"<a>" + b"<b>word</b>" * 30 + b"</a>"
+    long = b"<a>" + b"x" * 1_000_000 + b"</a>"
+    for content, count in ((item, 5000), (long, 20)):
+        given = pa.RecordBatch.from_arrays([pa.array(range(count)), pa.array([content] * count)], names=["k", "content"])
+        parts = list(xmlnodes._shred_batches(iter([given])))
+        assert pa.Table.from_batches(parts).column("k").to_pylist() == list(range(count))
+        assert max(p.get_total_buffer_size() - given.get_total_buffer_size() for p in parts) < 12_000_000

@@ -27,8 +27,9 @@ NODE_TYPE = (
     "struct<id:int,parent:int,last:int,name:string,attrs:map<string,string>,"
     "text:string,t0:int,t1:int,filled:boolean,anc:array<int>>"
 )
-_FLUSH_NODES = 200_000
-_FLUSH_CHARS = 32_000_000
+# What a worker holds: a node takes some hundred bytes before it is an Arrow row.
+_FLUSH_NODES = 20_000
+_FLUSH_CHARS = 4_000_000
 
 
 class _Batch:
