@@ -7,9 +7,12 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tradeloom.llm import lsh_forest as forest
 from tradeloom.llm.components import components
+from tradeloom.llm.id_filter import may_hold
 
 
 def windows(text: str | None) -> frozenset:
@@ -164,3 +167,30 @@ def test_components(spark):
     assert {found[k] for k in range(31)} == {0} and found[101] == found[100] == 100
     assert found[60] == found[55] == found[50] == 50 and {found[k] for k in range(200, 260)} == {200}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_filter_passes_all_ids_and_few_others(spark):
+    ids = spark.range(0, 60_000, 3).union(spark.range(-5, -4))
+    passed = spark.range(-5, 60_000).where(may_hold(ids)(F.col("id"))).select("id")
+    assert ids.join(passed, "id", "left_anti").count() == 0
+    assert passed.count() < 20_001 + 0.02 * 40_000
+    assert spark.range(100).where(may_hold(ids.where("false"))(F.col("id"))).count() == 0
+
+
+def test_few_texts_are_shuffled(spark, monkeypatch):
+    """Of many texts without a copy, hardly any go into the joins that drop copies."""
+    chance = random.Random(3)
+    texts = [" ".join(str(chance.randrange(10**6)) for _ in range(30)) for _ in range(400)]
+    rows = [(k, text) for k, text in enumerate(texts)] + [(1000, texts[0]), (1001, texts[1] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    moved, joined = [], DataFrame.join
+
+    def join(left, right, on=None, how=None):
+        if "text" in left.columns:
+            moved.append(left.count())
+        return joined(left, right, on, how)
+
+    monkeypatch.setattr(DataFrame, "join", join)
+    kept = forest.keep_one(docs).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(400))
+    assert len(moved) == 4 and max(moved) < 40

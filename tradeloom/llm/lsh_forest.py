@@ -34,6 +34,7 @@ from pyspark.sql.types import BinaryType, StructType
 
 from tradeloom.llm.common import batch_of, chunks, in_tasks, stored
 from tradeloom.llm.components import components
+from tradeloom.llm.id_filter import may_hold
 
 WIDTH, SIMILARITY = 5, 0.8
 TREES, DEEPEST, TARGET = 40, 12, 0.999
@@ -329,10 +330,11 @@ def _decided(docs: DataFrame, similarity: float, width: int, target: float, tree
         .withColumn("vertex", F.monotonically_increasing_id()), "texts"
     )
     slack = 4 * (similarity * (1 - similarity) / SKETCH) ** 0.5
-    chosen = _likely(texts, similarity - slack, trees, block).join(texts, "vertex").select(
-        F.col("group").alias("key"), "vertex", "text_key", "n", F.col("text_id").alias("doc_id"))
+    chosen = stored(_likely(texts, similarity - slack, trees, block).join(texts, "vertex").select(
+        F.col("group").alias("key"), "vertex", "text_key", "n", F.col("text_id").alias("doc_id")), "chosen")
+    wanted = source.where(may_hold(chosen.select("doc_id"))(F.col("doc_id")))
     sets = in_tasks(
-        source.join(chosen.drop("n"), "doc_id").dropDuplicates(["doc_id", "vertex", "text"]).select("key", "vertex", "text_key", "text"),
+        wanted.join(chosen.drop("n"), "doc_id").dropDuplicates(["doc_id", "vertex", "text"]).select("key", "vertex", "text_key", "text"),
         _with_sets(width),
         "key long, vertex long, payload binary",
     )
@@ -390,9 +392,11 @@ def keep_one(
     """
     found = stored(_decided(docs, similarity, width, target, trees, block), "decided")
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone = found.where("NOT stays").select("doc_id")
-    once = docs.join(gone.union(again), "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.join(again, "doc_id", "left_semi").select(*docs.columns)
+    judged = stored(found.where("NOT stays").select("doc_id", F.lit(False).alias("again")).union(again.select("doc_id", F.lit(True))), "judged")
+    doc_id, again = F.col("doc_id").cast("long"), judged.where("again").select("doc_id")
+    named, twice = may_hold(judged.select("doc_id")), may_hold(again)
+    once = docs.where(~named(doc_id)).union(docs.where(named(doc_id)).join(judged, "doc_id", "left_anti").select(*docs.columns))
+    repeated = docs.where(twice(doc_id)).join(again, "doc_id", "left_semi").select(*docs.columns)
     keyed = in_tasks(repeated, _with_keys(width), StructType([*docs.schema.fields]).add("_key", BinaryType()))
     stays = found.where("stays").select("doc_id", F.coalesce("text_key", F.lit(b"")).alias("_key")).distinct()
     first = keyed.join(stays, ["doc_id", "_key"], "left_semi").groupBy("doc_id", "_key").agg(
