@@ -6,6 +6,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tradeloom.llm import kneser_ney as kn
@@ -113,3 +115,44 @@ def test_layout_of_frequent_contexts_changes_no_score(spark):
     a, b = (sorted(((r.doc_id is None, r.doc_id, r.score) for r in kn.score(docs, m).collect()), key=str) for m in (spread, plain))
     assert [x[:2] for x in a] == [x[:2] for x in b]
     assert [x[2] for x in a] == pytest.approx([x[2] for x in b])
+
+
+def test_words_and_hashes(monkeypatch):
+    monkeypatch.setattr(kn, "_BLOCK", 8)
+    kn.powers.cache_clear()
+    texts = ["Ab ab\tc", None, "", "ab", " a\x0bb\x0cc ", "É é \u00a0x", "abcdefghijklmnopqrst ab", "end"]
+    got, sizes = kn.token_stream(pa.array(["skipped", *texts])[1:], 1)
+    words = [w for text in texts for w in (b"\0start", *tokens(text))]
+    assert sizes.tolist() == [len(tokens(text)) for text in texts]
+    assert len(set(zip(words, got.tolist(), strict=True))) == len(set(words)) == len(set(got.tolist()))
+    kn.powers.cache_clear()
+
+
+def test_packed_columns_and_rows():
+    columns = [np.array([3, 3, 1 << 40]), np.array([1 << 62, 0, 5]), np.array([7, 255, 256])]
+    assert [c.tolist() for c in kn.unpack(kn.pack(columns))] == [c.tolist() for c in columns]
+    shard = np.arange(40)
+    rows = kn.packed([(kind, shard, [shard, shard + kind]) for kind in (kn.WORD, kn.GRAM, kn.CONTEXT)], 10)
+    assert rows.num_rows == 10  # one a partition, however many shards and kinds
+    assert {n: {k: [x.tolist() for x in c] for k, c in of.items()} for n, of in kn.by_shard(iter([rows]))} == {
+        n: {kind: [[n], [n + kind]] for kind in (kn.WORD, kn.GRAM, kn.CONTEXT)} for n in range(40)}
+
+
+def test_n_grams_take_few_bytes_on_their_way():
+    chance = random.Random(3)
+    text = " ".join(chance.choices([f"w{k}" for k in range(5000)], [1 / (k + 1) for k in range(5000)], k=100_000))
+    stream, sizes = kn.token_stream(pa.array([text]), 2)
+    words = np.unique(stream, return_inverse=True)[1] + kn._FIRST
+    context, last = kn.n_grams(words, sizes, 3)
+    columns, n = kn.summed([*context, last], [np.ones(len(last), np.int64)])
+    rows = kn.packed([(kn.GRAM, kn.spread(columns[:-1], columns[-1], np.array([kn.START]), 48), [*columns, *n])], 12)
+    assert rows.nbytes < 9 * len(n[0])
+
+
+def test_counts_meet_in_one_shard(spark):
+    texts = [f"a{k} of the b{k % 7} of the" for k in range(300)]
+    docs = spark.createDataFrame([(7 * k, text) for k, text in enumerate(texts)], "doc_id long, text string")
+    for share in (None, 0.05, 2.0):
+        model, plain = kn.train(docs, 3, share=share), Plain(texts, 3)
+        got = sorted((r.doc_id, r.score) for r in kn.score(docs, model).collect())
+        assert [x for _, x in got] == pytest.approx([plain.score(text)[-1] for text in texts], rel=1e-9)
