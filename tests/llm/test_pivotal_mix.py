@@ -123,3 +123,9 @@ def test_query_meets_targets(spark):
         taken[r.source_size, r.target] += r.taken
     assert abs(sum(t for _, t in taken) - sum(r.size for r in rows)) < 1e-3
     assert all(abs(words - target) < 60 for (_, target), words in taken.items())
+
+
+def test_last_residual_goes_to_the_nearer_side(spark):
+    df = spark.createDataFrame([(1, "w " * 100, "a"), (2, "w " * 65, "b")], "doc_id long, text string, source string")
+    for seed in "abcd":  # targets are 55 and 110
+        assert {r.doc_id: r.taken for r in mix.mix(df, seed=seed).collect()} == {1: 100, 2: 130}

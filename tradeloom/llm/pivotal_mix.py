@@ -207,6 +207,6 @@ def mix(
         blocks, level = -(-blocks // block_rows), level + 1
         residuals = fought.where("mass > 0").withColumn("block", F.expr(f"block div {block_rows}"))
         fought = _rounds(residuals, f"{seed}|{level}", paired)
-    draw = F.expr(f"pmod(xxhash64(tree, '{seed}'), {1 << 40}L)") / float(1 << 40)
-    last = fought.withColumn("copies", F.col("copies") + (draw * F.col("size") * PARTS < F.col("mass")).cast("long"))
+    # A source's very last residual goes to the nearer side: one draw has no others to make up for it.
+    last = fought.withColumn("copies", F.col("copies") + (F.col("mass") * 2 >= F.col("size") * PARTS).cast("long"))
     return decided.union(last).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
