@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.samples import FAULTY, FULL, FULL_JSONLD, wrap
 from tradeloom.plans.convert import convert
+from tradeloom.plans.workloads import xml_document_texts
 from tradeloom.sources.profile import ProfileError, built_in_profile, load_profile, read_path
 from tradeloom.sources.xmlnodes import explode_nodes, shred
 
@@ -198,3 +200,15 @@ def test_large_document_as_nodes(spark):
 def test_reports_carry_the_profile_descriptions(results):
     report = {r.id: r.description for r in results["full"].mapping_report}
     assert report["gtin"] == "Global Trade Item Number" and report["nutrients"] == "Basic nutrient details"
+
+
+def test_documents_without_text_or_language(spark, tmp_path):
+    given = {1: (" a \n b ", "de"), 2: (" \n ", "fr"), 3: ("", "en"), 4: (None, "es"), 5: ("x < y", None), 6: (None, None)}
+    rows = [(k, text, lang) for k, (text, lang) in given.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {}
+    for k, (text, lang) in given.items():
+        flat = None if text is None else " ".join(text.split())
+        expected[k] = (lang, *((None, None) if flat is None else (hashlib.sha256(flat.encode()).hexdigest(), len(flat))))
+    found = xml_document_texts(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.lang, r.digest, r.chars) for r in found} == expected

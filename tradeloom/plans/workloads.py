@@ -155,14 +155,23 @@ def xml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @workload("""SELECT doc_id, lang, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest,
     CAST(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS BIGINT) AS chars FROM documents""")
 def xml_document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole document texts through a message and back, normalised."""
+    """Whole document texts through a message and back, normalised.
+
+    A blank text gives the product no name: normalised it is empty. What a document lacks
+    (its text, its language) stays out of the message and is null in the result.
+    """
     texts = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    item = message(element("tradeItemDescription", escape("text"), languageCode="lang"))
-    sent = texts.selectExpr("doc_id", f"{item} AS content")
-    name = "product.product_name[0]"
-    return convert(sent, leftovers=False).selectExpr(
-        "doc_id", f"{name}.language AS lang", f"sha2({name}.value, 256) AS digest",
-        f"CAST(length({name}.value) AS bigint) AS chars",
+    name = "tradeItemDescription"
+    item = message(f"coalesce({element(name, escape('text'), languageCode='lang')}, {element(name, escape('text'))})")
+    sent = texts.selectExpr("doc_id", "lang AS sent_lang", "text IS NOT NULL AS has_text", f"{item} AS content")
+    read = convert(sent, leftovers=False).selectExpr(
+        "doc_id", "sent_lang", "has_text AND error_type IS NULL AS has_value",
+        "sent_lang IS NOT NULL AND error_type IS NULL AS has_lang", "get(product.product_name, 0) AS name",
+    )
+    value = "IF(has_value, coalesce(name.value, ''), NULL)"
+    return read.selectExpr(
+        "doc_id", "IF(has_lang, coalesce(name.language, sent_lang), NULL) AS lang",
+        f"sha2({value}, 256) AS digest", f"CAST(length({value}) AS bigint) AS chars",
     )
 
 
